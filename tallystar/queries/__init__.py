@@ -1,8 +1,8 @@
 """All registered queries, by operator family."""
 
-from tallystar.queries import star
+from tallystar.queries import files, star
 from tallystar.queries.tables import Query
 
-_FAMILIES = [star]
+_FAMILIES = [star, files]
 
 REGISTRY: dict[str, Query] = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
