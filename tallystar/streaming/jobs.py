@@ -19,7 +19,7 @@ DEFAULT_QUOTA = 100
 
 def stream_load(
     spark: SparkSession, source: str, schema: T.StructType, target: str, audit: str, checkpoint: str,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, renamed: dict[str, str] | None = None,
 ) -> None:
     """Append files not loaded before to ``target`` and their audit to ``audit``, then stop.
 
@@ -30,6 +30,7 @@ def stream_load(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.parquet(source).withColumn("_path", F.col("_metadata.file_path"))
+    rows = rows.withColumnsRenamed(renamed or {})
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         part = f"batch={batch_id}"
