@@ -213,11 +213,15 @@ def search_occupations(
     return search_titles(queries, occupations, query, title, F.col(group) == detailed, **options)
 
 
+def _containing(query: str) -> Column:
+    return F.concat(F.lit("%"), F.col(query), F.lit("%"))
+
+
 def contains_match(queries: DataFrame, titles: DataFrame, limit: int, inline_titles: int) -> DataFrame:
     """``query, name, rank`` of titles that contain the query, ignoring case."""
     if titles.limit(inline_titles + 1).count() <= inline_titles:
         everything = titles.agg(F.collect_list("name").alias("titles")).scalar()
-        found = F.filter(F.col("titles"), lambda n: n.ilike(F.concat(F.lit("%"), F.col("query"), F.lit("%"))))
+        found = F.filter(F.col("titles"), lambda n: F.ilike(n, _containing("query")))
         best = F.slice(F.array_sort(found), 1, limit)
         return (
             queries.withColumn("titles", everything)
@@ -241,7 +245,7 @@ def contains_match(queries: DataFrame, titles: DataFrame, limit: int, inline_tit
         "name", F.explode(F.flatten(F.transform(usable, pieces_of))).alias("key")
     )
     met = keyed.join(pieces, "key").where(
-        F.col("name").ilike(F.concat(F.lit("%"), F.col("query"), F.lit("%")))
+        F.ilike("name", _containing("query"))
     ).select("query", "name")
     by_name = Window.partitionBy("query").orderBy("name")
     return met.withColumn("rank", F.row_number().over(by_name)).where(F.col("rank") <= limit)

@@ -58,11 +58,7 @@ def chart_counts(spark, sf_dir):
 
 
 def response_assembly(spark, sf_dir):
-    rows = agent_messages(spark, sf_dir).drop("content").withColumnRenamed("text", "content")
-    with_traces = agent_messages(spark, sf_dir)
-    answers = traces.response_assembly(rows).select("conv_id", "answer")
-    counts = traces.response_assembly(with_traces).select("conv_id", "chart_count", "source_count")
-    return answers.join(counts, "conv_id")
+    return traces.response_assembly(agent_messages(spark, sf_dir))
 
 
 def pair_calls(spark, sf_dir):
@@ -116,7 +112,7 @@ def mask_sensitive_query(spark, sf_dir):
 
 
 _WORDS = "password|api_key|secret|token|credential|postgres://|mysql://|mongodb://|://|bearer |authorization|api-key"
-_LOG = f"WITH log AS (SELECT conv_id, turn, text, {_NAME} AS name, {_BROKEN} AS broken FROM conversations)"
+_LOG = f"WITH log AS (SELECT conv_id, turn, text, {_CONTENT} AS content, {_NAME} AS name, {_BROKEN} AS broken FROM conversations)"
 _ENTRIES = f"""{_LOG}, entries AS (
   SELECT conv_id, turn, text, name, unnest(CASE WHEN name = 'cortex_researcher' THEN [0, 2] ELSE [0] END) AS pos
   FROM log WHERE NOT broken
@@ -168,7 +164,7 @@ QUERIES = {
         response_assembly,
         f"""{_ENTRIES}
         SELECT conv_id,
-          coalesce(nullif(arg_max(text, turn) FILTER (name = 'synthesizer'), ''), 'No answer generated.') AS answer,
+          coalesce(arg_max(content, turn) FILTER (name = 'synthesizer'), 'No answer generated.') AS answer,
           2 * count(*) FILTER (name = 'chart_summarizer') AS chart_count,
           coalesce(any_value(n), 0) AS source_count
         FROM log LEFT JOIN (SELECT conv_id, count(*) AS n FROM entries GROUP BY conv_id) USING (conv_id)
