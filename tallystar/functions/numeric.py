@@ -41,13 +41,13 @@ def sanitize_numeric(value: Column, dtype: T.DataType, mode: str = "strict") ->
     ``1d`` that only the cast accepts.
     """
     text = _plain(value)
-    number = text.try_cast(dtype)
+    number = F.when(text.rlike(_pattern(dtype)), text.try_cast(dtype))
     if mode == "quarantine":
-        return F.when(text.rlike(_pattern(dtype)), number)
+        return number
     if mode != "strict":
         raise ValueError(f"unknown mode: {mode}")
     failed = F.raise_error(F.concat(F.lit("not a number: "), text)).cast(dtype)
-    return F.when(is_bad_number(value, dtype), failed).otherwise(number)
+    return F.when(text.isNotNull(), F.coalesce(number, failed))
 
 
 def tolerant_number(value: Column) -> Column:

@@ -25,13 +25,16 @@ ERROR_PREFIX = "Workflow execution failed: "
 
 # --- end of fixed values ---
 
-# Java's \s is ASCII only; (?U) widens it to Unicode white space.
-_SPACE = r"(?U)\s+"
-_ENDS = r"(?U)^\s+|\s+$"
+# Java's \s is ASCII only; (?U) widens it to Unicode white space. The separators 1c..1f count
+# as space in the readers these rules come from.
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+_SPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def normalize_header(name: Column) -> Column:

@@ -59,16 +59,22 @@ def metro_slice(df: DataFrame, level: str = "area_type") -> DataFrame:
 
 
 def occupation_summary(
-    df: DataFrame,
-    keys: Sequence[str],
+    facts: DataFrame,
+    occupation: str,
+    year: str,
     employment: str,
     wage: str,
+    titles: DataFrame | None = None,
     level: str = "area_type",
     levels: Sequence[int] = (STATE_LEVEL, METRO_LEVEL),
 ) -> DataFrame:
-    """Count, employment sum and wage spread per group over rows with both measures."""
-    rows = at_levels(df, level, *levels).where(F.col(employment).isNotNull() & F.col(wage).isNotNull())
-    return rows.groupBy(*keys).agg(
+    """Count, employment sum and wage spread per occupation and year over rows with both measures.
+
+    ``titles`` holds one row per occupation. It is joined to the groups, not to the facts: a
+    frequent occupation is reduced by partial aggregation before anything is shuffled by it.
+    """
+    rows = at_levels(facts, level, *levels).where(F.col(employment).isNotNull() & F.col(wage).isNotNull())
+    groups = rows.groupBy(occupation, year).agg(
         F.count(F.lit(1)).alias("area_count"),
         F.sum(employment).alias("total_national_employment"),
         F.avg(wage).alias("avg_annual_wage"),
@@ -76,6 +82,7 @@ def occupation_summary(
         F.max(wage).alias("max_annual_wage"),
         F.stddev(wage).alias("wage_std_dev"),
     )
+    return groups if titles is None else groups.join(titles, occupation)
 
 
 def contains_text(column: str, part: str) -> Column:
@@ -93,8 +100,19 @@ def top_rows(
     return rows.orderBy(F.desc(measure), *tie_break).limit(limit)
 
 
-def sum_by_title(df: DataFrame, title: str, measure: str, name: str = "total_jobs") -> DataFrame:
-    return df.groupBy(title).agg(F.sum(measure).alias(name)).orderBy(F.desc(name), title)
+def sum_by_title(
+    facts: DataFrame,
+    key: str,
+    measure: str,
+    titles: DataFrame,
+    title_key: str,
+    title: str,
+    name: str = "total_jobs",
+) -> DataFrame:
+    """Measure summed per title, highest first; facts are summed per key before the join."""
+    per_key = facts.groupBy(key).agg(F.sum(measure).alias("__sum"))
+    named = per_key.join(titles.select(title_key, title), F.col(key) == F.col(title_key))
+    return named.groupBy(title).agg(F.sum("__sum").alias(name)).orderBy(F.desc(name), title)
 
 
 def distinct_titles(df: DataFrame, title: str) -> DataFrame:

@@ -21,7 +21,7 @@ def corpus_scan(spark, sf_dir):
 
 
 def header_sample(spark, sf_dir):
-    heads, _ = inputs.corpus_plan(spark, sf_dir)
+    heads = inputs.corpus_heads(spark, sf_dir)
     return heads.select(
         "folder",
         "file_name",
@@ -31,13 +31,13 @@ def header_sample(spark, sf_dir):
 
 
 def hetero_csv_read(spark, sf_dir):
-    _, plan = inputs.corpus_plan(spark, sf_dir)
+    plan = inputs.corpus_layouts(spark, sf_dir)
     rows = corpus.read_corpus(spark, plan)
     return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _TEXT_KEYS])
 
 
 def file_inventory(spark, sf_dir):
-    heads, _ = inputs.corpus_plan(spark, sf_dir)
+    heads = inputs.corpus_heads(spark, sf_dir)
     found = corpus.file_inventory(heads)
     return found.select(
         path_name(F.col("file_path")).alias("file_name"),
@@ -51,17 +51,17 @@ def file_inventory(spark, sf_dir):
 
 
 def lineage(spark, sf_dir):
-    _, plan = inputs.corpus_plan(spark, sf_dir)
+    plan = inputs.corpus_layouts(spark, sf_dir)
     rows = corpus.read_corpus(spark, plan)
     return rows.groupBy("_source_file", "_source_folder", "_data_year").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def standardize(spark, sf_dir):
-    return corpus.standardize(spark, inputs.corpus_plan(spark, sf_dir)[1])
+    return corpus.standardize(spark, inputs.corpus_layouts(spark, sf_dir))
 
 
 def standardize_report(spark, sf_dir):
-    heads, plan = inputs.corpus_plan(spark, sf_dir)
+    heads, plan = inputs.corpus_heads(spark, sf_dir, 0), inputs.corpus_layouts(spark, sf_dir)
     _, results = corpus.split_failed(corpus.standardize(spark, plan, mode="quarantine"))
     report = corpus.standardize_report(spark, heads, results)
     return report.select(
@@ -91,7 +91,7 @@ def parquet_roundtrip(spark, sf_dir):
 
 
 def warehouse_load(spark, sf_dir):
-    rows = warehouse.load_projection(corpus.standardize(spark, inputs.corpus_plan(spark, sf_dir)[1]))
+    rows = warehouse.load_projection(corpus.standardize(spark, inputs.corpus_layouts(spark, sf_dir)))
     expected = (
         inputs.survey_rows(spark, sf_dir)
         .groupBy(F.expr(f"{FILE_SQL} || '.csv'").alias("path"))

@@ -165,9 +165,12 @@ def corpus_root(spark: SparkSession, sf_dir: str) -> str:
     return _once("corpus", spark, sf_dir, write)
 
 
-def corpus_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[corpus.Layout]]:
-    heads = corpus.read_heads(corpus.scan_corpus(spark, corpus_root(spark, sf_dir)))
-    return heads, corpus.layouts(heads)
+def corpus_heads(spark: SparkSession, sf_dir: str, sample_rows: int = corpus.DEFAULT_SAMPLE_ROWS) -> DataFrame:
+    return corpus.read_heads(corpus.scan_corpus(spark, corpus_root(spark, sf_dir)), sample_rows)
+
+
+def corpus_layouts(spark: SparkSession, sf_dir: str) -> list[corpus.Layout]:
+    return corpus.layouts(corpus_heads(spark, sf_dir, sample_rows=0))
 
 
 def standardized_root(spark: SparkSession, sf_dir: str) -> str:
@@ -175,7 +178,7 @@ def standardized_root(spark: SparkSession, sf_dir: str) -> str:
     from tallystar.operators.warehouse import write_standardized
 
     def write(path: str) -> None:
-        rows = corpus.standardize(spark, corpus_plan(spark, sf_dir)[1])
+        rows = corpus.standardize(spark, corpus_layouts(spark, sf_dir))
         # The folder is also kept as a column, for readers that ignore directory names.
         write_standardized(rows.withColumn("folder", F.col("_source_folder")), path, "folder")
 

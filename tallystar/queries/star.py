@@ -33,29 +33,38 @@ def facts(spark: SparkSession, sf_dir: str, latest: bool) -> DataFrame:
     )
 
 
-def star_rows(spark: SparkSession, sf_dir: str, latest: bool = True) -> DataFrame:
-    customer, nation, part = tables(spark, sf_dir, "customer", "nation", "part")
-    areas = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+def area_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = tables(spark, sf_dir, "customer", "nation")
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("area_code"),
         F.col("n_name").alias("area_title"),
         F.col("n_regionkey").alias("area_type"),
         F.col("c_mktsegment").alias("naics_code"),
     )
-    occupations = part.select(
-        F.col("p_partkey").alias("occ_key"), F.col("p_name").alias("occ_title"), F.col("p_type").alias("o_group")
-    )
-    industries = customer.select(F.col("c_mktsegment").alias("naics_code")).distinct().withColumn(
-        "naics_title", F.lower("naics_code")
+
+
+def occupation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("occ_code"), F.col("p_name").alias("occ_title"), F.col("p_type").alias("o_group")
     )
+
+
+def place_rows(spark: SparkSession, sf_dir: str, latest: bool) -> DataFrame:
+    """Facts with every dimension but the occupation."""
+    industries = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("naics_code")).distinct()
     return star.star_join(
         facts(spark, sf_dir, latest),
         [
-            (areas, "area_code", "area_code"),
-            (occupations, "occ_code", "occ_key"),
-            (industries, "naics_code", "naics_code"),
+            (area_rows(spark, sf_dir), "area_code", "area_code"),
+            (industries.withColumn("naics_title", F.lower("naics_code")), "naics_code", "naics_code"),
             (star.ownership_types(spark), "own_code", "own_code"),
         ],
-    ).select(*FACT_COLUMNS)
+    )
+
+
+def star_rows(spark: SparkSession, sf_dir: str, latest: bool = True) -> DataFrame:
+    occupations = (occupation_rows(spark, sf_dir), "occ_code", "occ_code")
+    return star.star_join(place_rows(spark, sf_dir, latest), [occupations]).select(*FACT_COLUMNS)
 
 
 def latest_star(spark, sf_dir):
@@ -72,10 +81,12 @@ def metro_slice(spark, sf_dir):
 
 def occupation_summary(spark, sf_dir):
     summary = star.occupation_summary(
-        star_rows(spark, sf_dir),
-        ["occ_code", "occ_title", "o_group", "survey_year"],
+        place_rows(spark, sf_dir, latest=True),
+        "occ_code",
+        "survey_year",
         "total_employment",
         "mean_annual_wage",
+        occupation_rows(spark, sf_dir),
     )
     return summary.withColumns(
         {
@@ -97,8 +108,7 @@ def top_wages(spark, sf_dir):
 
 def jobs_by_title(spark, sf_dir):
     lineitem, part = tables(spark, sf_dir, "lineitem", "part")
-    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return star.sum_by_title(rows, "p_name", "l_quantity")
+    return star.sum_by_title(lineitem, "l_partkey", "l_quantity", part, "p_partkey", "p_name")
 
 
 def like_search(spark, sf_dir):

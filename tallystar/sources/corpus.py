@@ -83,7 +83,7 @@ def read_heads(files: DataFrame, sample_rows: int = DEFAULT_SAMPLE_ROWS) -> Data
     """Header and first records of each file; both empty where the first line is.
 
     Each task opens its share of the files and stops after the sample, so the cost does not
-    depend on file sizes.
+    depend on file sizes. Pass ``sample_rows=0`` where only headers are wanted.
     """
     spread = files.select("file_path", "folder", "file_name", "size_bytes").repartition("file_path")
     return spread.mapInPandas(_head_reader(sample_rows), _HEADS)
@@ -144,20 +144,22 @@ class Layout:
 def layouts(heads: DataFrame) -> list[Layout]:
     """The distinct layouts of a corpus with their file paths.
 
-    This is file listing: one path per file reaches the driver, as in any scan.
+    This is file listing: one path per file reaches the driver, as in any scan. Heads are
+    read once; the rename plans are then made from the distinct headers alone.
     """
-    usable = heads.where(F.size("header") > 0)
-    plans = usable.select("header").distinct().select("header", rename_entries(F.col("header")).alias("entries"))
-    files: dict[tuple, list[str]] = {}
-    for row in usable.select("header", "file_path").toLocalIterator():
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in heads.where(F.size("header") > 0).select("header", "file_path").collect():
         files.setdefault(tuple(row.header), []).append(row.file_path)
+    if not files:
+        return []
+    distinct = heads.sparkSession.createDataFrame([(list(h),) for h in sorted(files)], "header array<string>")
     return [
         Layout(
             tuple(row.header),
             tuple((e.pos, e.raw, e.canonical, e.kept) for e in row.entries),
             tuple(sorted(files[tuple(row.header)])),
         )
-        for row in sorted(plans.collect(), key=lambda r: r.header)
+        for row in distinct.select("header", rename_entries(F.col("header")).alias("entries")).collect()
     ]
 
 
