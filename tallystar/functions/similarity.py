@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallystar.functions.text import words_of
+from tallystar.functions.text import bind, words_of
 
 _BLOCK = 60
 _FULL = (1 << _BLOCK) - 1
@@ -51,8 +51,10 @@ def _block_masks(chars: Column, wanted: Column) -> Column:
 
 def position_masks(chars: Column) -> Column:
     """Map from each character to its position bits; computed once per string, not per pair."""
-    distinct = F.array_distinct(chars)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda w: _block_masks(chars, w)))
+    return bind(
+        F.array_distinct(chars),
+        lambda distinct: F.map_from_arrays(distinct, F.transform(distinct, lambda w: _block_masks(chars, w))),
+    )
 
 
 def _ones(count: Column) -> Column:
@@ -67,17 +69,22 @@ def _start_blocks(length: Column) -> Column:
 
 
 def _one_block(masks: Column, length: Column) -> Column:
-    ones = _ones(length)
-    end = F.aggregate(
-        masks,
-        ones,
-        lambda v, m: (v + v.bitwiseAND(m[0])).bitwiseAND(ones).bitwiseOR(v.bitwiseAND(F.bitwise_not(m[0]))),
-    )
-    return length - F.bit_count(end)
+    def run(ones: Column) -> Column:
+        end = F.aggregate(
+            masks,
+            ones,
+            lambda v, m: (v + v.bitwiseAND(m[0])).bitwiseAND(ones).bitwiseOR(v.bitwiseAND(F.bitwise_not(m[0]))),
+        )
+        return length - F.bit_count(end)
+
+    return bind(_ones(length), run)
 
 
 def _many_blocks(masks: Column, length: Column) -> Column:
-    start = _start_blocks(length)
+    return bind(_start_blocks(length), lambda start: _fold_blocks(masks, length, start))
+
+
+def _fold_blocks(masks: Column, length: Column, start: Column) -> Column:
     empty = F.struct(
         F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("blocks")
     )
@@ -106,7 +113,9 @@ def lcs_length(masks_a: Column, length_a: Column, chars_b: Column) -> Column:
         F.transform(chars_b, lambda c: F.try_element_at(masks_a, c)), lambda m: m.isNotNull()
     )
     length = length_a.cast("int")
-    return F.when(length <= _BLOCK, _one_block(masks, length)).otherwise(_many_blocks(masks, length))
+    return F.when(length <= _BLOCK, _one_block(masks, length)).otherwise(
+        bind(masks, lambda found: _many_blocks(found, length))
+    )
 
 
 def ratio(lcs: Column, length_a: Column, length_b: Column) -> Column:
@@ -115,10 +124,17 @@ def ratio(lcs: Column, length_a: Column, length_b: Column) -> Column:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Score 0..100 of one pair held in one row; case-sensitive."""
-    left, right = sorted_tokens(a), sorted_tokens(b)
-    chars = characters(left)
-    lcs = lcs_length(position_masks(chars), F.size(chars), characters(right))
-    total = F.length(left) + F.length(right)
-    return F.when(total == 0, F.lit(100.0)).otherwise(
-        ratio(F.when(F.length(left) == 0, F.lit(0)).otherwise(lcs), F.length(left), F.length(right))
+    pair = F.struct(
+        characters(sorted_tokens(a)).alias("left"), characters(sorted_tokens(b)).alias("right")
     )
+
+    def score(p: Column) -> Column:
+        left, right = p["left"], p["right"]
+        lcs = bind(position_masks(left), lambda masks: lcs_length(masks, F.size(left), right))
+        return (
+            F.when(F.size(left) + F.size(right) == 0, F.lit(100.0))
+            .when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0))
+            .otherwise(ratio(lcs, F.size(left), F.size(right)))
+        )
+
+    return bind(pair, score)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,11 +62,20 @@ def detect_year(file_name: Column, parent_path: Column) -> Column:
 
 
 def path_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def path_parent(path: Column) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+    return F.left(path, F.length(path) - F.length(path_name(path)) - 1)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    Inside a lambda an outer expression would be computed again for every element; a lambda
+    variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def suppress_text(value: Column) -> Column:
@@ -100,16 +110,24 @@ def extract_occupation(question: Column) -> Column:
     """First listed keyword's word plus up to two words before it; null without one."""
     q = F.lower(question)
     keyword = F.coalesce(*[F.when(F.contains(q, F.lit(k)), F.lit(k)) for k in OCCUPATION_WORDS])
-    words = words_of(q)
-    at = F.array_position(F.transform(words, lambda w: F.contains(w, keyword)), True)
-    start = F.greatest(at - 2, F.lit(1))
-    picked = F.array_join(F.slice(words, start.cast("int"), (at - start + 1).cast("int")), " ")
-    return F.when(keyword.isNotNull() & (at > 0), picked)
+
+    def pick(found: Column) -> Column:
+        words, at = found["words"], found["at"]
+        start = F.greatest(at - 2, F.lit(1))
+        return F.when(at > 0, F.array_join(F.slice(words, start.cast("int"), (at - start + 1).cast("int")), " "))
+
+    def place(known: Column) -> Column:
+        hits = F.transform(known["words"], lambda w: F.contains(w, known["keyword"]))
+        return F.struct(known["words"].alias("words"), F.array_position(hits, True).alias("at"))
+
+    known = F.struct(words_of(q).alias("words"), keyword.alias("keyword"))
+    return F.when(keyword.isNotNull(), bind(known, lambda k: bind(place(k), pick)))
 
 
 def mask_sensitive(message: Column) -> Column:
     """Generic text for messages that mention secrets or addresses, else a bounded excerpt."""
-    hit = F.lower(message).rlike("|".join(re.escape(p) for p in SENSITIVE_PARTS))
+    low = F.lower(message)
+    hit = reduce(or_, [F.contains(low, F.lit(part)) for part in SENSITIVE_PARTS])
     cut = F.when(F.length(message) > 200, F.concat(F.left(message, F.lit(200)), F.lit("..."))).otherwise(message)
     return F.when(hit, F.lit(MASKED_TEXT)).otherwise(F.concat(F.lit(ERROR_PREFIX), cut))
 

@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystar.functions.text import normalize_header
+from tallystar.functions.text import bind, normalize_header
 from tallystar.schema import ALIAS_TO_CANONICAL, CANONICAL_COLUMNS, COLUMN_DEFAULTS, METADATA_COLUMNS
 
 
@@ -21,24 +21,26 @@ def alias_map() -> Column:
 
 def canonical_name(raw: Column) -> Column:
     """Alias target, else the upper-cased key, else the upper-cased raw header."""
-    key = normalize_header(raw)
-    return F.coalesce(
-        F.try_element_at(alias_map(), key), F.when(key != "", F.upper(key)), F.upper(raw)
+    return bind(
+        normalize_header(raw),
+        lambda key: F.coalesce(F.try_element_at(alias_map(), key), F.when(key != "", F.upper(key)), F.upper(raw)),
     )
 
 
 def rename_entries(header: Column) -> Column:
     """Array of ``(pos, raw, canonical, kept)``; the first column of a canonical name is kept."""
-    names = F.transform(header, canonical_name)
-    return F.transform(
-        F.arrays_zip(header.alias("raw"), names.alias("canonical")),
-        lambda e, i: F.struct(
-            i.alias("pos"),
-            e["raw"].alias("raw"),
-            e["canonical"].alias("canonical"),
-            (F.array_position(names, e["canonical"]) == i + 1).alias("kept"),
-        ),
-    )
+    def plan(names: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(header.alias("raw"), names.alias("canonical")),
+            lambda e, i: F.struct(
+                i.alias("pos"),
+                e["raw"].alias("raw"),
+                e["canonical"].alias("canonical"),
+                (F.array_position(names, e["canonical"]) == i + 1).alias("kept"),
+            ),
+        )
+
+    return bind(F.transform(header, canonical_name), plan)
 
 
 def rename_plan(layouts: DataFrame, header: str = "header") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.functions.text import strip_space
+from tallystar.functions.text import bind, strip_space
 
 # --- fixed values: log fields and event names ---
 
@@ -28,38 +28,32 @@ def last_lines(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
     return lines.orderBy(F.desc(order)).limit(n)
 
 
-def _parsed(lines: DataFrame, line: str) -> DataFrame:
-    text = lines.withColumn(line, strip_space(F.col(line))).where(F.col(line) != "")
-    return text.withColumn("__v", F.try_parse_json(line))
+_ENTRY = "array<struct<timestamp: string, level: string, component: string, event: string, data: variant>>"
 
 
-def _is_entry() -> Column:
-    return F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
+def _entry(line: str) -> Column:
+    """The line's object as a one-element array; null unless the whole line is one object.
+
+    Brackets around the line make text after the object an error; alone it would be ignored.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), strip_space(F.col(line)), F.lit("]")), _ENTRY)
+    return bind(parsed, lambda v: F.when((F.size(v) == 1) & F.get(v, F.lit(0)).isNotNull(), v))
 
 
 def parse_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Typed log entries; blank and malformed lines are left out."""
+    """Typed log entries; blank and malformed lines are left out.
+
+    The generator reads each line once; a filter on parsed columns would read it again.
+    """
     rest = [c for c in lines.columns if c != line]
-    field = lambda k: F.try_variant_get("__v", f"$.{k}", "string").alias(k)
-    return (
-        _parsed(lines, line)
-        .where(_is_entry())
-        .select(
-            *rest,
-            *[field(k) for k in ("timestamp", "level", "component", "event")],
-            F.try_variant_get("__v", "$.data", "variant").alias("data"),
-        )
-    )
+    return lines.select(*rest, F.inline(_entry(line)))
 
 
 def malformed_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """The lines that :func:`parse_log_lines` leaves out as unreadable, with a short preview."""
-    return (
-        _parsed(lines, line)
-        .where(~_is_entry())
-        .withColumn("preview", F.left(line, F.lit(SUMMARY_CHARS)))
-        .drop("__v")
-    )
+    text = strip_space(F.col(line))
+    broken = lines.where((text != "") & _entry(line).isNull())
+    return broken.withColumn(line, text).withColumn("preview", F.left(line, F.lit(SUMMARY_CHARS)))
 
 
 def _data(key: str, kind: str = "string") -> Column:

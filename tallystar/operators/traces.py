@@ -18,6 +18,7 @@ from tallystar.functions.json_text import (
     json_after_marker,
     json_objects_after,
 )
+from tallystar.functions.text import bind
 from tallystar.operators.ordered import DEFAULT_WIDTH, first_following, running_number
 
 # --- fixed values: author names in the logs and the texts reported for them ---
@@ -57,17 +58,14 @@ def trace_entries(
     SQL and web authors write arrays, of which the objects count; the others write one object.
     """
     known = [*PLAN_AUTHORS, SQL_AUTHOR, WEB_AUTHOR, CHART_AUTHOR, ANSWER_AUTHOR]
-    parsed = (
-        messages.where(F.col(name).isin(*known) & F.contains(F.col(content), F.lit(TRACE_MARKER)))
-        .select(conv, turn, name, F.try_parse_json(json_after_marker(F.col(content), TRACE_MARKER)).alias("__v"))
-        .where(F.col("__v").isNotNull())
-    )
+    written = messages.where(F.col(name).isin(*known) & F.contains(F.col(content), F.lit(TRACE_MARKER)))
     many = F.col(name).isin(SQL_AUTHOR, WEB_AUTHOR)
-    entries = F.when(many, F.try_variant_get("__v", "$", "array<variant>")).otherwise(F.array("__v"))
-    return (
-        parsed.select(conv, turn, name, F.posexplode(entries).alias("pos", "entry"))
-        .where(_is_object(F.col("entry")))
+    entries = bind(
+        F.try_parse_json(json_after_marker(F.col(content), TRACE_MARKER)),
+        lambda v: F.when(many, F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v)),
     )
+    found = written.select(conv, turn, name, F.posexplode(entries).alias("pos", "entry"))
+    return found.where(_is_object(F.col("entry")))
 
 
 def trace_flatten(

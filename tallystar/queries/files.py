@@ -51,8 +51,7 @@ def file_inventory(spark, sf_dir):
 
 
 def lineage(spark, sf_dir):
-    plan = inputs.corpus_layouts(spark, sf_dir)
-    rows = corpus.read_corpus(spark, plan)
+    rows = corpus.with_lineage(corpus.read_corpus(spark, inputs.corpus_layouts(spark, sf_dir)))
     return rows.groupBy("_source_file", "_source_folder", "_data_year").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -91,7 +90,9 @@ def parquet_roundtrip(spark, sf_dir):
 
 
 def warehouse_load(spark, sf_dir):
-    rows = warehouse.load_projection(corpus.standardize(spark, inputs.corpus_layouts(spark, sf_dir)))
+    rows = warehouse.load_projection(
+        warehouse.read_parquet_tree(spark, inputs.standardized_root(spark, sf_dir))
+    )
     expected = (
         inputs.survey_rows(spark, sf_dir)
         .groupBy(F.expr(f"{FILE_SQL} || '.csv'").alias("path"))

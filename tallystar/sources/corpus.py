@@ -11,6 +11,7 @@ import io
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -190,21 +191,34 @@ def lineage_columns(path: Column) -> list[Column]:
     ]
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def read_corpus(spark: SparkSession, plan: list[Layout], multi_line: bool = True) -> DataFrame:
-    """All files as text under canonical names, absent columns null, with lineage."""
+    """All files as text under canonical names, with defaults, extras and the file path.
+
+    A layout only picks and names columns; whatever is computed comes after the union, so the
+    expressions of a column are built once, however many layouts there are.
+    """
+    extras = list(dict.fromkeys(name for layout in plan for name in layout.extras))
     parts = []
     for layout in plan:
-        raw = read_layout(spark, layout, multi_line)
-        named = [F.col(f"c{pos}").alias(canonical) for canonical, pos in layout.kept.items()]
-        parts.append(raw.select(*named, *lineage_columns(F.col("_metadata.file_path"))))
-    return _union(parts)
+        kept = layout.kept
+        absent = {name: F.lit(default_for(name)).cast("string") for name in layout.added}
+        absent |= {name: F.lit(None).cast("string") for name in extras if name not in kept}
+        parts.append(
+            read_layout(spark, layout, multi_line).select(
+                *[
+                    (F.col(f"c{kept[name]}") if name in kept else absent[name]).alias(name)
+                    for name in (*CANONICAL_COLUMNS, *extras)
+                ],
+                F.col("_metadata.file_path").alias("_source_path"),
+            )
+        )
+    return reduce(DataFrame.unionAll, parts)
+
+
+def with_lineage(rows: DataFrame) -> DataFrame:
+    """Replace the file path by file name, folder name and detected year."""
+    names = [c for c in rows.columns if c != "_source_path"]
+    return rows.select(*names, *lineage_columns(F.col("_source_path")))
 
 
 def standardize(
@@ -215,36 +229,21 @@ def standardize(
     ``strict`` fails on a numeric column with other text. ``quarantine`` nulls such a value and
     names its column in ``_bad_columns``; see :func:`split_failed` for whole-file rejection.
     """
-    parts = []
-    for layout in plan:
-        raw = read_layout(spark, layout, multi_line)
-        kept = layout.kept
-        text = lambda name: suppress_text(F.col(f"c{kept[name]}"))  # noqa: B023, E731
-
-        def canonical(name: str) -> Column:
-            dtype = CANONICAL_TYPES[name]
-            if name not in kept:  # noqa: B023
-                return F.lit(default_for(name)).cast(dtype).alias(name)
-            if name in NUMERIC_COLUMNS:
-                return sanitize_numeric(F.col(f"c{kept[name]}"), dtype, mode).alias(name)  # noqa: B023
-            return text(name).alias(name)  # noqa: B023
-
-        columns = [canonical(name) for name in CANONICAL_COLUMNS]
-        columns += [text(name).alias(name) for name in layout.extras]
-        columns += lineage_columns(F.col("_metadata.file_path"))
-        if mode == "quarantine":
-            bad = [
-                F.when(is_bad_number(F.col(f"c{kept[n]}"), CANONICAL_TYPES[n]), F.lit(n))
-                for n in NUMERIC_COLUMNS
-                if n in kept
-            ]
-            columns.append(F.array_compact(F.array(*bad)).cast("array<string>").alias("_bad_columns"))
-            columns.append(F.col("_metadata.file_path").alias("_source_path"))
-        parts.append(raw.select(*columns))
-    out = _union(parts)
-    tail = [c for c in (*METADATA_COLUMNS, "_bad_columns", "_source_path") if c in out.columns]
-    extras = [c for c in out.columns if c not in CANONICAL_COLUMNS and c not in tail]
-    return out.select(*CANONICAL_COLUMNS, *extras, *tail)
+    raw = read_corpus(spark, plan, multi_line)
+    columns = [
+        (
+            sanitize_numeric(F.col(name), CANONICAL_TYPES[name], mode)
+            if name in NUMERIC_COLUMNS
+            else suppress_text(F.col(name))
+        ).alias(name)
+        for name in raw.columns
+        if name != "_source_path"
+    ]
+    columns += lineage_columns(F.col("_source_path"))
+    if mode == "quarantine":
+        bad = [F.when(is_bad_number(F.col(n), CANONICAL_TYPES[n]), F.lit(n)) for n in NUMERIC_COLUMNS]
+        columns += [F.array_compact(F.array(*bad)).alias("_bad_columns"), F.col("_source_path")]
+    return raw.select(*columns)
 
 
 def file_results(quarantined: DataFrame) -> DataFrame:
