@@ -84,12 +84,12 @@ def load_table(df: DataFrame, base: str, table: str, expected: DataFrame | None
     path = f"{base}/{table}/{uuid.uuid4().hex}"
     write_fact(df, path)
     loaded = read_fact(spark, path)
-    if expected is not None:
-        counted = loaded.groupBy(F.col("SOURCE_FILE").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
-        wrong = reconcile(expected, counted).where("status <> 'ok'").count()
-        if wrong:
-            raise RuntimeError(f"{wrong} source files do not reconcile; {table} was not published")
-    publish(spark, base, table, path, loaded.count())
+    counted = loaded.groupBy(F.col("SOURCE_FILE").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    audit = counted.selectExpr("rows AS loaded_rows", "'ok' AS status") if expected is None else reconcile(expected, counted)
+    found = audit.agg(F.count_if(F.col("status") != "ok").alias("wrong"), F.sum("loaded_rows").alias("rows")).first()
+    if found["wrong"]:
+        raise RuntimeError(f"{found['wrong']} source files do not reconcile; {table} was not published")
+    publish(spark, base, table, path, found["rows"] or 0)
     return read_fact(spark, current_version(spark, base, table))
 
 

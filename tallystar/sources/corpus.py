@@ -198,20 +198,23 @@ def read_corpus(spark: SparkSession, plan: list[Layout], multi_line: bool = True
     expressions of a column are built once, however many layouts there are.
     """
     extras = list(dict.fromkeys(name for layout in plan for name in layout.extras))
-    parts = []
-    for layout in plan:
-        kept = layout.kept
-        absent = {name: F.lit(default_for(name)).cast("string") for name in layout.added}
-        absent |= {name: F.lit(None).cast("string") for name in extras if name not in kept}
-        parts.append(
-            read_layout(spark, layout, multi_line).select(
-                *[
-                    (F.col(f"c{kept[name]}") if name in kept else absent[name]).alias(name)
-                    for name in (*CANONICAL_COLUMNS, *extras)
-                ],
-                F.col("_metadata.file_path").alias("_source_path"),
-            )
+
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    def pick(layout: Layout, name: str) -> str:
+        if name in layout.kept:
+            return f"c{layout.kept[name]} AS {quoted(name)}"
+        default = default_for(name) if name in CANONICAL_COLUMNS else None
+        return f"CAST({'NULL' if default is None else repr(default)} AS STRING) AS {quoted(name)}"
+
+    parts = [
+        read_layout(spark, layout, multi_line).selectExpr(
+            *[pick(layout, name) for name in (*CANONICAL_COLUMNS, *extras)],
+            "_metadata.file_path AS _source_path",
         )
+        for layout in plan
+    ]
     return reduce(DataFrame.unionAll, parts)
 
 
