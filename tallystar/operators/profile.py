@@ -51,42 +51,34 @@ def exact_medians(
     holds at most ``settle_rows`` rows or a single value. Only that remainder is ordered.
     """
     medians: dict[str, float | None] = {c: None for c in columns}
-    brackets: dict[str, tuple] = {}
+    brackets = {c: (None, None, 0, counts[c]) for c in columns}
+    margin = dict.fromkeys(columns, 2.0 / _SKETCH_ACCURACY)
     pending = [c for c in columns if counts[c]]
-    while pending:
-        step = 2.0 / _SKETCH_ACCURACY
 
-        def sketch(c: str):
-            ranks = _middle_ranks(counts[c])
-            if c not in brackets:
-                value, below, inside = F.col(c), 0, counts[c]
-            else:
-                lo, hi, below, inside = brackets[c]
-                value = F.when(F.col(c).between(F.lit(lo), F.lit(hi)), F.col(c))
-            low = max((ranks[0] - below) / inside - step, 0.0)
-            high = min((ranks[1] - below) / inside + step, 1.0)
-            return F.percentile_approx(value, [low, high], _SKETCH_ACCURACY).alias(c)
+    def sketch(c: str):
+        lo, hi, below, inside = brackets[c]
+        value = F.col(c) if lo is None else F.when(F.col(c).between(F.lit(lo), F.lit(hi)), F.col(c))
+        first, last = _middle_ranks(counts[c])
+        low = max((first - below) / inside - margin[c], 0.0)
+        high = min((last - below) / inside + margin[c], 1.0)
+        return F.percentile_approx(value, [low, high], _SKETCH_ACCURACY).alias(c)
 
+    while pending:
         bounds = df.agg(*[sketch(c) for c in pending]).first()
-        for c in pending:
-            lo, hi = bounds[c]
-            if c in brackets:
-                lo, hi = max(lo, brackets[c][0]), min(hi, brackets[c][1])
-            brackets[c] = (lo, hi, 0, 0)
-        placed = df.agg(
-            *chain_counts(pending, brackets),
-        ).first()
+        placed = df.agg(*[n for c in pending for n in _bracket_counts(c, *bounds[c])]).first()
         still = []
         for c in pending:
-            lo, hi, _, _ = brackets[c]
+            lo, hi = bounds[c]
             below, inside = placed[f"{c}__below"], placed[f"{c}__inside"]
-            ranks = _middle_ranks(counts[c])
-            if not (below < ranks[0] and ranks[1] <= below + inside):
-                raise RuntimeError(f"quantile sketch missed the median of {c}")
-            if lo == hi:
+            first, last = _middle_ranks(counts[c])
+            if not (below < first and last <= below + inside):
+                # The sketch was off by more than its margin: look at a wider part.
+                margin[c] *= 10
+                still.append(c)
+            elif lo == hi:
                 medians[c] = float(lo)
             elif inside <= settle_rows:
-                medians[c] = _value_at(df, c, lo, hi, below, ranks)
+                medians[c] = _value_at(df, c, lo, hi, below, (first, last))
             else:
                 brackets[c] = (lo, hi, below, inside)
                 still.append(c)
@@ -94,18 +86,20 @@ def exact_medians(
     return medians
 
 
-def chain_counts(columns: Sequence[str], brackets: dict[str, tuple]) -> list:
-    out = []
-    for c in columns:
-        lo, hi = brackets[c][:2]
-        out.append(F.count(F.when(F.col(c) < F.lit(lo), 1)).alias(f"{c}__below"))
-        out.append(F.count(F.when(F.col(c).between(F.lit(lo), F.lit(hi)), 1)).alias(f"{c}__inside"))
-    return out
+def _bracket_counts(column: str, lo, hi) -> list:
+    value = F.col(column)
+    return [
+        F.count_if(value < F.lit(lo)).alias(f"{column}__below"),
+        F.count_if(value.between(F.lit(lo), F.lit(hi))).alias(f"{column}__inside"),
+    ]
 
 
 _PROFILE_SCHEMA = "column string, row_count long, min double, max double, mean double, median double"
 
 
+_STATS_SCHEMA = "column string, min double, max double, mean double, count long"
+
+
 def result_profile(df: DataFrame, limit: int = PROFILED_COLUMNS) -> DataFrame:
     """Row count and min, max, mean and exact median of the first numeric columns."""
     columns = numeric_columns(df, limit)
@@ -132,6 +126,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     columns = list(columns if columns is not None else df.columns)
     columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df.sparkSession.createDataFrame([], _STATS_SCHEMA)
 
     def value(c: str):
         kind = df.schema[c].dataType

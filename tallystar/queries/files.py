@@ -114,7 +114,9 @@ def archive_members(spark, sf_dir):
 
 
 def workbook_rows(spark, sf_dir):
-    decoded = workbooks.read_workbooks(spark, inputs.workbook_root(spark, sf_dir))
+    decoded = workbooks.convert_workbooks(
+        spark, inputs.workbook_root(spark, sf_dir), scratch_path(spark, "decoded")
+    )
     rows = workbooks.workbook_rows(decoded)
     cell = lambda i: F.get("cells", F.lit(i))
     return rows.select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallystar.queries.tables import tables
 from tallystar.session import scratch_path
 from tallystar.sources import corpus
+from tallystar.sources.paths import arrow_location
 
 BLOCK_ORDERS = 50_000
 BOOK_ORDERS = 10_000
@@ -227,10 +228,7 @@ def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
 
 
 def _write_binary(path: str, name: str, content: bytes) -> None:
-    from pyarrow import fs
-
-    uri = "file://" + path if path.startswith("/") else path
-    system, inner = fs.FileSystem.from_uri(uri)
+    system, inner = arrow_location(path)
     system.create_dir(inner, recursive=True)
     with system.open_output_stream(f"{inner}/{name}") as out:
         out.write(content)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tallystar.functions.numeric import is_bad_number, sanitize_numeric
 from tallystar.functions.text import detect_year, normalize_header, path_name, path_parent, suppress_text
-from tallystar.operators.headers import default_for, rename_entries
+from tallystar.operators.headers import default_for, rename_entries, schema_difference
 from tallystar.schema import (
     CANONICAL_COLUMNS,
     CANONICAL_TYPES,
@@ -29,6 +29,7 @@ from tallystar.schema import (
     SKIPPED_NAME_PARTS,
     SUPPRESSION_TOKENS,
 )
+from tallystar.sources.paths import arrow_location
 
 DEFAULT_SAMPLE_ROWS = 200
 EXAMPLE_ROWS = 5
@@ -58,11 +59,7 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _open_head(path: str) -> io.TextIOBase:
-    from pyarrow import fs
-
-    # Hadoop writes local paths as file:/x; the Arrow file systems expect file:///x.
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    system, inner = fs.FileSystem.from_uri(uri)
+    system, inner = arrow_location(path)
     return io.TextIOWrapper(system.open_input_stream(inner), encoding="utf-8", errors="ignore", newline="")
 
 
@@ -86,7 +83,9 @@ def read_heads(files: DataFrame, sample_rows: int = DEFAULT_SAMPLE_ROWS) -> Data
     Each task opens its share of the files and stops after the sample, so the cost does not
     depend on file sizes. Pass ``sample_rows=0`` where only headers are wanted.
     """
-    spread = files.select("file_path", "folder", "file_name", "size_bytes").repartition("file_path")
+    # A fixed count: adaptive execution would merge these few bytes of paths into one task.
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    spread = files.select("file_path", "folder", "file_name", "size_bytes").repartition(tasks, "file_path")
     return spread.mapInPandas(_head_reader(sample_rows), _HEADS)
 
 
@@ -271,8 +270,6 @@ def split_failed(quarantined: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def standardize_report(spark: SparkSession, heads: DataFrame, results: DataFrame) -> DataFrame:
     """Per file: status, rows, columns and what the layout added, kept as extra or dropped."""
-    from tallystar.operators.headers import schema_difference
-
     planned = schema_difference(heads.where(F.size("header") > 0).select("file_path", "header"))
     counted = results.withColumnRenamed("_source_path", "file_path")
     width = F.lit(len(CANONICAL_COLUMNS) + len(METADATA_COLUMNS)) + F.size("extra_columns")

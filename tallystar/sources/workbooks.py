@@ -141,6 +141,15 @@ def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> D
     return decode_workbooks(files.select("path", "content"))
 
 
+def convert_workbooks(spark: SparkSession, path: str, output: str, pattern: str = "*.xlsx") -> DataFrame:
+    """Decode every workbook once into a table at ``output`` and read that table.
+
+    Rows and report both need the whole decoding, so it is kept rather than repeated.
+    """
+    read_workbooks(spark, path, pattern).write.mode("errorifexists").parquet(output)
+    return spark.read.parquet(output)
+
+
 def decode_workbooks(files: DataFrame) -> DataFrame:
     """As :func:`read_workbooks` for ``path, content`` rows, such as archive members."""
     return files.mapInPandas(_workbook_rows, _ROWS)
