@@ -32,6 +32,7 @@ SCORE_THRESHOLD = 60
 # --- end of fixed values ---
 
 INLINE_TITLES = 5_000
+_TASKS_PER_CORE = 4
 _GAP = 3
 
 
@@ -62,7 +63,11 @@ def _within_reach(a_key: Column, a_len: Column, b_key: Column, b_len: Column, th
 
 
 def _inline_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit: int) -> DataFrame:
-    q = _with_features(queries, "query", "q").withColumn("q_masks", position_masks(F.col("q_chars")))
+    # Scoring is heavy and its input small: a fixed count keeps adaptive execution from
+    # merging the queries into a few tasks.
+    tasks = _TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    q = _with_features(queries.repartition(tasks, "query"), "query", "q")
+    q = q.withColumn("q_masks", position_masks(F.col("q_chars")))
     t = _with_features(titles, "name", "t")
     all_titles = t.agg(F.collect_list(F.struct("name", "t_key", "t_chars", "t_len")).alias("titles")).scalar()
     near = F.filter(

@@ -16,7 +16,9 @@ from tallystar.schema import METRO_LEVEL, OWNERSHIP_TYPES, STATE_LEVEL
 
 
 def ownership_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OWNERSHIP_TYPES, "own_code int, own_description string")
+    """The fixed ownership codes, as a relation whose size Catalyst knows and broadcasts."""
+    values = ", ".join(f"({code}, '{text}')" for code, text in OWNERSHIP_TYPES)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(own_code, own_description)")
 
 
 def star_join(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:

@@ -201,10 +201,13 @@ def response_assembly(
     The ordered sources and charts themselves stay rows, in :func:`trace_flatten` and
     :func:`chart_specs`, because one conversation may hold any number of them.
     """
-    answer = F.max_by(
-        F.when(F.col(name) == ANSWER_AUTHOR, F.col(content)), F.when(F.col(name) == ANSWER_AUTHOR, F.col(turn))
+    is_answer = F.col(name) == ANSWER_AUTHOR
+    # Other messages are cut down to their conversation before rows are sorted for max_by.
+    answers = messages.select(
+        conv, F.when(is_answer, F.col(content)).alias("__text"), F.when(is_answer, F.col(turn)).alias("__turn")
     )
-    base = messages.groupBy(conv).agg(F.coalesce(F.nullif(answer, F.lit("")), F.lit(NO_ANSWER)).alias("answer"))
+    last = F.nullif(F.max_by("__text", "__turn"), F.lit(""))
+    base = answers.groupBy(conv).agg(F.coalesce(last, F.lit(NO_ANSWER)).alias("answer"))
     charts = (
         messages.where((F.col(name) == CHART_SUMMARY_AUTHOR) & F.contains(F.col(content), F.lit(CHART_MARKER)))
         .select(conv, F.size(F.filter(json_objects_after(F.col(content), CHART_MARKER), F.isnotnull)).alias("n"))

@@ -103,13 +103,15 @@ def vintage_audit(
     """Row count and lineage per loaded file.
 
     All rows of a file carry one year, name and folder or null, so the least non-null value
-    is the first one, whatever order the rows arrive in.
+    is the first one, whatever order the rows arrive in. Text cannot sit in a hash
+    aggregation buffer, so names are first grouped, which hashes, and then reduced per path.
     """
-    return df.groupBy(path).agg(
+    per_name = df.groupBy(path, file, folder).agg(F.min(year).alias("__year"), F.count(F.lit(1)).alias("__rows"))
+    return per_name.groupBy(path).agg(
         F.min(file).alias("SOURCE_FILE"),
         F.min(folder).alias("SOURCE_FOLDER"),
-        F.min(year).alias("SURVEY_YEAR"),
-        F.count(F.lit(1)).alias("ROW_COUNT"),
+        F.min("__year").alias("SURVEY_YEAR"),
+        F.sum("__rows").alias("ROW_COUNT"),
     )
 
 

@@ -16,23 +16,6 @@ FACT_COLUMNS = [
 ]
 
 
-def facts(spark: SparkSession, sf_dir: str, latest: bool) -> DataFrame:
-    lineitem, orders = tables(spark, sf_dir, "lineitem", "orders")
-    if latest:
-        orders = star.latest_dated_year(orders, "o_orderdate")
-    rows = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(
-        "l_orderkey",
-        "l_linenumber",
-        F.year("o_orderdate").alias("survey_year"),
-        F.col("l_quantity").alias("total_employment"),
-        F.col("l_extendedprice").alias("mean_annual_wage"),
-        F.col("o_custkey").alias("area_code"),
-        F.col("l_partkey").alias("occ_code"),
-        F.left("o_orderpriority", F.lit(1)).cast("int").alias("own_code"),
-    )
-
-
 def area_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation = tables(spark, sf_dir, "customer", "nation")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -50,16 +33,36 @@ def occupation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_rows(spark: SparkSession, sf_dir: str, latest: bool) -> DataFrame:
-    """Facts with every dimension but the occupation."""
-    industries = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("naics_code")).distinct()
-    return star.star_join(
-        facts(spark, sf_dir, latest),
+    """Facts with every dimension but the occupation.
+
+    Area, industry and ownership belong to the order, so they are joined to orders first;
+    the far larger line items are then shuffled once, by order key.
+    """
+    lineitem, orders, customer = tables(spark, sf_dir, "lineitem", "orders", "customer")
+    if latest:
+        orders = star.latest_dated_year(orders, "o_orderdate")
+    industries = customer.select(F.col("c_mktsegment").alias("naics_code")).distinct()
+    placed = star.star_join(
+        orders.select(
+            "o_orderkey",
+            F.year("o_orderdate").alias("survey_year"),
+            F.col("o_custkey").alias("area_code"),
+            F.left("o_orderpriority", F.lit(1)).cast("int").alias("own_code"),
+        ),
         [
             (area_rows(spark, sf_dir), "area_code", "area_code"),
             (industries.withColumn("naics_title", F.lower("naics_code")), "naics_code", "naics_code"),
             (star.ownership_types(spark), "own_code", "own_code"),
         ],
     )
+    measures = lineitem.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_partkey").alias("occ_code"),
+        F.col("l_quantity").alias("total_employment"),
+        F.col("l_extendedprice").alias("mean_annual_wage"),
+    )
+    return measures.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def star_rows(spark: SparkSession, sf_dir: str, latest: bool = True) -> DataFrame:

@@ -164,7 +164,8 @@ def workbook_rows(decoded: DataFrame) -> DataFrame:
 
 def conversion_report(decoded: DataFrame) -> DataFrame:
     """Per workbook: sheets converted and failed, success, and a message."""
-    per_sheet = decoded.groupBy("path", "sheet").agg(F.max("error").alias("error"))
+    marks = decoded.where("row_no IS NULL")
+    per_sheet = marks.groupBy("path", "sheet").agg(F.max("error").alias("error"))
     opened = F.col("sheet").isNotNull()
     per_file = per_sheet.groupBy("path").agg(
         F.count_if(opened & F.col("error").isNull()).alias("sheets_converted"),
