@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystar.operators import headers, warehouse
+from tallystar.plans.guarded_sql import GuardedSql
 from tallystar.sources import corpus
 
 FACT_TABLE = "fact"
@@ -82,3 +83,15 @@ def run(spark: SparkSession, root: str, output: str) -> DataFrame:
     analyze(spark, root, f"{output}/analysis")
     outcome = standardize(spark, root, f"{output}/standardized")
     return warehouse.load_summary(migrate(spark, outcome, f"{output}/warehouse"))
+
+
+def guarded_warehouse(spark: SparkSession, base: str) -> GuardedSql:
+    """Read-only SQL over the published fact table and its vintages."""
+    path = warehouse.current_version(spark, base, FACT_TABLE)
+    return GuardedSql(
+        spark,
+        {
+            FACT_TABLE: lambda session: warehouse.read_fact(session, path),
+            "data_vintages": lambda session: session.read.parquet(f"{base}/data_vintages"),
+        },
+    )

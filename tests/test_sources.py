@@ -104,6 +104,9 @@ def test_pipeline_end_to_end(spark, root, tmp_path):
     assert tuple(warehouse.load_summary(fact).first()) == (4, 2, 2022, 2024)
     vintages = spark.read.parquet(str(tmp_path / "wh" / "data_vintages"))
     assert {(r.SOURCE_FILE, r.ROW_COUNT) for r in vintages.collect()} == {("sample.csv", 1), ("part_2022.csv", 3)}
+    sql = pipeline.guarded_warehouse(spark, str(tmp_path / "wh"))
+    assert sql.run("SELECT AREA_TITLE FROM fact WHERE OCC_CODE = ?", '["11-1011"]').envelope()["data"] == [["Test Area"]]
+    assert sql.run("SELECT count(*) FROM data_vintages").envelope()["data"] == [[2]]
     variants = pipeline.analyze(spark, str(root), str(tmp_path / "an"))
     assert variants.where("normalized = 'area'").agg(F.sum("files")).first()[0] == 4
     assert spark.read.json(str(tmp_path / "an" / "column_inventory")).count() == 3
@@ -234,3 +237,30 @@ def test_stream_logs(spark, tmp_path):
     got = {(r.event, r.data) for r in spark.read.parquet(paths[1]).collect()}
     assert got == {("x", json.dumps({"k": 1}, separators=(",", ":"))), ("y", None)}
     assert [r.preview for r in spark.read.parquet(paths[2]).collect()] == ["broken"]
+
+
+def test_star_schema_views(spark):
+    from tallystar.plans import star_schema
+    from tallystar.schema import FACT_SCHEMA
+
+    def row(area, kind, occ, year, emp, wage, own="5", title="T"):
+        values = dict.fromkeys([f.name for f in FACT_SCHEMA.fields])
+        values |= dict(AREA=area, AREA_TITLE=title, AREA_TYPE=kind, NAICS="0", NAICS_TITLE="All", I_GROUP="x", OWN_CODE=own)
+        values |= dict(OCC_CODE=occ, OCC_TITLE=f"job {occ}", O_GROUP="detailed", TOT_EMP=emp, A_MEAN=wage, H_MEAN=12.345)
+        return tuple((values | dict(SURVEY_YEAR=year, SURVEY_MONTH="May", ANNUAL="TRUE")).values())
+
+    data = [
+        row("1", 2, "a", 2023, 10, 50.0, title="New"), row("1", 2, "a", 2022, 9, 40.0, title="Old"),
+        row("2", 4, "a", 2023, 20, 70.0), row("3", 1, "a", 2023, 99, 10.0), row("2", 4, "b", 2023, None, 70.0),
+        row("2", 4, "a", 2023, 5, 5.0, own="4"),
+    ]
+    tables = star_schema.star_tables(spark.createDataFrame(data, FACT_SCHEMA))
+    assert dict(tables["employment_wage_data"].dtypes)["mean_hourly_wage"] == "decimal(10,2)"
+    assert tables["geographic_areas"].where("area_code = '1'").first().area_title == "New"
+    views = star_schema.analytic_views(tables)
+    assert views["latest_employment_data"].count() == 4
+    assert views["state_employment_data"].count() == 1 and views["metro_employment_data"].count() == 2
+    summary = views["occupation_summary"].collect()
+    assert [(r.occ_code, r.occ_title, r.area_count, r.total_national_employment, r.avg_annual_wage) for r in summary] == [
+        ("a", "job a", 2, 30, 60.0)
+    ]
