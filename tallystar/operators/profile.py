@@ -20,6 +20,7 @@ PROFILED_COLUMNS = 5
 # --- end of fixed values ---
 
 _SKETCH_ACCURACY = 10_000
+_MARGIN = 2.0 / _SKETCH_ACCURACY
 _SETTLE_ROWS = 1_000_000
 
 
@@ -31,29 +32,59 @@ def _middle_ranks(n: int) -> tuple[int, int]:
     return (n + 1) // 2, n // 2 + 1
 
 
-def _value_at(df: DataFrame, column: str, lo, hi, below: int, ranks: tuple[int, int]) -> float:
-    """Mean of the values at two ranks, looking only at distinct values in ``[lo, hi]``."""
-    counted = df.where(F.col(column).between(F.lit(lo), F.lit(hi))).groupBy(column).count()
-    so_far = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("upto", F.sum("count").over(so_far) + F.lit(below))
-    hit = placed.agg(*[F.min(F.when(F.col("upto") >= r, F.col(column))).alias(f"r{r}") for r in set(ranks)])
-    row = hit.first()
-    return (float(row[f"r{ranks[0]}"]) + float(row[f"r{ranks[1]}"])) / 2
+def _middle_bounds(column: str, margin: float = _MARGIN):
+    """Sketched values just below and just above the middle."""
+    return F.percentile_approx(column, [0.5 - margin, 0.5 + margin], _SKETCH_ACCURACY)
+
+
+def _bracket_counts(column: str, lo, hi) -> list:
+    value = F.col(column)
+    return [
+        F.count_if(value < F.lit(lo)).alias(f"{column}__below"),
+        F.count_if(value.between(F.lit(lo), F.lit(hi))).alias(f"{column}__inside"),
+    ]
+
+
+def _settle(df: DataFrame, brackets: dict[str, tuple], counts: dict[str, int]) -> dict[str, float]:
+    """Medians of columns whose brackets are small, from their distinct values in one pass."""
+
+    def entry(c: str):
+        lo, hi, *_ = brackets[c]
+        inside = F.col(c).between(F.lit(lo), F.lit(hi))
+        return F.when(inside, F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")))
+
+    found = df.select(F.inline(F.array_compact(F.array(*[entry(c) for c in brackets])))).groupBy("column", "value").count()
+    so_far = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def per_column(values: dict[str, int]):
+        cases = [F.when(F.col("column") == c, F.lit(v)) for c, v in values.items()]
+        return F.coalesce(*cases)
+
+    placed = found.withColumn("upto", F.sum("count").over(so_far) + per_column({c: b[2] for c, b in brackets.items()}))
+    ranks = [per_column({c: _middle_ranks(counts[c])[i] for c in brackets}) for i in (0, 1)]
+    picked = [F.min(F.when(F.col("upto") >= r, F.col("value"))).alias(f"m{i}") for i, r in enumerate(ranks)]
+    return {r["column"]: (r["m0"] + r["m1"]) / 2 for r in placed.groupBy("column").agg(*picked).collect()}
 
 
 def exact_medians(
-    df: DataFrame, columns: Sequence[str], counts: dict[str, int], settle_rows: int = _SETTLE_ROWS
+    df: DataFrame,
+    columns: Sequence[str],
+    counts: dict[str, int],
+    settle_rows: int = _SETTLE_ROWS,
+    bounds: dict[str, tuple] | None = None,
 ) -> dict[str, float | None]:
     """Exact medians without holding a column's values in one task.
 
-    A quantile sketch brackets the middle ranks; each pass counts what lies below and inside
-    the brackets of all columns at once and narrows by about four digits, until a bracket
-    holds at most ``settle_rows`` rows or a single value. Only that remainder is ordered.
+    A quantile sketch brackets the middle ranks (``bounds`` may come from an earlier pass);
+    each further pass counts what lies below and inside the brackets of all columns at once
+    and narrows them by about four digits, until a bracket holds at most ``settle_rows`` rows
+    or a single value. Only those remainders are ordered.
     """
     medians: dict[str, float | None] = {c: None for c in columns}
-    brackets = {c: (None, None, 0, counts[c]) for c in columns}
-    margin = dict.fromkeys(columns, 2.0 / _SKETCH_ACCURACY)
     pending = [c for c in columns if counts[c]]
+    margin = dict.fromkeys(pending, _MARGIN)
+    brackets = {c: (None, None, 0, counts[c]) for c in pending}
+    small: dict[str, tuple] = {}
 
     def sketch(c: str):
         lo, hi, below, inside = brackets[c]
@@ -64,7 +95,7 @@ def exact_medians(
         return F.percentile_approx(value, [low, high], _SKETCH_ACCURACY).alias(c)
 
     while pending:
-        bounds = df.agg(*[sketch(c) for c in pending]).first()
+        bounds = bounds or df.agg(*[sketch(c) for c in pending]).first().asDict()
         placed = df.agg(*[n for c in pending for n in _bracket_counts(c, *bounds[c])]).first()
         still = []
         for c in pending:
@@ -78,20 +109,12 @@ def exact_medians(
             elif lo == hi:
                 medians[c] = float(lo)
             elif inside <= settle_rows:
-                medians[c] = _value_at(df, c, lo, hi, below, (first, last))
+                small[c] = (lo, hi, below, inside)
             else:
                 brackets[c] = (lo, hi, below, inside)
                 still.append(c)
-        pending = still
-    return medians
-
-
-def _bracket_counts(column: str, lo, hi) -> list:
-    value = F.col(column)
-    return [
-        F.count_if(value < F.lit(lo)).alias(f"{column}__below"),
-        F.count_if(value.between(F.lit(lo), F.lit(hi))).alias(f"{column}__inside"),
-    ]
+        pending, bounds = still, None
+    return medians | (_settle(df, small, counts) if small else {})
 
 
 _PROFILE_SCHEMA = "column string, row_count long, min double, max double, mean double, median double"
@@ -108,8 +131,11 @@ def result_profile(df: DataFrame, limit: int = PROFILED_COLUMNS) -> DataFrame:
     for c in columns:
         for fn in (F.count, F.min, F.max, F.avg):
             aggs.append(fn(c).alias(f"{c}__{fn.__name__}"))
+        aggs.append(_middle_bounds(c).alias(f"{c}__middle"))
     row: Row = df.agg(*aggs).first()
-    medians = exact_medians(df.select(*columns), columns, {c: row[f"{c}__count"] for c in columns})
+    counts = {c: row[f"{c}__count"] for c in columns}
+    bounds = {c: tuple(row[f"{c}__middle"]) for c in columns if counts[c]}
+    medians = exact_medians(df.select(*columns), columns, counts, bounds=bounds)
     number = lambda v: None if v is None else float(v)
     rows = [
         (c, row["__rows"], number(row[f"{c}__min"]), number(row[f"{c}__max"]), number(row[f"{c}__avg"]), medians[c])
