@@ -19,7 +19,7 @@ _LOOSE = (
 
 
 def _plain(value: Column) -> Column:
-    text = strip_space(value.cast("string"))
+    text = strip_space(value)
     return F.when(~text.isin(*SUPPRESSION_TOKENS), text)
 
 
@@ -27,10 +27,22 @@ def _pattern(dtype: T.DataType) -> str:
     return _INTEGER if isinstance(dtype, T.IntegralType) else _DECIMAL
 
 
+def _direct(value: Column, dtype: T.DataType) -> Column:
+    """The number of a value that needs no trimming, which is nearly all of them."""
+    return F.when(value.rlike(_pattern(dtype)), value.try_cast(dtype))
+
+
+def _number(value: Column, dtype: T.DataType, otherwise=None) -> Column:
+    text = _plain(value)
+    trimmed = F.when(text.rlike(_pattern(dtype)), text.try_cast(dtype))
+    if otherwise is not None:
+        trimmed = F.when(text.isNotNull(), F.coalesce(trimmed, otherwise(text)))
+    return F.when(value.isNotNull(), F.coalesce(_direct(value, dtype), trimmed))
+
+
 def is_bad_number(value: Column, dtype: T.DataType) -> Column:
     """True where a value is neither suppressed nor a number of the wanted type."""
-    text = _plain(value)
-    return text.isNotNull() & (~text.rlike(_pattern(dtype)) | text.try_cast(dtype).isNull())
+    return value.isNotNull() & _number(value, dtype).isNull() & _plain(value).isNotNull()
 
 
 def sanitize_numeric(value: Column, dtype: T.DataType, mode: str = "strict") -> Column:
@@ -40,14 +52,13 @@ def sanitize_numeric(value: Column, dtype: T.DataType, mode: str = "strict") ->
     used together with :func:`is_bad_number`. The pattern keeps out spellings such as
     ``1d`` that only the cast accepts.
     """
-    text = _plain(value)
-    number = F.when(text.rlike(_pattern(dtype)), text.try_cast(dtype))
     if mode == "quarantine":
-        return number
+        return _number(value, dtype)
     if mode != "strict":
         raise ValueError(f"unknown mode: {mode}")
-    failed = F.raise_error(F.concat(F.lit("not a number: "), text)).cast(dtype)
-    return F.when(text.isNotNull(), F.coalesce(number, failed))
+    return _number(
+        value, dtype, lambda text: F.raise_error(F.concat(F.lit("not a number: "), text)).cast(dtype)
+    )
 
 
 def tolerant_number(value: Column) -> Column:

@@ -77,8 +77,8 @@ def suppress_text_query(spark, sf_dir):
 
 
 def sanitize_numeric_query(spark, sf_dir):
-    value = sanitize_numeric(F.expr(_RAW_NUMBER), T.DoubleType())
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_RAW_NUMBER).alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", sanitize_numeric(F.col("raw"), T.DoubleType()).alias("value"))
 
 
 _YEAR_NAME = "CASE WHEN o_orderkey % 3 = 0 THEN 'data.csv' ELSE 'all_data_M_' || CAST(year(o_orderdate) + 20 AS STRING) || '.csv' END"
