@@ -1,9 +1,9 @@
 """Typo-tolerant title search, table by table.
 
 Both sides are reduced to distinct strings first, so copies cost nothing. How pairs are found
-then depends on the measured number of distinct titles:
+then depends on the measured number and length of distinct titles:
 
-* Up to ``inline_titles``: the titles travel as one array value (a scalar subquery), and each
+* Up to ``inline_titles`` and a million characters: the titles travel as one array value (a scalar subquery), and each
   query row scores them inside its own row. Nothing is shuffled but the final top-k.
 * Beyond that: strings meet only where they share a token, by an equi-join on tokens whose
   filter bounds are implied by the score threshold, so no true match is lost.
@@ -32,6 +32,7 @@ SCORE_THRESHOLD = 60
 # --- end of fixed values ---
 
 INLINE_TITLES = 5_000
+_INLINE_CHARS = 1_000_000
 _TASKS_PER_CORE = 4
 _GAP = 3
 
@@ -40,6 +41,12 @@ def _distinct_strings(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select(F.col(column).alias(name)).where(F.col(name) != "").distinct()
 
 
+def _fits_inline(titles: DataFrame, most: int) -> bool:
+    """Whether the distinct titles are few and short enough to travel inside one value."""
+    seen = titles.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("name")).alias("chars")).first()
+    return seen["n"] <= most and (seen["chars"] or 0) <= _INLINE_CHARS
+
+
 def _with_features(df: DataFrame, column: str, p: str) -> DataFrame:
     """Sorted tokens, their characters and length, computed once per string."""
     return (
@@ -179,8 +186,7 @@ def fuzzy_match(
     """``query, name, score, rank`` of the best titles per distinct query string."""
     wanted = _distinct_strings(queries, query, "query")
     known = _distinct_strings(titles, title, "name")
-    small = known.limit(inline_titles + 1).count() <= inline_titles
-    find = _inline_matches if small else _token_matches
+    find = _inline_matches if _fits_inline(known, inline_titles) else _token_matches
     return find(wanted, known, threshold, limit)
 
 
@@ -224,7 +230,7 @@ def _containing(query: str) -> Column:
 
 def contains_match(queries: DataFrame, titles: DataFrame, limit: int, inline_titles: int) -> DataFrame:
     """``query, name, rank`` of titles that contain the query, ignoring case."""
-    if titles.limit(inline_titles + 1).count() <= inline_titles:
+    if _fits_inline(titles, inline_titles):
         everything = titles.agg(F.collect_list("name").alias("titles")).scalar()
         found = F.filter(F.col("titles"), lambda n: F.ilike(n, _containing("query")))
         best = F.slice(F.array_sort(found), 1, limit)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystar.operators import headers, warehouse
 from tallystar.plans.guarded_sql import GuardedSql
-from tallystar.sources import corpus
+from tallystar.sources import corpus, workbooks
 
 FACT_TABLE = "fact"
 
@@ -23,6 +25,30 @@ class StandardizeOutcome:
     total_rows: int
 
 
+def convert(spark: SparkSession, source: str, output: str, pattern: str = "*.xlsx", force: bool = False) -> DataFrame:
+    """Convert new workbooks to one CSV directory per sheet; returns this run's report.
+
+    Workbooks with a converted sheet in an earlier report are skipped unless ``force`` is set.
+    """
+    listed = workbooks.list_workbooks(spark, source, pattern)
+    report_path = f"{output}/report"
+    try:
+        done = spark.read.parquet(report_path).where("sheets_converted > 0")
+    except AnalysisException:
+        done = spark.createDataFrame([], "file string")
+    pending = warehouse.pending_inputs(listed, done, "file", force)
+    paths = [r["path"] for r in pending.select("path").collect()]
+    run_id = uuid.uuid4().hex
+    if paths:
+        decoded = workbooks.convert_workbooks(spark, paths, f"{output}/decoded/{run_id}", pattern)
+        workbooks.write_sheet_csv(workbooks.workbook_rows(decoded), f"{output}/csv/{run_id}")
+        report = workbooks.conversion_report(decoded).withColumn("run", F.lit(run_id))
+        report.write.mode("append").parquet(report_path)
+    if not paths and not done.columns[1:]:
+        raise FileNotFoundError(f"no workbooks under {source}")
+    return spark.read.parquet(report_path).where(F.col("run") == run_id)
+
+
 def analyze(spark: SparkSession, root: str, output: str, sample_rows: int = corpus.DEFAULT_SAMPLE_ROWS) -> DataFrame:
     """Write the column inventory and the header variants as JSON; returns the variants."""
     heads_path = f"{output}/heads"
@@ -51,9 +77,11 @@ def standardize(spark: SparkSession, root: str, output: str, multi_line: bool =
     warehouse.write_standardized(clean, rows_path)
     report = corpus.standardize_report(spark, heads, results)
     corpus.write_report(report, report_path)
-    totals = corpus.report_totals(report).first()
+    written = spark.read.schema(report.schema).json(report_path)
+    corpus.write_report(corpus.report_totals(written), f"{output}/standardization_totals")
+    totals = spark.read.json(f"{output}/standardization_totals").first()
     return StandardizeOutcome(
-        rows_path, report_path, totals["files_processed"], totals["files_failed"], totals["total_rows"] or 0
+        rows_path, report_path, totals["files_processed"], totals["files_failed"], totals["total_rows"]
     )
 
 

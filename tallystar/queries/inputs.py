@@ -18,6 +18,9 @@ from tallystar.queries.tables import tables
 from tallystar.session import scratch_path
 from tallystar.sources import corpus
 from tallystar.sources.paths import arrow_location
+from tallystar.tasks import ship_by_value
+
+ship_by_value(__name__)
 
 BLOCK_ORDERS = 50_000
 BOOK_ORDERS = 10_000

@@ -74,7 +74,7 @@ def data_dictionary(spark, sf_dir):
     """Columns of the driver's tables with the size of each table."""
     known = dict(zip(TABLES, tables(spark, sf_dir, *TABLES)))
     sizes = catalog.table_sizes(known)
-    return catalog.data_dictionary(spark, known).join(sizes, "table").select("table", "column", "rows")
+    return catalog.data_dictionary(spark, known).join(sizes, "table").select("table", "column", "type", "rows")
 
 
 def warehouse_dictionary(spark):
@@ -112,7 +112,9 @@ QUERIES = {
     "data_dictionary": Query(
         data_dictionary,
         " UNION ALL ".join(
-            f"""SELECT '{n}' AS "table", column_name AS "column", (SELECT count(*) FROM {n}) AS rows
+            f"""SELECT '{n}' AS "table", column_name AS "column",
+            CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+              ELSE lower(column_type) END AS type, (SELECT count(*) FROM {n}) AS rows
             FROM (DESCRIBE {n})"""
             for n in TABLES
         ),

@@ -9,6 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tallystar.tasks import ship_by_value
+
+ship_by_value(__name__)
 
 _MEMBERS = "archive string, member string, base_name string, size_bytes long, content binary, error string"
 

@@ -26,14 +26,18 @@ from tallystar.schema import (
     CANONICAL_TYPES,
     METADATA_COLUMNS,
     NUMERIC_COLUMNS,
+    SCHEMA_VERSION,
     SKIPPED_NAME_PARTS,
     SUPPRESSION_TOKENS,
 )
 from tallystar.sources.paths import arrow_location
+from tallystar.tasks import ship_by_value
 
 DEFAULT_SAMPLE_ROWS = 200
 EXAMPLE_ROWS = 5
 
+ship_by_value(__name__)
+
 _FILES = "file_path string, folder string, file_name string, size_bytes long"
 _HEADS = f"{_FILES}, header array<string>, samples array<array<string>>"
 
@@ -291,7 +295,9 @@ def report_totals(report: DataFrame) -> DataFrame:
     return report.agg(
         F.count_if(ok).alias("files_processed"),
         F.count_if(~ok).alias("files_failed"),
-        F.sum(F.when(ok, F.col("rows")).otherwise(F.lit(0))).alias("total_rows"),
+        F.coalesce(F.sum(F.when(ok, F.col("rows"))), F.lit(0)).alias("total_rows"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.current_timestamp().alias("generated_at"),
     )
 
 

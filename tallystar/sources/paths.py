@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from tallystar.tasks import ship_by_value
+
+ship_by_value(__name__)
+
 
 def arrow_location(path: str):
     """Arrow file system and inner path of a path as Spark writes it."""

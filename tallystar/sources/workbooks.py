@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystar.functions.text import path_name, safe_name
+from tallystar.tasks import ship_by_value
 
 # --- fixed values: names and codes of the OOXML format ---
 
@@ -23,6 +24,8 @@ _DATE_FORMATS = {14, 15, 16, 17, 22, 27, 30, 36, 50, 57}
 
 # --- end of fixed values ---
 
+ship_by_value(__name__)
+
 _ROWS = "path string, sheet string, row_no int, cells array<string>, error string"
 _CHUNK = 2000
 
@@ -132,7 +135,13 @@ def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _frame(rows)
 
 
-def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+def list_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+    """Path and file name of each workbook; no file is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return listed.select("path", path_name(F.col("path")).alias("file"))
+
+
+def read_workbooks(spark: SparkSession, path: str | list[str], pattern: str = "*.xlsx") -> DataFrame:
     """Every row of every sheet, plus one mark per sheet and one per failure.
 
     A workbook cannot be split, so one task decodes it, sheet by sheet in chunks of rows.
@@ -141,7 +150,7 @@ def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> D
     return decode_workbooks(files.select("path", "content"))
 
 
-def convert_workbooks(spark: SparkSession, path: str, output: str, pattern: str = "*.xlsx") -> DataFrame:
+def convert_workbooks(spark: SparkSession, path: str | list[str], output: str, pattern: str = "*.xlsx") -> DataFrame:
     """Decode every workbook once into a table at ``output`` and read that table.
 
     Rows and report both need the whole decoding, so it is kept rather than repeated.
@@ -193,7 +202,7 @@ def conversion_report(decoded: DataFrame) -> DataFrame:
     )
 
 
-def write_sheet_csv(rows: DataFrame, path: str) -> None:
+def write_sheet_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One CSV directory per workbook and sheet; cells become positional columns."""
     width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
     cells = [F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)]
@@ -202,7 +211,7 @@ def write_sheet_csv(rows: DataFrame, path: str) -> None:
         .repartitionByRange("file", "sheet", "row_no")
         .sortWithinPartitions("file", "sheet", "row_no")
         .drop("row_no")
-        .write.mode("errorifexists")
+        .write.mode(mode)
         .option("escape", '"')
         .partitionBy("file", "sheet")
         .csv(path)

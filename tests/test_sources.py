@@ -184,6 +184,18 @@ def test_workbooks(spark, tmp_path):
     assert {(r.sheet, r._c0, r._c2) for r in back.collect()} == {("One", "a", None), ("One", "b", None), ("Two", "c", "1.5")}
 
 
+def test_convert_skips_what_is_done(spark, tmp_path):
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    write(tmp_path, "in/a.xlsx", workbook_bytes({"One": [["a"]]}))
+    write(tmp_path, "in/bad.xlsx", b"x")
+    first = pipeline.convert(spark, source, output)
+    assert {(r.file, r.success) for r in first.collect()} == {("a.xlsx", True), ("bad.xlsx", False)}
+    write(tmp_path, "in/b.xlsx", workbook_bytes({"One": [["b"]], "Two": [["c"]]}))
+    again = pipeline.convert(spark, source, output)
+    assert {(r.file, r.sheets_converted) for r in again.collect()} == {("b.xlsx", 2), ("bad.xlsx", 0)}
+    assert {r.file for r in pipeline.convert(spark, source, output, force=True).collect()} == {"a.xlsx", "b.xlsx", "bad.xlsx"}
+
+
 # --- streams ---
 
 
