@@ -5,14 +5,13 @@ then depends on the measured number and length of distinct titles:
 
 * Up to ``inline_titles`` and a million characters: the titles travel as one array value (a scalar subquery), and each
   query row scores them inside its own row. Nothing is shuffled but the final top-k.
-* Beyond that: strings meet only where they share a token, by an equi-join on tokens whose
-  filter bounds are implied by the score threshold, so no true match is lost.
-
-Bounds for score >= t, with s = len a + len b: the common subsequence has at least
-o = ceil(t*s/200) characters, so at most s - 2*o characters are unmatched. Each link between
-neighbouring matched characters survives as a pair at distance <= G in both strings unless a
-gap of G or more unmatched characters falls into it, so at least o - 1 - (s - 2*o) div G such
-pairs are shared.
+* Beyond that: strings meet only where they share a token, by an equi-join. Tokens are the
+  characters of a string, numbered where they repeat, and a string joins by its rarest ones only.
+
+A match with score >= t and lengths a and b has a common subsequence of n characters with
+200*n >= t*(a + b). As n <= b, also n >= t*a/(200 - t): every match of a string shares that many
+of its tokens. Of the shared tokens the rarest one then stands among the first
+a - ceil(t*a/(200 - t)) + 1 of each string in order of rarity, so no match is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystar.functions.similarity import characters, lcs_length, position_masks, ratio, sorted_tokens
+from tallystar.functions.text import bind
 
 # --- fixed values: search defaults ---
 
@@ -34,7 +34,8 @@ SCORE_THRESHOLD = 60
 INLINE_TITLES = 5_000
 _INLINE_CHARS = 1_000_000
 _TASKS_PER_CORE = 4
-_GAP = 3
+_BAG_BITS = 60
+_SALTS = 16
 
 
 def _distinct_strings(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -48,11 +49,24 @@ def _fits_inline(titles: DataFrame, most: int) -> bool:
 
 
 def _with_features(df: DataFrame, column: str, p: str) -> DataFrame:
-    """Sorted tokens, their characters and length, computed once per string."""
+    """Sorted tokens, their characters, length and bag bits, computed once per string."""
+    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), b)
+
+    def bag(word: int) -> Column:
+        mine = F.filter(F.col(f"{p}_bag"), lambda b: (b >= word * _BAG_BITS) & (b < (word + 1) * _BAG_BITS))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b - word * _BAG_BITS)))
+
+    buckets = F.transform(
+        _numbered(F.col(f"{p}_chars")), lambda c: F.pmod(F.xxhash64(c), F.lit(2 * _BAG_BITS)).cast("int")
+    )
     return (
         df.withColumn(f"{p}_key", sorted_tokens(F.col(column)))
         .withColumn(f"{p}_chars", characters(F.col(f"{p}_key")))
         .withColumn(f"{p}_len", F.size(f"{p}_chars"))
+        .withColumn(f"{p}_bag", buckets)
+        .withColumn(f"{p}_bag0", bag(0))
+        .withColumn(f"{p}_bag1", bag(1))
+        .drop(f"{p}_bag")
     )
 
 
@@ -61,12 +75,21 @@ def _enough(lcs: Column, total: Column, threshold: int) -> Column:
     return F.lit(200) * lcs >= F.lit(threshold) * total
 
 
-def _within_reach(a_key: Column, a_len: Column, b_key: Column, b_len: Column, threshold: int) -> Column:
-    """Cheap necessary tests: length gap and bounded edit distance, which never exceeds
-    the number of unmatched characters."""
-    total = a_len + b_len
+def _within_reach(a, b, threshold: int) -> Column:
+    """Necessary tests, cheapest first: length gap, bag bits, bounded edit distance.
+
+    ``a`` and ``b`` give a feature column by name. Every bit that differs stands for a
+    character of one string without a partner in the other, and the edit distance never
+    exceeds the number of such characters.
+    """
+    total = a("len") + b("len")
     slack = F.floor(F.lit(100 - threshold) * total / 100).cast("int")
-    return (F.abs(a_len - b_len) <= slack) & (F.call_function("levenshtein", a_key, b_key, slack) != -1)
+    unlike = F.bit_count(a("bag0").bitwiseXOR(b("bag0"))) + F.bit_count(a("bag1").bitwiseXOR(b("bag1")))
+    return (
+        (F.abs(a("len") - b("len")) <= slack)
+        & (unlike <= slack)
+        & (F.call_function("levenshtein", a("key"), b("key"), slack) != -1)
+    )
 
 
 def _inline_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit: int) -> DataFrame:
@@ -76,10 +99,10 @@ def _inline_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit
     q = _with_features(queries.repartition(tasks, "query"), "query", "q")
     q = q.withColumn("q_masks", position_masks(F.col("q_chars")))
     t = _with_features(titles, "name", "t")
-    all_titles = t.agg(F.collect_list(F.struct("name", "t_key", "t_chars", "t_len")).alias("titles")).scalar()
+    all_titles = t.agg(F.collect_list(F.struct("name", "t_key", "t_chars", "t_len", "t_bag0", "t_bag1")).alias("titles")).scalar()
     near = F.filter(
         F.col("titles"),
-        lambda c: _within_reach(F.col("q_key"), F.col("q_len"), c["t_key"], c["t_len"], threshold),
+        lambda c: _within_reach(lambda f: F.col(f"q_{f}"), lambda f: c[f"t_{f}"], threshold),
     )
     scored = F.transform(
         near,
@@ -119,56 +142,44 @@ def _numbered(items: Column) -> Column:
     )
 
 
-def _tokens(chars: Column, length: Column, threshold: int) -> Column:
-    """Pairs of characters at distance 1.._GAP; single characters too for strings so short
-    that a partner may share no pair."""
-    pairs = F.flatten(
-        F.transform(
-            F.array(*[F.lit(g) for g in range(1, _GAP + 1)]),
-            lambda g: F.transform(
-                F.slice(chars, 1, F.greatest(F.size(chars) - g, F.lit(0))),
-                lambda c, i: F.concat(c, F.element_at(chars, (i + g + 1).cast("int"))),
-            ),
-        )
-    )
-    singles = F.when(length < _short_total(threshold), F.array_distinct(chars)).otherwise(F.array().cast("array<string>"))
-    return F.concat(_numbered(pairs), singles)
-
-
-def _shared_pairs_bound(total: Column, threshold: int) -> Column:
-    common = F.ceil(F.lit(threshold) * total / 200)
-    return common - 1 - F.floor((total - 2 * common) / _GAP)
-
-
-def _short_total(threshold: int) -> int:
-    """Up to this combined length a match may share no character pair."""
-    share = threshold / 200 - (1 - threshold / 100) / _GAP
-    if share <= 0:
-        raise ValueError(f"threshold {threshold} is too low for the token join")
-    return int(2 / share) + 2
+def _rare_prefix(df: DataFrame, column: str, p: str, frequency: DataFrame, threshold: int) -> DataFrame:
+    """Each string once per token of its prefix: its rarest tokens, enough for every match."""
+    kept = [column, *[f"{p}_{f}" for f in ("key", "len", "bag0", "bag1")]]
+    tokens = _with_features(df, column, p).select(*kept, F.explode(_numbered(F.col(f"{p}_chars"))).alias("token"))
+    rarest_first = Window.partitionBy(column).orderBy(F.coalesce("strings", F.lit(0)), "token")
+    shared = F.ceil(F.lit(threshold) * F.col(f"{p}_len") / F.lit(200 - threshold))
+    ranked = tokens.join(frequency, "token", "left").withColumn("place", F.row_number().over(rarest_first))
+    return ranked.where(F.col("place") <= F.col(f"{p}_len") - shared + 1).select(*kept, "token")
 
 
 def _token_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit: int) -> DataFrame:
-    q = _with_features(queries, "query", "q")
-    q = q.withColumn("q_tokens", _tokens(F.col("q_chars"), F.col("q_len"), threshold))
-    t = _with_features(titles, "name", "t")
-    t = t.withColumn("t_tokens", _tokens(F.col("t_chars"), F.col("t_len"), threshold))
-    left = q.withColumn("token", F.explode("q_tokens"))
-    right = t.withColumn("token", F.explode("t_tokens"))
-    shared = F.array_intersect("q_tokens", "t_tokens")
-    total = F.col("q_len") + F.col("t_len")
-    # A pair meets once per shared token; only its least shared token lets it through.
-    met = left.join(
-        right,
-        (left["token"] == right["token"])
-        & (F.array_min(shared) == left["token"])
-        & (F.size(shared) >= _shared_pairs_bound(total, threshold))
-        & _within_reach(F.col("q_key"), F.col("q_len"), F.col("t_key"), F.col("t_len"), threshold),
+    characters_of = _with_features(titles, "name", "t").select(F.explode(_numbered(F.col("t_chars"))).alias("token"))
+    frequency = characters_of.groupBy("token").agg(F.count(F.lit(1)).alias("strings"))
+    q = _rare_prefix(queries, "query", "q", frequency, threshold)
+    t = _rare_prefix(titles, "name", "t", frequency, threshold)
+    # There are few distinct tokens and some are frequent, so each is split over several salts;
+    # the fixed task count keeps adaptive execution from merging this small but heavy input.
+    tasks = _TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    q = q.withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(_SALTS)).cast("int")).repartition(tasks, "token", "salt")
+    t = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).repartition(tasks, "token", "salt")
+    # A pair meets once per token its prefixes share. The cheap tests run inside the join, so
+    # only pairs that pass them leave it, and those are made distinct before scoring.
+    near = _within_reach(lambda f: F.col(f"q_{f}"), lambda f: F.col(f"t_{f}"), threshold)
+    met = q.join(t, (q["token"] == t["token"]) & (q["salt"] == t["salt"]) & near).select("query", "name", "q_key", "t_key").distinct()
+    both = F.struct(characters(F.col("q_key")).alias("q"), characters(F.col("t_key")).alias("t"))
+
+    def measure(p: Column) -> Column:
+        q_len, t_len = F.size(p["q"]), F.size(p["t"])
+        common = bind(position_masks(p["q"]), lambda masks: lcs_length(masks, q_len, p["t"]))
+        return F.struct(common.alias("lcs"), q_len.alias("q_len"), t_len.alias("t_len"))
+
+    # Tested inside a generator: a filter on the result would be moved below it and would
+    # compute the subsequence again for every character.
+    enough = F.filter(
+        F.array(bind(both, measure)), lambda m: _enough(m["lcs"], m["q_len"] + m["t_len"], threshold)
     )
-    scored = (
-        met.withColumn("lcs", lcs_length(position_masks(F.col("q_chars")), F.col("q_len"), F.col("t_chars")))
-        .where(_enough(F.col("lcs"), total, threshold))
-        .select("query", "name", ratio(F.col("lcs"), F.col("q_len"), F.col("t_len")).alias("score"))
+    scored = met.select("query", "name", F.inline(enough)).select(
+        "query", "name", ratio(F.col("lcs"), F.col("q_len"), F.col("t_len")).alias("score")
     )
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "name")
     return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= limit)
