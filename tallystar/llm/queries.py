@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.llm import exact_dedup, mixing, packing, quality
+from tallystar.llm import exact_dedup, mixing, packing, quality, simhash
 from tallystar.queries.tables import Query, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4, words=1)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.plan(docs).select(
@@ -72,6 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": Query(op1_simhash),
     "op2_mixing": Query(op2_mixing, _OP2),
     "op4_exact_dedup": Query(op4_exact_dedup, _OP4),
     "op7_packing": Query(op7_packing),
