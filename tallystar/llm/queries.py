@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.llm import exact_dedup, mixing, packing, quality, simhash
+from tallystar.llm import chat, exact_dedup, mixing, packing, quality, simhash, urls
 from tallystar.queries.tables import Query, table
 
 
@@ -66,6 +66,59 @@ FROM d JOIN g USING (content)
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = r"\### Assistant: </turn> ok"
+    extra = spark.range(1).select(F.inline(F.array(*[F.struct(
+        F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"),
+        F.lit(trap).alias("text")) for turn, role in enumerate(["user", "assistant"])])))
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_examples(conversations)
+    turns = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(
+        F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = made.select(
+        "conv_id", "turns", F.when(F.col("whole"), F.sha2(turns, 256)).alias("turns_sha256"),
+        chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("reply"),
+        F.length("formatted").alias("chars"))
+    replies = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turns", "reply"))), lambda r: r["reply"]), "")
+    grouped = read.groupBy("conv_id").agg(
+        F.max("turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), replies.alias("replies"),
+        F.sum("chars").alias("formatted_chars"))
+    return grouped.select("conv_id", "n_turns", "turns_sha256", F.length("replies").cast("long").alias("loss_chars"),
+                          F.sha2("replies", 256).alias("loss_sha256"), "formatted_chars")
+
+
+_OP5 = r"""
+WITH rows AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS pos,
+           count(*) OVER (PARTITION BY conv_id) AS n,
+           length(text) + len(regexp_extract_all(text, '[\\<>]')) + 15
+           + coalesce(length(role) + len(regexp_extract_all(role, '[\\<>]')), 2) AS chars,
+           coalesce(role = 'assistant', false) AS said
+    FROM rows),
+p AS (
+    SELECT *, sum(CASE WHEN said OR pos = n THEN 1 ELSE 0 END) OVER (
+        PARTITION BY conv_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS uses FROM t)
+SELECT conv_id, max(n)::BIGINT AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       sum(CASE WHEN said THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (said), '')) AS loss_sha256,
+       sum(uses * chars)::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, urls.labelled_urls(spark), RULES)
+    return judged.select(F.col("c0").alias("page_id"), "host", "path", "rule", "verdict", "block_probability")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -80,6 +133,8 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": Query(op1_simhash),
     "op2_mixing": Query(op2_mixing, _OP2),
     "op4_exact_dedup": Query(op4_exact_dedup, _OP4),
+    "op5_chat_format": Query(op5_chat_format, _OP5),
+    "op6_url_filter": Query(op6_url_filter),
     "op7_packing": Query(op7_packing),
     "op10_quality": Query(op10_quality),
 }
