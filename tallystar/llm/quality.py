@@ -19,8 +19,6 @@ bounded size, so a very long text costs time but not memory. Further columns pas
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallystar.llm.shared import positional, restored
+from tallystar.llm.words import pieces, stirred, word_keys
 from tallystar.tasks import ship_by_value
 
 ship_by_value(__name__)
@@ -37,12 +36,9 @@ TRUSTED_LIMIT = 200_000
 THRESHOLD = -0.12
 MIN_WORDS = 50
 SMOOTH = 1.0
-_MULTIPLIER = 0x9E3779B97F4A7C15
 _SYMBOLS = b"#*$%&|<>"
 _NO_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOLS)
 _CONTINUATION = bytes(range(0x80, 0xC0))
-_BLANK_BYTES = np.zeros(256, bool)
-_BLANK_BYTES[list(b" \t\n\x0b\x0c\r")] = True
 
 
 def _base(data: bytes) -> tuple[int, int, int, int, int]:
@@ -64,63 +60,13 @@ def _base(data: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(data.translate(None, _NO_SYMBOLS)), len(lines) - len(set(lines)), repeats
 
 
-def _word_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word in the bytes, and where each word starts."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_BLANK_BYTES[data]
-    starts, ends = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    # Sum of byte * m^position over the word, shifted back to position 0 by the inverse power.
-    powers, inverse = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], out=sums[1:])
-    keys = (sums[ends] - sums[starts]) * inverse[starts]
-    return _stirred(keys), starts
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("powers", ())) < n:
-        size = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            for name, base in (("powers", _MULTIPLIER), ("inverse", pow(_MULTIPLIER, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _tables[name] = np.cumprod(steps)
-    return _tables["powers"], _tables["inverse"]
-
-
-def _stirred(keys: np.ndarray) -> np.ndarray:
-    keys = (keys ^ (keys >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return keys ^ (keys >> np.uint64(32))
-
-
-_PIECE = 1 << 22
-
-
-def _pieces(data: bytes):
-    """Cut a very long text at white space."""
-    at = 0
-    while len(data) - at > _PIECE:
-        cut = re.compile(rb"[\x20\x09-\x0D]").search(data, at + _PIECE)
-        if not cut:
-            break
-        yield data[at:cut.end()]
-        at = cut.end()
-    yield data[at:] if at else data
-
-
 def _grams(data: bytes, buckets: int) -> list[np.ndarray]:
     """Bucket numbers of all words and word pairs of a text."""
     found, last = [], np.zeros(0, np.uint64)
-    for piece in _pieces(data):
-        keys, _ = _word_keys(np.frombuffer(piece, np.uint8))
+    for _, piece in pieces(data):
+        keys, _ = word_keys(np.frombuffer(piece, np.uint8))
         row = np.concatenate([last, keys])
-        pairs = _stirred(row[:-1] * np.uint64(3) + row[1:]) if len(row) > 1 else row[:0]
+        pairs = stirred(row[:-1] * np.uint64(3) + row[1:]) if len(row) > 1 else row[:0]
         found += [(keys % np.uint64(buckets)).astype(np.int64), (pairs % np.uint64(buckets)).astype(np.int64)]
         last = row[-1:]
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.llm import chat, exact_dedup, mixing, packing, quality, simhash, urls
+from tallystar.llm import chat, exact_dedup, mixing, packing, quality, simhash, suffix_tree, urls
 from tallystar.queries.tables import Query, table
 
 
@@ -50,6 +50,10 @@ FROM rates
 """
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -132,6 +136,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": Query(op1_simhash),
     "op2_mixing": Query(op2_mixing, _OP2),
+    "op3_lm_score": Query(op3_lm_score),
     "op4_exact_dedup": Query(op4_exact_dedup, _OP4),
     "op5_chat_format": Query(op5_chat_format, _OP5),
     "op6_url_filter": Query(op6_url_filter),
