@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.llm import chat, exact_dedup, mixing, packing, quality, simhash, suffix_tree, urls
+from tallystar.llm import chat, exact_dedup, line_runs, mixing, packing, quality, simhash, suffix_tree, urls
 from tallystar.queries.tables import Query, table
 
 
@@ -127,6 +127,43 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    removed = F.aggregate("runs", F.lit(0), lambda total, r: total + r["last"] - r["first"] + 1)
+    return line_runs.mark(docs).select(
+        F.col(f"c{docs.columns.index('doc_id')}").alias("doc_id"), "n_lines", F.size("runs").cast("long").alias("n_runs"),
+        removed.cast("long").alias("n_removed"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_OP9 = r"""
+WITH every AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+spoken AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+windows AS (
+    SELECT doc_id, seq, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third
+    FROM spoken WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+later AS (
+    SELECT doc_id, seq FROM windows WHERE third IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, seq) > 1),
+covered AS (
+    SELECT DISTINCT doc_id, seq + k AS seq FROM later, (VALUES (0), (1), (2)) v(k)),
+placed AS (
+    SELECT e.doc_id, e.pos, e.line,
+           last_value(s.seq IGNORE NULLS) OVER (PARTITION BY e.doc_id ORDER BY e.pos) AS before,
+           first_value(s.seq IGNORE NULLS) OVER (PARTITION BY e.doc_id ORDER BY e.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+    FROM every e LEFT JOIN spoken s USING (doc_id, pos)),
+flagged AS (
+    SELECT p.*, a.seq IS NOT NULL AND b.seq IS NOT NULL AS gone FROM placed p
+    LEFT JOIN covered a ON a.doc_id = p.doc_id AND a.seq = p.before LEFT JOIN covered b ON b.doc_id = p.doc_id AND b.seq = p.after),
+edges AS (
+    SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM flagged)
+SELECT d.doc_id, count(e.pos) AS n_lines, count(*) FILTER (opens) AS n_runs, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN edges e USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -141,5 +178,6 @@ QUERIES: dict[str, Query] = {
     "op5_chat_format": Query(op5_chat_format, _OP5),
     "op6_url_filter": Query(op6_url_filter),
     "op7_packing": Query(op7_packing),
+    "op9_line_runs": Query(op9_line_runs, _OP9),
     "op10_quality": Query(op10_quality),
 }
