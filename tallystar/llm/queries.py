@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.llm import chat, exact_dedup, line_runs, mixing, packing, quality, simhash, suffix_tree, urls
+from tallystar.llm import chat, exact_dedup, line_runs, mixing, packing, quality, repeats, simhash, suffix_tree, urls
 from tallystar.queries.tables import Query, table
 
 
@@ -127,6 +127,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = F.aggregate("runs", F.lit(0), lambda total, r: total + r["last"] - r["first"] + 1)
@@ -178,6 +183,7 @@ QUERIES: dict[str, Query] = {
     "op5_chat_format": Query(op5_chat_format, _OP5),
     "op6_url_filter": Query(op6_url_filter),
     "op7_packing": Query(op7_packing),
+    "op8_suffix_dedup": Query(op8_suffix_dedup),
     "op9_line_runs": Query(op9_line_runs, _OP9),
     "op10_quality": Query(op10_quality),
 }
