@@ -6,10 +6,11 @@ ratio per n-gram, and a document is kept if that is at least ``threshold``; ever
 Raw counts cover every text. The trusted sample is bounded by ``TRUSTED_LIMIT`` ids (the smallest hashes of more), and
 the ratios are one array of ``BUCKETS`` numbers whatever the input; both bounds hold for what travels to the tasks.
 
-A bucket's ratio compares its share of the trusted text with its share of the whole corpus. Text like the target scores
-about 0 or above; text of wholly unknown n-grams stays near 0, as its buckets are arbitrary; text whose n-grams the raw
-corpus has and the target lacks falls far below. The threshold of −0.12 nats per n-gram says that the target makes
-a document's n-grams on (geometric) average at least 0.89 times as likely as the corpus does.
+A bucket's ratio compares its count in the trusted text with the count that its share of the corpus would give there, both
+raised by ``PRIOR``, so rare n-grams weigh little and text of wholly unknown n-grams stays near 0. Text like the target
+scores about 0 or above; text whose n-grams the raw corpus has and the target lacks falls far below. The threshold of −0.07
+nats per n-gram says that the target makes a document's n-grams on (geometric) average at least 0.93 times as likely as
+the corpus does.
 
 Defined cases: a null or blank text has no word and fails the base rules; without any trusted document the ratio is 0
 for every document and only the base rules decide; labels of unknown ids and repeated labels change nothing, and rows
@@ -33,9 +34,9 @@ ship_by_value(__name__)
 
 BUCKETS = 1 << 16
 TRUSTED_LIMIT = 200_000
-THRESHOLD = -0.12
+THRESHOLD = -0.07
 MIN_WORDS = 50
-SMOOTH = 1.0
+PRIOR = 20.0
 _SYMBOLS = b"#*$%&|<>"
 _NO_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOLS)
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -138,13 +139,12 @@ def gram_ratios(docs: DataFrame, trusted: frozenset, text: str = "text", doc_id:
     counted = frame.select(names[text], names[doc_id]).mapInArrow(
         _count(buckets, trusted), "bucket long, raw long, target long")
     found = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    at = found.column(0).to_numpy()
-    raw, target = np.full(buckets, SMOOTH), np.full(buckets, SMOOTH)
-    raw[at] += found.column(1).to_numpy()
-    target[at] += found.column(2).to_numpy()
-    if target.sum() == SMOOTH * buckets:
-        return np.zeros(buckets)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    at, ratios = found.column(0).to_numpy(), np.zeros(buckets)
+    raw, target = found.column(1).to_numpy().astype(float), found.column(2).to_numpy().astype(float)
+    if target.sum():
+        expected = raw * (target.sum() / raw.sum())
+        ratios[at] = np.log((target + PRIOR) / (expected + PRIOR))
+    return ratios
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS,
