@@ -166,7 +166,7 @@ def matching_statistics(snippets: list[bytes]) -> list[np.ndarray]:
         sample[places] = match
         stream = np.maximum.accumulate(sample + np.arange(len(data))) - np.arange(len(data))
         np.maximum(best, stream, out=best)
-    return np.split(best, ends[:-1] + 1)
+    return [part[:-1] for part in np.split(best, ends[:-1] + 1)]
 
 
 def _common(words: np.ndarray, one: np.ndarray, two: np.ndarray, limit: np.ndarray) -> np.ndarray:
