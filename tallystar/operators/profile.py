@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallystar.functions.numeric import tolerant_number
+from tallystar.session import scratch_path
 
 # --- fixed values: sizes of result previews ---
 
@@ -19,11 +20,6 @@ PROFILED_COLUMNS = 5
 
 # --- end of fixed values ---
 
-_SKETCH_ACCURACY = 10_000
-_MARGIN = 2.0 / _SKETCH_ACCURACY
-_SETTLE_ROWS = 1_000_000
-
-
 def numeric_columns(df: DataFrame, limit: int = PROFILED_COLUMNS) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)][:limit]
 
@@ -32,89 +28,32 @@ def _middle_ranks(n: int) -> tuple[int, int]:
     return (n + 1) // 2, n // 2 + 1
 
 
-def _middle_bounds(column: str, margin: float = _MARGIN):
-    """Sketched values just below and just above the middle."""
-    return F.percentile_approx(column, [0.5 - margin, 0.5 + margin], _SKETCH_ACCURACY)
-
-
-def _bracket_counts(column: str, lo, hi) -> list:
-    value = F.col(column)
-    return [
-        F.count_if(value < F.lit(lo)).alias(f"{column}__below"),
-        F.count_if(value.between(F.lit(lo), F.lit(hi))).alias(f"{column}__inside"),
-    ]
-
-
-def _settle(df: DataFrame, brackets: dict[str, tuple], counts: dict[str, int]) -> dict[str, float]:
-    """Medians of columns whose brackets are small, from their distinct values in one pass."""
-
-    def entry(c: str):
-        lo, hi, *_ = brackets[c]
-        inside = F.col(c).between(F.lit(lo), F.lit(hi))
-        return F.when(inside, F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")))
-
-    found = df.select(F.inline(F.array_compact(F.array(*[entry(c) for c in brackets])))).groupBy("column", "value").count()
-    so_far = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def per_column(values: dict[str, int]):
-        cases = [F.when(F.col("column") == c, F.lit(v)) for c, v in values.items()]
-        return F.coalesce(*cases)
-
-    placed = found.withColumn("upto", F.sum("count").over(so_far) + per_column({c: b[2] for c, b in brackets.items()}))
-    ranks = [per_column({c: _middle_ranks(counts[c])[i] for c in brackets}) for i in (0, 1)]
-    picked = [F.min(F.when(F.col("upto") >= r, F.col("value"))).alias(f"m{i}") for i, r in enumerate(ranks)]
-    return {r["column"]: (r["m0"] + r["m1"]) / 2 for r in placed.groupBy("column").agg(*picked).collect()}
-
-
-def exact_medians(
-    df: DataFrame,
-    columns: Sequence[str],
-    counts: dict[str, int],
-    settle_rows: int = _SETTLE_ROWS,
-    bounds: dict[str, tuple] | None = None,
-) -> dict[str, float | None]:
-    """Exact medians without holding a column's values in one task.
+def exact_medians(df: DataFrame, columns: Sequence[str], counts: dict[str, int]) -> dict[str, float | None]:
+    """Exact medians in two jobs at any size and for any values; NaN counts as the largest value.
 
-    A quantile sketch brackets the middle ranks (``bounds`` may come from an earlier pass);
-    each further pass counts what lies below and inside the brackets of all columns at once
-    and narrows them by about four digits, until a bracket holds at most ``settle_rows`` rows
-    or a single value. Only those remainders are ordered.
+    Rows are first reduced to distinct values with their counts, all columns at once. These are cut into ranges
+    by value; totals per range say which range holds a middle rank, and only inside it the running count is taken.
     """
-    medians: dict[str, float | None] = {c: None for c in columns}
-    pending = [c for c in columns if counts[c]]
-    margin = dict.fromkeys(pending, _MARGIN)
-    brackets = {c: (None, None, 0, counts[c]) for c in pending}
-    small: dict[str, tuple] = {}
-
-    def sketch(c: str):
-        lo, hi, below, inside = brackets[c]
-        value = F.col(c) if lo is None else F.when(F.col(c).between(F.lit(lo), F.lit(hi)), F.col(c))
-        first, last = _middle_ranks(counts[c])
-        low = max((first - below) / inside - margin[c], 0.0)
-        high = min((last - below) / inside + margin[c], 1.0)
-        return F.percentile_approx(value, [low, high], _SKETCH_ACCURACY).alias(c)
-
-    while pending:
-        bounds = bounds or df.agg(*[sketch(c) for c in pending]).first().asDict()
-        placed = df.agg(*[n for c in pending for n in _bracket_counts(c, *bounds[c])]).first()
-        still = []
-        for c in pending:
-            lo, hi = bounds[c]
-            below, inside = placed[f"{c}__below"], placed[f"{c}__inside"]
-            first, last = _middle_ranks(counts[c])
-            if not (below < first and last <= below + inside):
-                # The sketch was off by more than its margin: look at a wider part.
-                margin[c] *= 10
-                still.append(c)
-            elif lo == hi:
-                medians[c] = float(lo)
-            elif inside <= settle_rows:
-                small[c] = (lo, hi, below, inside)
-            else:
-                brackets[c] = (lo, hi, below, inside)
-                still.append(c)
-        pending, bounds = still, None
-    return medians | (_settle(df, small, counts) if small else {})
+    wanted = [c for c in columns if counts[c]]
+    if not wanted:
+        return dict.fromkeys(columns)
+    entry = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in wanted])
+    found = df.select(F.inline(entry)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+    path = scratch_path(df.sparkSession, "medians")
+    found.repartitionByRange("column", "value").withColumn("range", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("column", "range").agg(F.sum("n").alias("total")).withColumn(
+        "start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    middle = F.create_map(*[F.lit(x) for c in wanted for x in (c, _middle_ranks(counts[c])[0])])[F.col("column")]
+    last = F.create_map(*[F.lit(x) for c in wanted for x in (c, _middle_ranks(counts[c])[1])])[F.col("column")]
+    holding = starts.where((F.col("start") < last) & (F.col("start") + F.col("total") >= middle)).drop("total")
+    so_far = Window.partitionBy("column", "range").orderBy("value")
+    placed = ranged.join(holding, ["column", "range"]).withColumn("upto", F.col("start") + F.sum("n").over(so_far))
+    picked = placed.groupBy("column").agg(*[
+        F.min(F.when(F.col("upto") >= rank, F.col("value"))).alias(name) for name, rank in (("low", middle), ("high", last))])
+    medians = {r["column"]: (r["low"] + r["high"]) / 2 for r in picked.collect()}
+    return {c: medians.get(c) for c in columns}
 
 
 _PROFILE_SCHEMA = "column string, row_count long, min double, max double, mean double, median double"
@@ -131,11 +70,9 @@ def result_profile(df: DataFrame, limit: int = PROFILED_COLUMNS) -> DataFrame:
     for c in columns:
         for fn in (F.count, F.min, F.max, F.avg):
             aggs.append(fn(c).alias(f"{c}__{fn.__name__}"))
-        aggs.append(_middle_bounds(c).alias(f"{c}__middle"))
     row: Row = df.agg(*aggs).first()
     counts = {c: row[f"{c}__count"] for c in columns}
-    bounds = {c: tuple(row[f"{c}__middle"]) for c in columns if counts[c]}
-    medians = exact_medians(df.select(*columns), columns, counts, bounds=bounds)
+    medians = exact_medians(df.select(*columns), columns, counts)
     number = lambda v: None if v is None else float(v)
     rows = [
         (c, row["__rows"], number(row[f"{c}__min"]), number(row[f"{c}__max"]), number(row[f"{c}__avg"]), medians[c])

@@ -1,4 +1,4 @@
-"""Read-only SQL over an allow-listed set of tables, with a row cap and a result envelope."""
+"""Read-only SQL over an allow-listed set of tables, with a cap for texts without a limit and a result envelope."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallystar.operators.profile import PREVIEW_ROWS, PROFILE_ABOVE_ROWS, result_profile
 from tallystar.operators.traces import sql_trace
+from tallystar.session import scratch_path
 
 # --- fixed values: limits, keywords and messages of the SQL surface ---
 
@@ -29,7 +30,8 @@ _LITERAL_OR_COMMENT = re.compile(
     r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/""", re.DOTALL
 )
 _REFLECTION = re.compile(r"\b(?:try_reflect|reflect|java_method)\b", re.IGNORECASE)
-_OUTSIDE_RELATION = re.compile(r"SubqueryAlias (?:spark_catalog|global_temp)\.")
+# A registered view is named by one part; a table of any catalog, or a global view, by several.
+_OUTSIDE_RELATION = re.compile(r"SubqueryAlias [^\s,]+\.|\bRelationV2\b|\bHiveTableRelation\b")
 _KEPT_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
 
 TableLoader = Callable[[SparkSession], DataFrame]
@@ -60,6 +62,14 @@ def _without_last_semicolon(sql: str) -> str:
     return sql if at < 0 else sql[:at] + " " + sql[at + 1 :]
 
 
+def sets_own_limit(sql: str) -> bool:
+    """Whether the outermost statement has a LIMIT; one inside parentheses does not bound the result."""
+    bare = _LITERAL_OR_COMMENT.sub(" ", sql)
+    while (inner := re.sub(r"\([^()]*\)", " ", bare)) != bare:
+        bare = inner
+    return bool(re.search(r"\bLIMIT\b", bare, re.IGNORECASE))
+
+
 def audit_sql(sql: Column, word_match: bool = False) -> Column:
     """Struct of ``status`` and ``reason`` for a column of SQL texts, without running them.
 
@@ -85,36 +95,52 @@ def audit_sql(sql: Column, word_match: bool = False) -> Column:
 
 @dataclass
 class SqlResult:
-    """Outcome of a guarded statement; ``frame`` is lazy and already capped."""
+    """Outcome of a guarded statement; ``frame`` is lazy and capped at ``cap`` rows if that is set."""
 
     sql: str
     params: list = field(default_factory=list)
     frame: DataFrame | None = None
     error: str | None = None
+    cap: int | None = None
+    whole: DataFrame | None = None
+    summary_above: int = PROFILE_ABOVE_ROWS
+    _out: dict | None = None
 
     @property
     def success(self) -> bool:
         return self.error is None
 
     def envelope(self) -> dict:
-        """All rows up to a thousand, else ten rows and statistics; errors are returned."""
+        """All rows up to ``summary_above``, else ten rows and statistics; errors are returned.
+
+        The statement runs once for a small result. A larger one is written once, and its count and
+        statistics are taken from what was written. ``capped`` says whether the cap cut rows.
+        """
+        if self._out is None:
+            self._out = self._enveloped()
+        return self._out
+
+    def _enveloped(self) -> dict:
         base = {"success": self.success, "sql": self.sql, "params": self.params}
         if not self.success:
             return base | {"error": self.error}
         try:
-            rows = self.frame.limit(PROFILE_ABOVE_ROWS + 1).collect()
+            rows = self.frame.limit(self.summary_above + 1).collect()
             columns = self.frame.columns
-            if len(rows) <= PROFILE_ABOVE_ROWS:
+            if len(rows) <= self.summary_above:
                 return base | {
-                    "truncated": False, "columns": columns, "data": [list(r) for r in rows], "row_count": len(rows),
+                    "truncated": False, "capped": self._capped(len(rows)), "columns": columns,
+                    "data": [list(r) for r in rows], "row_count": len(rows),
                 }
-            total = self.frame.count()
+            kept = self._stored()
+            total = kept.count()
             stats = {
                 r["column"]: {k: r[k] for k in ("min", "max", "mean", "median")}
-                for r in result_profile(self.frame).collect()
+                for r in result_profile(kept).collect()
             }
             return base | {
                 "truncated": True,
+                "capped": self._capped(total),
                 "summary": f"Query returned {total:,} rows (showing first {PREVIEW_ROWS}).",
                 "columns": columns,
                 "sample_data": [list(r) for r in rows[:PREVIEW_ROWS]],
@@ -124,6 +150,17 @@ class SqlResult:
         except PySparkException as error:
             return base | {"success": False, "error": str(error)}
 
+    def _capped(self, rows: int) -> bool:
+        return self.cap is not None and rows == self.cap and bool(self.whole.offset(self.cap).take(1))
+
+    def _stored(self) -> DataFrame:
+        """The result as written; positional names, because a result may repeat a column name."""
+        path = scratch_path(self.frame.sparkSession, "sql-result")
+        placed = self.frame.toDF(*[f"c{i}" for i in range(len(self.frame.columns))])
+        placed.write.parquet(path)
+        names = [n if self.frame.columns.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(self.frame.columns)]
+        return placed.sparkSession.read.schema(placed.schema).parquet(path).toDF(*names)
+
     def to_json(self) -> str:
         return json.dumps(self.envelope(), indent=2, default=str)
 
@@ -148,12 +185,14 @@ class SqlResult:
 class GuardedSql:
     """Runs single SELECT or WITH statements in a session that sees only the given tables.
 
-    Wrapping the text in ``SELECT * FROM (...)`` makes anything but a query a parse error
-    and applies the cap whatever ``LIMIT`` the text contains.
+    Wrapping the text in ``SELECT * FROM (...)`` makes anything but a query a parse error. A text without
+    a ``LIMIT`` of its own is capped at ``row_cap`` rows; null caps nothing. Results of more than
+    ``summary_above`` rows are summarised in the envelope.
     """
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, TableLoader], row_cap: int = ROW_CAP):
-        self.row_cap = row_cap
+    def __init__(self, spark: SparkSession, tables: Mapping[str, TableLoader], row_cap: int | None = ROW_CAP,
+                 summary_above: int = PROFILE_ABOVE_ROWS):
+        self.row_cap, self.summary_above = row_cap, summary_above
         self.session = spark.newSession()
         for key in _KEPT_SETTINGS:
             self.session.conf.set(key, spark.conf.get(key))
@@ -170,11 +209,13 @@ class GuardedSql:
         reason = rejection(sql)
         if reason:
             return SqlResult(sql, values, error=reason)
-        wrapped = f"SELECT * FROM (\n{_without_last_semicolon(sql)}\n) LIMIT {self.row_cap}"
+        wrapped = f"SELECT * FROM (\n{_without_last_semicolon(sql)}\n)"
+        cap = None if sets_own_limit(sql) else self.row_cap
         try:
-            frame = self.session.sql(wrapped, args=values or None)
+            whole = self.session.sql(wrapped, args=values or None)
         except PySparkException as error:
             return SqlResult(sql, values, error=str(error))
-        if _OUTSIDE_RELATION.search(frame._jdf.queryExecution().analyzed().toString()):
+        if _OUTSIDE_RELATION.search(whole._jdf.queryExecution().analyzed().toString()):
             return SqlResult(sql, values, error="Query reads a table outside the allowed set")
-        return SqlResult(sql, values, frame=frame)
+        frame = whole if cap is None else whole.limit(cap)
+        return SqlResult(sql, values, frame=frame, cap=cap, whole=whole, summary_above=self.summary_above)

@@ -11,7 +11,8 @@ from tallystar.schema import FACT_SCHEMA, VINTAGE_SCHEMA
 
 
 def guard(spark, sf_dir) -> GuardedSql:
-    return GuardedSql(spark, {n: (lambda s, n=n: table(s, sf_dir, n)) for n in TABLES})
+    """Whole results, as the registered queries must return them."""
+    return GuardedSql(spark, {n: (lambda s, n=n: table(s, sf_dir, n)) for n in TABLES}, row_cap=None)
 
 
 def _run(sql: str, params=None):
@@ -55,6 +56,16 @@ def result_envelope(spark, sf_dir):
     )
 
 
+def result_envelope_large(spark, sf_dir):
+    """The envelope of a statement with more rows than are listed: count and statistics of its numeric columns."""
+    out = guard(spark, sf_dir).run("SELECT l_orderkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem").envelope()
+    rows = [(c, out["truncated"], out["capped"], out["row_count"], len(out["sample_data"]), *(v[k] for k in ("min", "max", "mean", "median")))
+            for c, v in out["stats"].items()]
+    stats = spark.createDataFrame(
+        rows, '"column" string, truncated boolean, capped boolean, row_count long, listed long, min double, max double, mean double, median double'.replace('"', "`"))
+    return stats.withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 4))
+
+
 _TEXT = """CASE p_partkey % 7 WHEN 0 THEN 'SELECT * FROM t WHERE name = ''' || p_name || '''' WHEN 1 THEN 'drop table ' || p_type
   WHEN 2 THEN 'SELECT created_at FROM t' WHEN 3 THEN '   ' WHEN 4 THEN 'SELECT ' || CAST(p_size AS STRING)
   WHEN 5 THEN 'UPDATE t SET a = 1; DELETE FROM t' ELSE 'SELECT "' || p_brand || '"' END"""
@@ -99,6 +110,15 @@ QUERIES = {
         """SELECT true AS success, false AS truncated, count(DISTINCT p_brand) AS row_count,
         'p_brand,parts,size' AS column_names, min(p_brand) AS first_value FROM part""",
     ),
+    "result_envelope_large": Query(
+        result_envelope_large,
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", true AS truncated, false AS capped, count(*) AS row_count, CAST(10 AS BIGINT) AS listed,
+            min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS mean,
+            round(quantile_cont({c}, 0.5)::DOUBLE, 4) AS median FROM lineitem"""
+            for c in ("l_orderkey", "l_quantity", "l_extendedprice")
+        ),
+    ),
     "sql_audit": Query(
         sql_audit,
         f"""WITH texts AS (SELECT p_partkey, {_TEXT} AS sql FROM part),

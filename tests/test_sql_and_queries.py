@@ -70,7 +70,10 @@ def test_returns_errors(sql, text):
 
 def test_cannot_leave_the_cap(sql):
     assert sql.run("SELECT * FROM numbers").frame.count() == 10_000
-    assert sql.run("SELECT * FROM numbers LIMIT 20000").frame.count() == 10_000
+    assert sql.run("SELECT * FROM (SELECT * FROM numbers LIMIT 20000)").frame.count() == 10_000
+    assert sql.run("SELECT * FROM numbers LIMIT 20000").frame.count() == 20_000
+    cut, own = sql.run("SELECT * FROM numbers").envelope(), sql.run("SELECT * FROM numbers LIMIT 12000 -- LIMIT").envelope()
+    assert (cut["row_count"], cut["capped"]) == (10_000, True) and (own["row_count"], own["capped"]) == (12_000, False)
     assert sql.run("SELECT id FROM numbers) UNION ALL (SELECT id FROM numbers").frame.count() == 10_000
 
 
@@ -112,7 +115,7 @@ def test_audit(spark):
 
 def test_warehouse_dictionary(spark):
     rows = {(r.table, r.column): r for r in warehouse_dictionary(spark).collect()}
-    assert len(rows) == 42 and rows[("fact", "AREA_TITLE")].description == "Geographic location name"
+    assert len(rows) == 42 and rows[("fact", "AREA_TITLE")].description == "name of the place a row speaks about"
 
 
 def test_contract(spark):
