@@ -134,3 +134,8 @@ def mask_sensitive(message: Column) -> Column:
 
 def within_length(text: Column, low: int = 3, high: int = 500) -> Column:
     return F.length(text).between(low, high)
+
+
+def like_pattern(part: Column) -> Column:
+    """Pattern that finds ``part`` anywhere; ``%`` and ``_`` stay wildcards, a backslash is an ordinary character."""
+    return F.concat(F.lit("%"), F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit("%"))

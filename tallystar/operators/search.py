@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystar.functions.similarity import characters, lcs_length, position_masks, ratio, sorted_tokens
-from tallystar.functions.text import bind
+from tallystar.functions.text import bind, like_pattern
+from tallystar.session import scratch_path
 
 # --- fixed values: search defaults ---
 
@@ -39,7 +40,7 @@ _SALTS = 16
 
 
 def _distinct_strings(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.select(F.col(column).alias(name)).where(F.col(name) != "").distinct()
+    return df.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
 def _fits_inline(titles: DataFrame, most: int) -> bool:
@@ -195,8 +196,8 @@ def fuzzy_match(
     inline_titles: int = INLINE_TITLES,
 ) -> DataFrame:
     """``query, name, score, rank`` of the best titles per distinct query string."""
-    wanted = _distinct_strings(queries, query, "query")
-    known = _distinct_strings(titles, title, "name")
+    wanted = _distinct_strings(queries, query, "query").where("query != ''")
+    known = _distinct_strings(titles, title, "name").where("name != ''")
     find = _inline_matches if _fits_inline(known, inline_titles) else _token_matches
     return find(wanted, known, threshold, limit)
 
@@ -213,12 +214,17 @@ def search_titles(
 ) -> DataFrame:
     """Fuzzy hits per query, or titles that contain the text where a query has none.
 
-    ``restrict`` narrows the titles of the fuzzy arm only, as occupation search does.
+    ``restrict`` narrows the titles of the fuzzy arm only, as occupation search does. An empty text has no
+    fuzzy hit and is contained in every title. Hits are written once, because both arms need them.
     """
     narrowed = titles if restrict is None else titles.where(restrict)
-    hits = fuzzy_match(queries, narrowed, query, title, limit, threshold, inline_titles)
+    path = scratch_path(queries.sparkSession, "search-hits")
+    found = fuzzy_match(queries, narrowed, query, title, limit, threshold, inline_titles)
+    found.write.parquet(path)
+    hits = queries.sparkSession.read.schema(found.schema).parquet(path)
     unmatched = _distinct_strings(queries, query, "query").join(hits.select("query").distinct(), "query", "left_anti")
-    contained = contains_match(unmatched, _distinct_strings(titles, title, "name"), limit, inline_titles)
+    named = _distinct_strings(titles, title, "name").where("name != ''")
+    contained = contains_match(unmatched, named, limit, inline_titles)
     return hits.select("query", "name", "rank", F.lit("fuzzy").alias("method")).unionByName(
         contained.withColumn("method", F.lit("contains"))
     )
@@ -236,7 +242,7 @@ def search_occupations(
 
 
 def _containing(query: str) -> Column:
-    return F.concat(F.lit("%"), F.col(query), F.lit("%"))
+    return like_pattern(F.col(query))
 
 
 def contains_match(queries: DataFrame, titles: DataFrame, limit: int, inline_titles: int) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystar.functions.text import like_pattern
 from tallystar.schema import METRO_LEVEL, OWNERSHIP_TYPES, STATE_LEVEL
 
 
@@ -89,7 +90,7 @@ def occupation_summary(
 
 def contains_text(column: str, part: str) -> Column:
     """Case-insensitive contains; ``%`` and ``_`` in ``part`` keep their wildcard meaning."""
-    return F.col(column).ilike(f"%{part}%")
+    return F.ilike(F.col(column), like_pattern(F.lit(part)))
 
 
 def top_rows(

@@ -14,8 +14,9 @@ _TYPO = """CASE p_partkey % 6 WHEN 0 THEN p_name
   WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN replace(p_name, 'e', '')
   WHEN 3 THEN split_part(p_name, ' ', 2) || '  ' || split_part(p_name, ' ', 1)
   WHEN 4 THEN substr(p_name, 1, 4) ELSE p_name || ' ' || CAST(p_size AS STRING) END"""
-_AREA_TYPO = """CASE c_custkey % 4 WHEN 0 THEN replace(n_name, 'NATION', 'NATIN') WHEN 1 THEN 'TION_' || CAST(n_nationkey AS STRING)
-  WHEN 2 THEN 'ion_2' ELSE 'nowhere' END"""
+_AREA_TYPO = """CASE c_custkey % 9 WHEN 0 THEN replace(n_name, 'NATION', 'NATIN') WHEN 1 THEN 'TION_' || CAST(n_nationkey AS STRING)
+  WHEN 2 THEN 'ion_2' WHEN 3 THEN '' WHEN 4 THEN 'k' || chr(92) || 's' WHEN 5 THEN 'c' || chr(92) WHEN 6 THEN '%N_1%'
+  WHEN 7 THEN 'o''brien "x"' ELSE 'nowhere' END"""
 
 
 def token_sort_ratio_query(spark, sf_dir):
@@ -84,7 +85,7 @@ def _score_sql(pairs: str, columns: str) -> str:
 def _matches_sql(queries: str, titles: str, limit: int) -> str:
     """Scored and ranked pairs of distinct strings with a score of at least 60."""
     return f"""
-    asked AS (SELECT DISTINCT query FROM ({queries}) WHERE query <> ''),
+    all_asked AS (SELECT DISTINCT query FROM ({queries})), asked AS (SELECT query FROM all_asked WHERE query <> ''),
     known AS (SELECT DISTINCT name FROM ({titles}) WHERE name <> ''),
     pairs AS (SELECT query, name, {_sorted_tokens('query')} AS a, {_sorted_tokens('name')} AS b FROM asked, known),
     scored AS (SELECT query, name, 200.0 * {_lcs('a', 'b')} / (length(a) + length(b)) AS score FROM pairs WHERE a <> ''),
@@ -95,7 +96,7 @@ def _matches_sql(queries: str, titles: str, limit: int) -> str:
 
 def _fallback_sql(titles: str, limit: int = 20) -> str:
     return f"""
-    missed AS (SELECT query FROM asked WHERE query NOT IN (SELECT query FROM hits)),
+    missed AS (SELECT query FROM all_asked WHERE query NOT IN (SELECT query FROM hits)),
     contained AS (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY name) AS rank
       FROM missed JOIN (SELECT DISTINCT name FROM ({titles})) ON name ILIKE '%' || query || '%')
     SELECT query, name, rank, 'fuzzy' AS method FROM hits

@@ -91,17 +91,24 @@ def test_variants(spark):
 # --- profile ---
 
 
-@pytest.mark.parametrize("settle", [5, 1_000_000])
-def test_exact_medians(spark, settle):
-    r = random.Random(settle)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_exact_medians(spark, seed):
+    r = random.Random(seed)
     data = [(r.gauss(0, 100), r.randint(0, 2), 7, None if i % 3 else float(i)) for i in range(4001)]
     df = spark.createDataFrame(data, "a double, b int, c int, d double")
     counts = {c: sum(x[i] is not None for x in data) for i, c in enumerate("abcd")}
-    got = profile.exact_medians(df, list("abcd"), counts, settle)
+    got = profile.exact_medians(df, list("abcd"), counts)
     for i, c in enumerate("abcd"):
         assert got[c] == pytest.approx(statistics.median(x[i] for x in data if x[i] is not None)), c
 
 
+def test_medians_between_two_heavy_values_and_of_nan(spark):
+    rows = [(i % 2, float("nan") if i % 4 == 0 else float(i)) for i in range(20_000)]
+    got = profile.exact_medians(spark.createDataFrame(rows, "flag int, v double"), ["flag", "v"], {"flag": 20_000, "v": 20_000})
+    assert got["flag"] == 0.5
+    assert got["v"] == statistics.median([float("inf") if i % 4 == 0 else float(i) for i in range(20_000)])
+
+
 def test_result_profile_takes_first_five_numeric(spark):
     df = spark.range(2000).selectExpr("id a", "'t' b", "id * 2 c", "null d", "id e", "id f", "id g", "id h")
     got = profile.result_profile(df)
@@ -355,3 +362,35 @@ def test_search_restricts_fuzzy_arm_only(spark):
     assert rows(got.select("query", "name", "method"), "query", "name") == [
         ("executive", "Chief executives", "contains"), ("nurse", "nursery", "fuzzy"),
     ]
+
+
+@pytest.mark.parametrize("inline", [0, 5000])
+def test_search_takes_backslashes_and_empty_texts(spark, inline):
+    titles = spark.createDataFrame([(t,) for t in ("100\\% wool xx", "100% wool", "c\\d", "plain", "", None)], "name string")
+    asked = spark.createDataFrame([(q,) for q in ("0\\%", "c\\", "k\\s", "", "zz%", "'", '"', None)], "query string")
+    got = search.search_titles(asked, titles, threshold=90, inline_titles=inline)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query, []).append(r.name)
+    assert found == {"0\\%": ["100\\% wool xx"], "c\\": ["c\\d"], "": ["100% wool", "100\\% wool xx", "c\\d", "plain"]}
+
+
+def test_logs_follow_their_files(spark, tmp_path):
+    wanted = []
+    for name, n in (("a", 5), ("b", 40_000), ("c", 5)):
+        lines = [f"{name}{i}" for i in range(n)]
+        (tmp_path / f"{name}.log").write_text("\n".join(lines) + "\n")
+        wanted += lines
+    read = logs.read_log_text(spark, str(tmp_path))
+    assert [r.line for r in read.orderBy("line_no").collect()] == wanted
+    assert [r.line for r in logs.last_lines(read, 7).collect()] == wanted[:-8:-1]
+
+
+def test_charts_of_many_series(spark):
+    rows = spark.range(3000).selectExpr("id % 2 label", "concat('s', id) series", "id v")
+    got = charts.chart_series(rows, "label", "series", F.sum("v"))
+    assert got.count() == 6000 and got.where("value is not null").count() == 3000
+    doc = json.loads(charts.chart_document(rows.where("id < 3"), "label", "series", F.sum("v"), "bar", "t", x_title="x").first().chart)
+    assert doc["data"] == {"labels": [0, 1], "datasets": [
+        {"name": "s0", "values": [0, None]}, {"name": "s1", "values": [None, 1]}, {"name": "s2", "values": [2, None]}]}
+    assert doc["options"] == {"x_title": "x", "y_title": None}
