@@ -18,9 +18,15 @@ SUMMARY_CHARS = 50
 # --- end of fixed values ---
 
 
-def read_log_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text logs with a number that follows file order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+def read_log_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of text logs with a ``line_no`` that orders them: file, block of the file, place in the block.
+
+    Spark packs blocks into tasks by size, so a row counter alone would not follow the files; within a block it does.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path if isinstance(path, str) else list(path)).select(place.alias("line_no"), F.col("value").alias("line"))
 
 
 def last_lines(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:

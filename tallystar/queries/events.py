@@ -42,6 +42,20 @@ def log_tail(spark, sf_dir):
     return logs.parse_log_lines(logs.last_lines(log_lines_of(spark, sf_dir), 200)).select("line_no", "event")
 
 
+def log_files_tail(spark, sf_dir):
+    """The last lines of a log of three files of very unequal size, as written to disk."""
+    base = scratch_path(spark, "log-files")
+    numbered = log_lines_of(spark, sf_dir).select(
+        "line_no", F.concat(F.col("line_no").cast("string"), F.lit(" "), F.col("line")).alias("value"))
+    last = numbered.agg(F.max("line_no").alias("last")).scalar()
+    part = F.when(F.col("line_no") < 7, "a").when(F.col("line_no") <= last - 5, "b").otherwise("c")
+    for name in ("a", "b", "c"):
+        numbered.where(part == name).repartitionByRange(1 if name != "b" else 4, "line_no").sortWithinPartitions(
+            "line_no").select("value").write.text(f"{base}/{name}")
+    lines = logs.last_lines(logs.read_log_text(spark, [f"{base}/{name}" for name in ("a", "b", "c")]), 300)
+    return lines.select(F.substring_index("line", " ", 1).cast("long").alias("line_no"), F.length("line").alias("chars"))
+
+
 def log_quarantine(spark, sf_dir):
     return logs.malformed_lines(log_lines_of(spark, sf_dir)).select("line_no", "preview")
 
@@ -55,7 +69,9 @@ def log_events(spark, sf_dir):
 
 
 def sql_compare(spark, sf_dir):
-    entries = logs.parse_log_lines(log_lines_of(spark, sf_dir))
+    # Lines without the event's name need no parsing.
+    named = log_lines_of(spark, sf_dir).where(F.contains(F.col("line"), F.lit(logs.SQL_EVENT)))
+    entries = logs.parse_log_lines(named)
     expected = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_id"))
     expected = expected.select(
         "user_id",
@@ -111,6 +127,11 @@ QUERIES = {
         f"""{_ROWS}, kept AS (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 200)
         SELECT event_id AS line_no, event FROM rows JOIN kept USING (event_id)""",
     ),
+    "log_files_tail": Query(
+        log_files_tail,
+        f"""SELECT event_id AS line_no, CAST(length({_ID} || ' ' || {_LINE}) AS INTEGER) AS chars
+        FROM events ORDER BY event_id DESC LIMIT 300""",
+    ),
     "log_quarantine": Query(
         log_quarantine,
         f"""SELECT event_id AS line_no, '{{"timestamp": broken ' || event_id AS preview FROM events

@@ -38,6 +38,8 @@ EXAMPLE_ROWS = 5
 
 ship_by_value(__name__)
 
+RAGGED = "(cells beyond the header)"
+
 _FILES = "file_path string, folder string, file_name string, size_bytes long"
 _HEADS = f"{_FILES}, header array<string>, samples array<array<string>>"
 
@@ -172,9 +174,10 @@ def read_layout(spark: SparkSession, layout: Layout, multi_line: bool = True) ->
 
     The explicit schema is applied by position, so the header line is only skipped. Quotes
     are escaped by doubling. ``multi_line=False`` lets big files be split where no field
-    holds a line break.
+    holds a line break. A row with more cells than the header has a value in ``overflow``.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(layout.header))])
+    names = [*[f"c{i}" for i in range(len(layout.header))], "overflow"]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -215,6 +218,7 @@ def read_corpus(spark: SparkSession, plan: list[Layout], multi_line: bool = True
         read_layout(spark, layout, multi_line).selectExpr(
             *[pick(layout, name) for name in (*CANONICAL_COLUMNS, *extras)],
             "_metadata.file_path AS _source_path",
+            "overflow IS NOT NULL AS _too_long",
         )
         for layout in plan
     ]
@@ -223,7 +227,7 @@ def read_corpus(spark: SparkSession, plan: list[Layout], multi_line: bool = True
 
 def with_lineage(rows: DataFrame) -> DataFrame:
     """Replace the file path by file name, folder name and detected year."""
-    names = [c for c in rows.columns if c != "_source_path"]
+    names = [c for c in rows.columns if c not in ("_source_path", "_too_long")]
     return rows.select(*names, *lineage_columns(F.col("_source_path")))
 
 
@@ -232,10 +236,14 @@ def standardize(
 ) -> DataFrame:
     """The corpus in the canonical schema: canonical columns, extras, lineage.
 
-    ``strict`` fails on a numeric column with other text. ``quarantine`` nulls such a value and
-    names its column in ``_bad_columns``; see :func:`split_failed` for whole-file rejection.
+    ``strict`` fails on a numeric column with other text and on a row with more cells than its header.
+    ``quarantine`` nulls such a value and names its column, or ``RAGGED``, in ``_bad_columns``; see
+    :func:`split_failed` for whole-file rejection.
     """
     raw = read_corpus(spark, plan, multi_line)
+    if mode == "strict":
+        long_row = F.raise_error(F.concat(F.lit("row longer than its header in "), F.col("_source_path")))
+        raw = raw.withColumn("_source_path", F.when(F.col("_too_long"), long_row).otherwise(F.col("_source_path")))
     columns = [
         (
             sanitize_numeric(F.col(name), CANONICAL_TYPES[name], mode)
@@ -243,11 +251,12 @@ def standardize(
             else suppress_text(F.col(name))
         ).alias(name)
         for name in raw.columns
-        if name != "_source_path"
+        if name not in ("_source_path", "_too_long")
     ]
     columns += lineage_columns(F.col("_source_path"))
     if mode == "quarantine":
         bad = [F.when(is_bad_number(F.col(n), CANONICAL_TYPES[n]), F.lit(n)) for n in NUMERIC_COLUMNS]
+        bad.append(F.when(F.col("_too_long"), F.lit(RAGGED)))
         columns += [F.array_compact(F.array(*bad)).alias("_bad_columns"), F.col("_source_path")]
     return raw.select(*columns)
 
@@ -259,13 +268,13 @@ def file_results(quarantined: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count_if(bad).alias("bad_rows"),
         F.array_compact(
-            F.array(*[F.when(F.bool_or(F.array_contains("_bad_columns", n)), F.lit(n)) for n in NUMERIC_COLUMNS])
+            F.array(*[F.when(F.bool_or(F.array_contains("_bad_columns", n)), F.lit(n)) for n in (*NUMERIC_COLUMNS, RAGGED)])
         ).alias("bad_columns"),
     )
 
 
 def split_failed(quarantined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of clean files, and the results of all files; one bad number fails its file."""
+    """Rows of clean files, and the results of all files; one bad number or ragged row fails its file."""
     results = file_results(quarantined)
     failed = results.where("bad_rows > 0").select("_source_path")
     clean = quarantined.join(failed, "_source_path", "left_anti").drop("_bad_columns", "_source_path")
@@ -286,7 +295,7 @@ def standardize_report(spark: SparkSession, heads: DataFrame, results: DataFrame
         "added_columns",
         "extra_columns",
         "dropped_columns",
-        F.when(failed, F.concat(F.lit("not a number in "), F.array_join("bad_columns", ", "))).alias("error"),
+        F.when(failed, F.concat(F.lit("bad values in "), F.array_join("bad_columns", ", "))).alias("error"),
     )
 
 

@@ -55,6 +55,18 @@ def test_scan_and_heads(spark, root):
     assert len(by_header["AREA"].added) == 27
 
 
+def test_rows_longer_than_their_header_fail_the_file(spark, root):
+    write(root, "2021/long.csv", "AREA,OCC_CODE\n1,a\n2,b,beyond\n3\n")
+    _, plan = layout_plan(spark, root)
+    clean, results = corpus.split_failed(corpus.standardize(spark, plan, "quarantine"))
+    failed = {r["_source_path"].rsplit("/", 1)[1]: r for r in results.collect()}
+    assert failed["long.csv"].rows == 3 and failed["long.csv"].bad_columns == [corpus.RAGGED]
+    assert failed["sample.csv"].bad_rows == 0
+    assert {r["_source_file"] for r in clean.select("_source_file").collect()} == {"sample.csv", "part_2022.csv"}
+    with pytest.raises(PySparkException, match="longer than its header"):
+        corpus.standardize(spark, plan).collect()
+
+
 def test_inventory(spark, root):
     heads, _ = layout_plan(spark, root)
     got = corpus.file_inventory(heads).where("folder = 'y2023'").first()
