@@ -78,13 +78,14 @@ def load_table(df: DataFrame, base: str, table: str, expected: DataFrame | None
     """Replace a table as a whole, or leave the published one in place.
 
     The new version is written beside the old one, audited against ``expected``
-    (``path, rows`` per source file) when given, and only then published.
+    (``path, rows`` per source file, the path being ``folder/file``) when given, and only then published.
     """
     spark = df.sparkSession
     path = f"{base}/{table}/{uuid.uuid4().hex}"
     write_fact(df, path)
     loaded = read_fact(spark, path)
-    counted = loaded.groupBy(F.col("SOURCE_FILE").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = loaded.groupBy("SOURCE_FOLDER", "SOURCE_FILE").agg(F.count(F.lit(1)).alias("rows"))
+    counted = counted.withColumn("path", F.concat_ws("/", "SOURCE_FOLDER", "SOURCE_FILE"))
     audit = counted.selectExpr("rows AS loaded_rows", "'ok' AS status") if expected is None else reconcile(expected, counted)
     found = audit.agg(F.count_if(F.col("status") != "ok").alias("wrong"), F.sum("loaded_rows").alias("rows")).first()
     if found["wrong"]:

@@ -35,14 +35,14 @@ def convert(spark: SparkSession, source: str, output: str, pattern: str = "*.xls
     try:
         done = spark.read.parquet(report_path).where("sheets_converted > 0")
     except AnalysisException:
-        done = spark.createDataFrame([], "file string")
-    pending = warehouse.pending_inputs(listed, done, "file", force)
+        done = spark.createDataFrame([], "path string")
+    pending = warehouse.pending_inputs(listed, done, "path", force)
     paths = [r["path"] for r in pending.select("path").collect()]
     run_id = uuid.uuid4().hex
     if paths:
         decoded = workbooks.convert_workbooks(spark, paths, f"{output}/decoded/{run_id}", pattern)
         workbooks.write_sheet_csv(workbooks.workbook_rows(decoded), f"{output}/csv/{run_id}")
-        report = workbooks.conversion_report(decoded).withColumn("run", F.lit(run_id))
+        report = workbooks.conversion_report(decoded, with_path=True).withColumn("run", F.lit(run_id))
         report.write.mode("append").parquet(report_path)
     if not paths and not done.columns[1:]:
         raise FileNotFoundError(f"no workbooks under {source}")
@@ -86,9 +86,9 @@ def standardize(spark: SparkSession, root: str, output: str, multi_line: bool =
 
 
 def expected_rows(spark: SparkSession, report_path: str) -> DataFrame:
-    """Rows per file name that a standardization report promises."""
+    """Rows per folder and file that a standardization report promises."""
     report = spark.read.json(report_path).where("status = 'ok' AND rows > 0")
-    return report.groupBy(F.substring_index("file_path", "/", -1).alias("path")).agg(F.sum("rows").alias("rows"))
+    return report.groupBy(F.substring_index("file_path", "/", -2).alias("path")).agg(F.sum("rows").alias("rows"))
 
 
 def migrate(spark: SparkSession, outcome: StandardizeOutcome, base: str) -> DataFrame:

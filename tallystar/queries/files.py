@@ -95,7 +95,7 @@ def warehouse_load(spark, sf_dir):
     )
     expected = (
         inputs.survey_rows(spark, sf_dir)
-        .groupBy(F.expr(f"{FILE_SQL} || '.csv'").alias("path"))
+        .groupBy(F.expr(f"{_FOLDER} || '/' || {FILE_SQL} || '.csv'").alias("path"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     base = scratch_path(spark, "warehouse")
@@ -161,7 +161,7 @@ def _canonical_sql(name: str) -> str:
 
 _STANDARD = ", ".join(_canonical_sql(c) for c in CANONICAL_COLUMNS)
 _FILE = f"{FILE_SQL} || '.csv'"
-_FOLDER = "'vintage_' || CAST(data_year AS VARCHAR)"
+_FOLDER = "'vintage_' || CAST(data_year AS STRING)"
 _FILES = f"SELECT DISTINCT {_FOLDER} AS folder, {_FILE} AS file_name, data_year, block FROM ({SURVEY_SQL})"
 
 

@@ -171,8 +171,8 @@ def workbook_rows(decoded: DataFrame) -> DataFrame:
     return rows.select(path_name(F.col("path")).alias("file"), "path", safe_name(F.col("sheet")).alias("sheet"), "row_no", "cells")
 
 
-def conversion_report(decoded: DataFrame) -> DataFrame:
-    """Per workbook: sheets converted and failed, success, and a message."""
+def conversion_report(decoded: DataFrame, with_path: bool = False) -> DataFrame:
+    """Per workbook: sheets converted and failed, success, and a message; with its full path if asked for."""
     marks = decoded.where("row_no IS NULL")
     per_sheet = marks.groupBy("path", "sheet").agg(F.max("error").alias("error"))
     opened = F.col("sheet").isNotNull()
@@ -194,6 +194,7 @@ def conversion_report(decoded: DataFrame) -> DataFrame:
         )
     )
     return per_file.select(
+        *(["path"] if with_path else []),
         path_name(F.col("path")).alias("file"),
         (F.col("open_error").isNull() & (F.col("sheets_failed") == 0)).alias("success"),
         "sheets_converted",

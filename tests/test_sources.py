@@ -124,16 +124,26 @@ def test_pipeline_end_to_end(spark, root, tmp_path):
     assert spark.read.json(str(tmp_path / "an" / "column_inventory")).count() == 3
 
 
+def test_equal_names_in_two_folders_do_not_cancel(spark, root, tmp_path):
+    write(root, "2025/sample.csv", "AREA,OCC_CODE\n1,a\n2,b\n")
+    _, plan = layout_plan(spark, root)
+    rows = warehouse.load_projection(corpus.standardize(spark, plan))
+    swapped = spark.createDataFrame([("2024/sample.csv", 2), ("2025/sample.csv", 1), ("y2023/part_2022.csv", 3)], "path string, rows long")
+    with pytest.raises(RuntimeError, match="2 source files do not reconcile"):
+        warehouse.load_table(rows, str(tmp_path / "wh"), "fact", swapped)
+    assert pipeline.run(spark, str(root), str(tmp_path / "out")).first().total_rows == 6
+
+
 def test_load_is_all_or_nothing(spark, root, tmp_path):
     _, plan = layout_plan(spark, root)
     rows = warehouse.load_projection(corpus.standardize(spark, plan))
     base = str(tmp_path / "wh")
     warehouse.load_table(rows, base, "fact")
     first = warehouse.current_version(spark, base, "fact")
-    wrong = spark.createDataFrame([("sample.csv", 1), ("part_2022.csv", 99)], "path string, rows long")
+    wrong = spark.createDataFrame([("2024/sample.csv", 1), ("y2023/part_2022.csv", 99)], "path string, rows long")
     with pytest.raises(RuntimeError, match="1 source files do not reconcile"):
-        warehouse.load_table(rows.limit(2), base, "fact", wrong.limit(0).union(wrong.where("path = 'part_2022.csv'")).union(
-            spark.createDataFrame([("sample.csv", 1)], "path string, rows long")))
+        warehouse.load_table(rows.limit(2), base, "fact", wrong.limit(0).union(wrong.where("path = 'y2023/part_2022.csv'")).union(
+            spark.createDataFrame([("2024/sample.csv", 1)], "path string, rows long")))
     assert warehouse.current_version(spark, base, "fact") == first
     warehouse.load_table(rows, base, "fact")
     assert warehouse.current_version(spark, base, "fact") != first
