@@ -238,6 +238,49 @@ def pair_calls(
     return paired.where(is_call & F.col("response").isNotNull())
 
 
+def sql_traces(
+    messages: DataFrame,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    call_id: str = "call_id",
+    args: str = "args",
+    content: str = "content",
+    width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """One row per SQL call whose first later response with its call id was a success.
+
+    A call is a message with ``args`` (an object with ``sql`` and, as text, ``params``), a response one without.
+    Row count, truncation and statistics are the response's own; unreadable parameters are an empty list,
+    an unreadable response gives no row. At most ten rows are kept, as objects by column name.
+    """
+    is_call = F.col(args).isNotNull()
+    paired = pair_calls(messages, [conv, call_id], turn, is_call, ~is_call, [content], width)
+    reply, asked = F.try_parse_json(F.col("response")[content]), F.try_parse_json(F.col(args))
+    read = paired.select(conv, turn, reply.alias("reply"), asked.alias("asked")).where(
+        F.try_variant_get("reply", "$.success", "boolean"))
+    listed = lambda key: F.try_variant_get("reply", f"$.{key}", "array<array<variant>>")
+    rows = F.coalesce(F.when(F.size(listed("data")) > 0, listed("data")), listed("sample_data"),
+                      F.array().cast("array<array<variant>>"))
+    names = F.coalesce(F.try_variant_get("reply", "$.columns", "array<string>"), F.array().cast("array<string>"))
+    params = F.try_parse_json(F.try_variant_get("asked", "$.params", "string"))
+
+    def named(row: Column) -> Column:
+        both = F.least(F.size(names), F.size(row))
+        return F.map_from_arrays(F.slice(names, F.lit(1), both), F.slice(row, F.lit(1), both))
+
+    sample = F.when(F.size(names) > 0, F.transform(F.slice(rows, 1, TRACE_ROWS), named))
+    return read.select(
+        conv,
+        turn,
+        F.coalesce(F.try_variant_get("asked", "$.sql", "string"), F.lit("")).alias("sql"),
+        F.coalesce(F.to_json(params), F.lit("[]")).alias("params"),
+        F.coalesce(F.try_variant_get("reply", "$.row_count", "bigint"), F.size(rows).cast("bigint")).alias("row_count"),
+        F.coalesce(F.to_json(sample), F.lit("[]")).alias("sample_data"),
+        F.to_json(F.try_variant_get("reply", "$.stats", "variant")).alias("stats"),
+        F.coalesce(F.try_variant_get("reply", "$.truncated", "boolean"), F.lit(False)).alias("truncated"),
+    )
+
+
 def sql_trace(sql: str, params: Sequence | None, preview: Sequence[dict], row_count: int, stats: dict | None,
               truncated: bool = False) -> dict:
     """Record of one executed statement; at most ten sample rows, ``truncated`` only if true."""

@@ -74,6 +74,24 @@ def pair_calls(spark, sf_dir):
     )
 
 
+# A user turn calls, the assistant turn after it answers; every form of answer occurs.
+_CALL = f"""CASE WHEN role = 'user' THEN '{{"sql": "SELECT ' || {_KEY} || '", "params": ' ||
+  CASE conv_id % 3 WHEN 0 THEN '"[1,2]"' WHEN 1 THEN '""' ELSE '"broken ["' END || '}}' END"""
+_ANSWER = f"""CASE WHEN role = 'assistant' THEN CASE conv_id % 5
+  WHEN 0 THEN '{{"success": true, "columns": ["a", "b"], "data": [[' || {_TURN} || ', "x"], [2, "y"]], "row_count": 2}}'
+  WHEN 1 THEN '{{"success": true, "truncated": true, "columns": ["a"], "sample_data": [[5]], "row_count": ' || CAST(5000 + turn AS STRING)
+    || ', "stats": {{"a": {{"min": 1}}}}}}'
+  WHEN 2 THEN '{{"success": false, "error": "x"}}' WHEN 3 THEN '{{broken' ELSE '{{"success": true, "data": [[1], [2], [3]]}}' END END"""
+
+
+def sql_traces(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    calls = F.col("turn") - F.when(F.col("role") == "assistant", 1).otherwise(0)
+    messages = rows.select("conv_id", "turn", calls.cast("string").alias("call_id"), F.expr(_CALL).alias("args"),
+                           F.expr(_ANSWER).alias("content"))
+    return traces.sql_traces(messages)
+
+
 _PLAN = f"""CASE WHEN conv_id % 4 = 0 THEN text ELSE '<think>maybe {{"9": 1}}' || chr(10) || '</think>Plan: {{"1": {{"agent": "a'
   || {_KEY} || '", "action": "look up {{"}}, "2": {{"agent": "synthesizer", "action": "turn ' || {_TURN} || '"}}}} done' END"""
 
@@ -147,6 +165,15 @@ QUERIES = {
           CASE name WHEN 'chart_generator' THEN 'unknown' WHEN 'synthesizer' THEN 'm' END AS model
         FROM entries""",
     ),
+    "sql_traces": Query(
+        sql_traces,
+        """SELECT u.conv_id, u.turn, 'SELECT ' || u.conv_id AS sql, CASE u.conv_id % 3 WHEN 0 THEN '[1,2]' ELSE '[]' END AS params,
+          CASE u.conv_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 5000 + a.turn ELSE 3 END::BIGINT AS row_count,
+          CASE u.conv_id % 5 WHEN 0 THEN '[{"a":' || a.turn || ',"b":"x"},{"a":2,"b":"y"}]' WHEN 1 THEN '[{"a":5}]' ELSE '[]' END AS sample_data,
+          CASE WHEN u.conv_id % 5 = 1 THEN '{"a":{"min":1}}' END AS stats, u.conv_id % 5 = 1 AS truncated
+        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE u.role = 'user' AND a.role = 'assistant' AND u.conv_id % 5 IN (0, 1, 4)""",
+    ),
     "chart_specs": Query(
         chart_specs,
         f"""{_LOG}, charts AS (SELECT conv_id, turn, unnest([0, 1]) AS pos FROM log WHERE name = 'chart_summarizer'),
