@@ -194,12 +194,12 @@ def search_sources(results: DataFrame, keys: Sequence[str], observation: str) ->
 
 
 def response_assembly(
-    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", name: str = "name", content: str = "content"
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", name: str = "name", content: str = "content",
+    sql_type: str = "survey_database",
 ) -> DataFrame:
-    """Final answer, chart count and source count per conversation.
+    """The response of each conversation: final answer, ordered data sources and charts, and their counts.
 
-    The ordered sources and charts themselves stay rows, in :func:`trace_flatten` and
-    :func:`chart_specs`, because one conversation may hold any number of them.
+    ``sources`` holds the rows of :func:`trace_flatten` by step, ``charts`` those of :func:`chart_specs` by number.
     """
     is_answer = F.col(name) == ANSWER_AUTHOR
     # Other messages are cut down to their conversation before rows are sorted for max_by.
@@ -208,20 +208,16 @@ def response_assembly(
     )
     last = F.nullif(F.max_by("__text", "__turn"), F.lit(""))
     base = answers.groupBy(conv).agg(F.coalesce(last, F.lit(NO_ANSWER)).alias("answer"))
-    charts = (
-        messages.where((F.col(name) == CHART_SUMMARY_AUTHOR) & F.contains(F.col(content), F.lit(CHART_MARKER)))
-        .select(conv, F.size(F.filter(json_objects_after(F.col(content), CHART_MARKER), F.isnotnull)).alias("n"))
-        .groupBy(conv)
-        .agg(F.sum("n").alias("chart_count"))
-    )
-    sources = (
-        trace_entries(messages, conv, turn, name, content)
-        .groupBy(conv)
-        .agg(F.count(F.lit(1)).alias("source_count"))
-    )
-    return base.join(charts, conv, "left").join(sources, conv, "left").na.fill(
-        0, ["chart_count", "source_count"]
-    )
+
+    def gathered(rows: DataFrame, as_name: str) -> DataFrame:
+        fields = F.struct(*[c for c in rows.columns if c != conv])
+        return rows.groupBy(conv).agg(F.sort_array(F.collect_list(fields)).alias(as_name))
+
+    sources = gathered(trace_flatten(messages, conv, turn, name, content, sql_type), "sources")
+    charts = gathered(chart_specs(messages, conv, turn, name, content), "charts")
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    joined = base.join(charts, conv, "left").join(sources, conv, "left")
+    return joined.withColumns({"chart_count": count("charts"), "source_count": count("sources")})
 
 
 def pair_calls(

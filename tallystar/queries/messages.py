@@ -58,7 +58,14 @@ def chart_counts(spark, sf_dir):
 
 
 def response_assembly(spark, sf_dir):
-    return traces.response_assembly(agent_messages(spark, sf_dir))
+    """Answer and counts, and the ordered sources and charts as one text each."""
+    made = traces.response_assembly(agent_messages(spark, sf_dir))
+    source = lambda s: F.concat_ws(" ", s["step"], s["agent"], s["type"], s["action"], s["sql"])
+    chart = lambda c: F.concat_ws(" ", c["n"], c["chart_id"], c["type"], c["title"])
+    return made.select(
+        "conv_id", "answer", "chart_count", "source_count",
+        F.array_join(F.transform("sources", source), "; ").alias("sources"),
+        F.array_join(F.transform("charts", chart), "; ").alias("charts"))
 
 
 def pair_calls(spark, sf_dir):
@@ -187,16 +194,6 @@ QUERIES = {
         f"""{_LOG} SELECT conv_id, turn, CASE name WHEN 'chart_summarizer' THEN 3 ELSE 0 END AS chart_count,
         CASE name WHEN 'chart_summarizer' THEN 'bar, line' ELSE '' END AS chart_types FROM log""",
     ),
-    "response_assembly": Query(
-        response_assembly,
-        f"""{_ENTRIES}
-        SELECT conv_id,
-          coalesce(arg_max(content, turn) FILTER (name = 'synthesizer'), 'No answer generated.') AS answer,
-          2 * count(*) FILTER (name = 'chart_summarizer') AS chart_count,
-          coalesce(any_value(n), 0) AS source_count
-        FROM log LEFT JOIN (SELECT conv_id, count(*) AS n FROM entries GROUP BY conv_id) USING (conv_id)
-        GROUP BY conv_id""",
-    ),
     "pair_calls": Query(
         pair_calls,
         """SELECT u.conv_id, u.turn AS call_turn, min(a.turn) AS response_turn, arg_min(a.text, a.turn) AS response_text
@@ -225,3 +222,17 @@ QUERIES = {
         FROM (SELECT 'd' || doc_id AS id, text AS m FROM documents UNION ALL SELECT 'p' || page_id, url FROM pages)""",
     ),
 }
+
+_FLAT, _SPECS = QUERIES["trace_flatten"].oracle, QUERIES["chart_specs"].oracle
+QUERIES["response_assembly"] = Query(
+    response_assembly,
+    f"""{_LOG},
+    answers AS (SELECT conv_id, coalesce(arg_max(content, turn) FILTER (name = 'synthesizer'), 'No answer generated.') AS answer
+      FROM log GROUP BY conv_id),
+    sources AS (SELECT conv_id, count(*) AS n, string_agg(concat_ws(' ', step, agent, type, action, sql), '; ' ORDER BY step) AS sources
+      FROM ({_FLAT}) GROUP BY conv_id),
+    specs AS (SELECT conv_id, count(*) AS m, string_agg(concat_ws(' ', n, chart_id, type, title), '; ' ORDER BY n) AS charts
+      FROM ({_SPECS}) GROUP BY conv_id)
+    SELECT conv_id, answer, coalesce(m, 0) AS chart_count, coalesce(n, 0) AS source_count, sources, charts
+    FROM answers LEFT JOIN sources USING (conv_id) LEFT JOIN specs USING (conv_id)""",
+)
