@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystar.llm.shared import positional, written
+from tallystar.llm.shared import positional, slices, written
 from tallystar.tasks import ship_by_value
 
 ship_by_value(__name__)
@@ -93,7 +93,7 @@ def _read(length: int):
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             rows, held = [], 0
             for at, text in enumerate(batch.column(0).to_pylist()):
                 data = (text or "").encode()
@@ -225,7 +225,7 @@ def _span_batch(found):
 def _fetch(length: int):
     """Bytes of the wanted snippets; for frequent grams, hashes of their windows instead."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
@@ -252,7 +252,7 @@ def _snippet_batch(rows):
 
 def _cut(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()
@@ -280,14 +280,15 @@ _LONG_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 def repeated_windows(docs: DataFrame, text: str, doc_id: str, length: int = LENGTH, indexed: int = INDEXED) -> DataFrame:
     """Rows (doc, text_hash, first, last): runs of window starts that are repeats."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    runs = docs.select(text, F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash")).mapInArrow(
-        _read(length), f"gram long, snippet long, doc {kind}, text_hash long, first long, last long")
-    twice = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("twice"))
+    runs = written(docs.select(text, F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+        _read(length), f"gram long, snippet long, doc {kind}, text_hash long, first long, last long"), "repeat-runs")
+    # Counts are written before they are joined: a join with an aggregation in its own stage cannot split a frequent gram.
+    twice = written(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("twice")), "repeat-grams")
     places = written(runs.join(twice, F.col("gram") == F.col("twice")).drop("twice"), "repeat-places")
     different = written(places.groupBy("gram", "snippet").agg(
         F.count("*").alias("copies"), F.min(F.struct(F.col("doc").isNull(), "doc", "text_hash", "first", "last")).alias("at")),
         "repeat-snippets")
-    kinds = different.groupBy("gram").agg(F.count("*").alias("kinds"))
+    kinds = written(different.groupBy("gram").agg(F.count("*").alias("kinds")), "repeat-kinds")
     settled = kinds.where("kinds = 1").join(different, "gram").select(
         "gram", "snippet", F.array(F.struct(F.lit(0).alias("first"), (F.col("at.last") - F.col("at.first")).cast("int").alias("last"))).alias("spans"))
 
