@@ -88,7 +88,8 @@ def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_line
     t, d = names[text], names[doc_id]
     runs = written(later_runs(_lines(frame, t, d), least_lines), "line-runs")
     own = F.col(d).eqNullSafe(F.col("doc")) & (F.xxhash64(t) == F.col("text_hash"))
-    joined = frame.join(runs, own, "left").drop("doc", "text_hash")
+    # The same join at every size: a small table of runs would be broadcast, and the shuffle of the texts would set in later.
+    joined = frame.join(runs.hint("merge"), own, "left").drop("doc", "text_hash")
     parted = joined.withColumn("_lines", F.split(t, "\n", -1))
     spoken = F.filter(F.transform("_lines", lambda line, i: F.when(F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")), i)),
                       lambda i: i.isNotNull())
