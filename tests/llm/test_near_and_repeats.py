@@ -84,6 +84,29 @@ def test_deduplicate_keeps_one_of_each_group(docs, clashing):
     assert simhash.deduplicate(frame.where("false")).count() == 0
 
 
+def test_pairs_of_several_fingerprints_match_their_rule(docs):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(10):
+        words = some_text(rng, 250).split()
+        for edits in (0, 2, 5, 9, 14):
+            changed = list(words)
+            for _ in range(edits):
+                changed[rng.randrange(len(changed))] = f"y{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(changed)))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs(*rows)).collect()}
+    prints = [simhash.fingerprints(t.encode(), simhash.SHINGLE, simhash.WORDS) for _, t in rows]
+
+    def linked(a, b):
+        other = [x ^ y for x, y in zip(a, b)]
+        shared = max(sum(o >> 8 * p & 255 == 0 for p in range(8)) for o in other)
+        return shared >= 3 and sum(o.bit_count() for o in other) <= int(simhash.SIMILAR * 192)
+
+    group = groups_of(prints, linked)
+    assert [got[i] for i, _ in rows] == [group.index(g) for g in group]
+    assert all(got[i] == i // 5 * 5 for i in range(50) if i % 5 < 2)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (100, 101)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
