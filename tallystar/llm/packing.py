@@ -11,8 +11,9 @@ classes times the capacity, are laid end to end into full sequences; the last re
 powers of two, which need no padding.
 
 Ids come from the tokenizer, word by word: its normaliser and its splitting never look across ASCII white space, so the
-ids of a text are those of its words in order. Words a worker has met are kept in a table of bounded size
-(``KNOWN_WORDS``, then started anew; none of over ``LONG_WORD`` bytes), which later tasks of the same worker reuse.
+ids of a text are those of its words in order. Words a worker has met lately are kept in two tables of bounded size
+(``KNOWN_WORDS`` each, the older one dropped when the newer is full; none of over ``LONG_WORD`` bytes), which later tasks of
+the same worker reuse.
 
 Defined cases: a null or empty text is the end id alone, so every document has at least one piece; rows that repeat a
 doc_id are separate documents; an empty table gives no piece. A very long text is cut like any other. Further columns
@@ -21,6 +22,7 @@ are not part of the result.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -28,16 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystar.llm.shared import positional
+from tallystar.llm.shared import WORKER_WORDS, positional, slices
 from tallystar.tasks import ship_by_value
 
 ship_by_value(__name__)
 
 CAPACITY = 2048
 END_ID = 1
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 400_000
 LONG_WORD = 200
 TOKENIZER = "word_bpe_49k.json"
+# Splitting and normalising agree with these: a full stop or comma behind a letter is a token start of its own, and
+# letters are made small anyway. It leaves fewer different words to keep.
+_CLOSED = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 SCHEMA = "doc_id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -53,41 +58,63 @@ def class_sizes(capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def encoder(tokenizer_path: str, known_words: int = KNOWN_WORDS):
-    """A function from text to its ids as bytes (unsigned 32-bit, little endian)."""
+    """A function from texts to their ids, each as bytes (unsigned 32-bit, little endian)."""
     import sys
     import types
 
     # Outlives this task, not this Python worker.
-    keep = sys.modules.setdefault("tallystar_worker_words", types.ModuleType("tallystar_worker_words"))
+    keep = sys.modules.setdefault(WORKER_WORDS, types.ModuleType(WORKER_WORDS))
     if getattr(keep, "path", None) != tokenizer_path:
         from tokenizers import Tokenizer
 
-        keep.tokenizer, keep.words, keep.path = Tokenizer.from_file(tokenizer_path), {}, tokenizer_path
-    tokenizer, words = keep.tokenizer, keep.words
-
-    def learn(new: list[bytes]) -> None:
-        """Encode several words as one text and deal its ids out by their places in it."""
-        for first in range(0, len(new), 256):
-            part = [w.decode() for w in new[first:first + 256]]
-            code = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(code.ids, "<u4")
-            ends = np.cumsum([len(w) + 1 for w in part])
-            cuts = np.searchsorted(np.array([o[0] for o in code.offsets], np.int64), ends[:-1])
-            for word, run in zip(new[first:first + 256], np.split(ids, cuts)):
-                words[word] = run.tobytes()
-
-    def encode(text: str | None) -> bytes:
-        parts = (text or "").encode().split()
-        try:
-            return b"".join([words[p] for p in parts])
-        except KeyError:
-            needed = {p for p in parts if len(p) <= LONG_WORD}
-            if len(words) + len(needed) > known_words:
-                words.clear()
-            learn([w for w in needed if w not in words])
-            alone = {p: np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                     for p in set(parts) - needed}
-            return b"".join([words[p] if p in words else alone[p] for p in parts])
+        keep.tokenizer, keep.path = Tokenizer.from_file(tokenizer_path), tokenizer_path
+        keep.words, keep.older = {}, {}
+        vocabulary = keep.tokenizer.get_vocab(with_added_tokens=True)
+        keep.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        keep.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    tokenizer = keep.tokenizer
+
+    def learn(new: list[bytes], words: dict) -> None:
+        """Encode several words as one text and deal its ids out."""
+        texts = [w.decode() for w in new]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        others = [k for k, t in enumerate(texts) if not t.isalpha()]
+        for chosen in (letters, others):
+            for first in range(0, len(chosen), 256):
+                part = [texts[k] for k in chosen[first:first + 256]]
+                code = tokenizer.encode(" ".join(part), add_special_tokens=False)
+                ids = np.array(code.ids, "<u4")
+                # A word of letters ends with its only closing token; others are told by their places in the text.
+                ends = np.flatnonzero(keep.closing[ids]) + 1
+                if chosen is others or len(ends) != len(part):
+                    starts = np.cumsum([len(t) + 1 for t in part])
+                    ends = np.searchsorted(np.array([o[0] for o in code.offsets], np.int64), starts)
+                data, at = ids.tobytes(), 0
+                for k, end in zip(chosen[first:first + 256], (4 * ends).tolist()):
+                    words[new[k]] = data[at:end]
+                    at = end
+
+    def split(text: str | None) -> list[bytes]:
+        data = (text or "").encode()
+        if b"<|" not in data:  # special tokens are matched before letters are made small
+            data = _CLOSED.sub(rb" \1", data.lower())
+        return data.split()
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        parted = [split(t) for t in texts]
+        words = keep.words
+        new = set().union(*[set(parts).difference(words) for parts in parted])
+        if len(words) + len(new) > known_words:
+            keep.older, keep.words = words, {}
+            words, new = keep.words, set().union(*parted)
+        words.update({p: keep.older[p] for p in new & keep.older.keys()})
+        new.difference_update(words)
+        long_ = {p for p in new if len(p) > LONG_WORD}
+        learn(list(new - long_), words)
+        alone = {p: np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in long_}
+        if alone:
+            return [b"".join([words[p] if p in words else alone[p] for p in parts]) for parts in parted]
+        return [b"".join([words[p] for p in parts]) for parts in parted]
     return encode
 
 
@@ -152,10 +179,10 @@ def _pack(text_at, id_at, tokenizer_path, capacity, end_id):
             return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
                                                     "sequence_id", "offset"])
 
-        for part in batches:
+        for part in slices(batches, keep_words=True):
             kind = part.schema.field(id_at).type
-            for text, doc in zip(part.column(text_at).to_pylist(), part.column(id_at).to_pylist()):
-                for piece in bins.add(doc, encode(text) + end):
+            for ids, doc in zip(encode(part.column(text_at).to_pylist()), part.column(id_at).to_pylist()):
+                for piece in bins.add(doc, ids + end):
                     rows.append(piece)
                     if len(rows) == 10_000:
                         yield batch()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallystar.llm.shared import positional, restored
+from tallystar.llm.shared import positional, restored, slices
 from tallystar.llm.words import pieces, stirred, word_keys
 from tallystar.tasks import ship_by_value
 
@@ -84,7 +84,7 @@ def _count(buckets: int, trusted: frozenset):
                     row += np.bincount(np.concatenate(grams), minlength=buckets)
                 grams.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for grams in _grams((text or "").encode(), buckets):
                     pending[0].append(grams)
@@ -103,7 +103,7 @@ def _count(buckets: int, trusted: frozenset):
 
 def _judge(text_at: int, ratios: np.ndarray, threshold: float):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(text_at).to_pylist():
                 data = (text or "").encode()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystar.session import scratch_path
+from tallystar.tasks import ship_by_value
+
+ship_by_value(__name__)
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +42,18 @@ def word_count(text: Column) -> Column:
     gaps = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"))
     spaces = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, ""))
     return (gaps - spaces).cast("long")
+
+
+WORKER_WORDS = "tallystar_worker_words"
+
+
+def slices(batches, rows: int = 500, keep_words: bool = False):
+    """Arrow batches in smaller parts, so that few texts are Python objects at a time.
+
+    Python workers are reused from stage to stage; what packing keeps in them is dropped by any other work.
+    """
+    if not keep_words:
+        sys.modules.pop(WORKER_WORDS, None)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
