@@ -154,3 +154,26 @@ def test_packed_pieces_hold_every_id_once(docs, clashing):
         padding += 0 if filled & (filled - 1) == 0 else 2048 - filled
     assert padding < 0.01 * sum(p.length for p in pieces)
     assert packing.pack(frame.where("false")).count() == 0
+
+
+def test_tree_keeps_rare_contexts_of_any_depth(docs):
+    rng = random.Random(5)
+    train = [i for i in range(900) if crc32(str(i).encode()) % 10][:700]
+    # The next word depends on the last four, and each of them tells something of it.
+    rows = []
+    for i in train[:40]:
+        said = ["a", "b", "a", "b"]
+        for _ in range(1000):
+            said.append("a" if rng.random() < (said[-4:].count("a") + 0.2) / 4.4 else "b")
+        rows.append((i, " ".join(said)))
+    tree = suffix_tree.grow(docs(*rows))
+    assert len(tree.levels) >= 4 and tree.levels[3][1].count() > 0
+    # Words of one context each, seen ten times in two million tokens: no share of the text decides what is kept.
+    filler = " ".join(["m n"] * 100_000)
+    rows = [(i, filler) for i in train[:10]] + [(i, f"u{k // 10} v{k // 10} v{k // 10}") for k, i in enumerate(train[10:210])]
+    tree = suffix_tree.grow(docs(*rows))
+    assert tree.total > 2_000_000
+    times = {r.n for r in tree.levels[0][0].where("own").collect()}
+    assert 10 in times and suffix_tree.grow(docs(*rows), depths=1).levels[0][1].count() >= 40
+    got = {r.doc_id: r for r in suffix_tree.score(docs(*rows)).collect()}
+    assert got[train[10]].score > got[train[10]].base_score / 2
