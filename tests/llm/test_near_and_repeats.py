@@ -170,3 +170,24 @@ def test_repeats_match_brute_force(docs, clashing, indexed):
     for r in got:
         assert r.n_bytes - r.n_removed == len(r.kept) and r.n_spans == len(r.removed)
     assert repeats.remove_repeats(frame.where("false")).count() == 0
+
+
+def test_deduplicate_decides_by_exact_similarity(docs):
+    rng = random.Random(17)
+    rows, sets = [], []
+    for _ in range(60):
+        words = some_text(rng, 200).split()
+        for edits in (0, 3, 4, 5, 6):  # similarities to the first between 0.73 and 0.87
+            changed = list(words)
+            for k in range(edits):
+                changed[30 * k + 20] = f"z{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(changed)))
+            sets.append({tuple(changed[i:i + 5]) for i in range(len(changed) - 4)})
+    rows += [(500, None), (501, ""), (502, "One two"), (503, "one\ttwo"), (504, "one three")]
+    sets += [set(), set(), {1}, {1}, {2}]
+    group = groups_of(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    want = {g: min(i for (i, _), h in zip(rows, group) if h == g) for g in group}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(*rows)).collect()}
+    assert got == {i: want[g] for (i, _), g in zip(rows, group)}
+    assert 0 < len(set(group)) < len(rows) - 30
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect()) == sorted(want.values())
