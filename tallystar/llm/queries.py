@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystar.llm import chat, exact_dedup, line_runs, mixing, packing, quality, repeats, simhash, suffix_tree, urls
+from tallystar.llm import (
+    chat, exact_dedup, line_runs, mixing, packing, quality, ranked, repeats, simhash, suffix_tree, urls, variants, warc,
+)
 from tallystar.queries.tables import Query, table
+from tallystar.session import scratch_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +178,103 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col(f"c{docs.columns.index('doc_id')}").alias("doc_id"), *quality.NOTES)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+# The checksum folds the bytes of "<doc_id>:<run>" through a table that is made from the polynomial, bit by bit.
+_OP11 = r"""
+WITH RECURSIVE bits AS (
+    SELECT range AS byte, range AS value, 0 AS step FROM range(256)
+    UNION ALL
+    SELECT byte, xor(value >> 1, CASE WHEN value & 1 = 1 THEN 3988292384 ELSE 0 END), step + 1 FROM bits WHERE step < 8),
+folds AS (SELECT list(value ORDER BY byte) AS fold FROM bits WHERE step = 8),
+runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+spelled AS (
+    SELECT *, flatten(list_transform(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: unicode(c)::BIGINT),
+        lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 | (u >> 6), 128 | (u & 63)] END)) AS bytes FROM counted),
+marked AS (
+    SELECT run, n, xor(list_reduce(bytes, lambda crc, b: xor(crc >> 8, fold[xor(crc, b) % 256 + 1]), 4294967295), 4294967295) AS h
+    FROM spelled, folds),
+words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM marked GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cuts AS (
+    SELECT DISTINCT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words)),
+near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (rest, place) WHERE a.word <> b.word
+    UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+    UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+    FROM near GROUP BY word),
+formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+           CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN best USING (word)),
+paths AS (
+    SELECT word, word AS last, form AS next FROM formed
+    UNION ALL
+    SELECT p.word, f.word, f.form FROM paths p JOIN formed f ON p.next = f.word)
+SELECT f.word, f.form, p.last AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN paths p ON p.word = f.word AND p.next IS NULL
+"""
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP12 = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sized AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sized),
+weighed AS (
+    SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM counted, totals GROUP BY term),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+    FROM asked JOIN weighed USING (term) JOIN counted USING (term) JOIN sized USING (doc_id), totals
+    GROUP BY item_id, doc_id HAVING score > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= 50
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.page_records(pages), path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archives(spark, path, payloads=False).select(
+        F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+_OP13 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": Query(op1_simhash),
     "op2_mixing": Query(op2_mixing, _OP2),
@@ -186,4 +286,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": Query(op8_suffix_dedup),
     "op9_line_runs": Query(op9_line_runs, _OP9),
     "op10_quality": Query(op10_quality),
+    "op11_variants": Query(op11_variants, _OP11),
+    "op12_ranked_search": Query(op12_ranked_search, _OP12),
+    "op13_warc": Query(op13_warc, _OP13),
 }
