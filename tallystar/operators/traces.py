@@ -19,7 +19,7 @@ from tallystar.functions.json_text import (
     json_objects_after,
 )
 from tallystar.functions.text import bind
-from tallystar.operators.ordered import DEFAULT_WIDTH, first_following, running_number
+from tallystar.operators.ordered import first_following, running_number
 
 # --- fixed values: author names in the logs and the texts reported for them ---
 
@@ -75,7 +75,6 @@ def trace_flatten(
     name: str = "name",
     content: str = "content",
     sql_type: str = "survey_database",
-    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Typed data-source rows, numbered per conversation over valid entries only."""
     author, e = F.col(name), F.col("entry")
@@ -102,9 +101,7 @@ def trace_flatten(
         F.when(is_plan, "planning").when(is_sql, sql_type).when(is_web, "web_search")
         .when(is_chart, "chart_generation").otherwise("synthesis")
     )
-    numbered = running_number(
-        trace_entries(messages, conv, turn, name, content), [conv], turn, ["pos"], "step", width
-    )
+    numbered = running_number(trace_entries(messages, conv, turn, name, content), [conv], turn, ["pos"], "step")
     row_count = F.try_variant_get(e, "$.row_count", "bigint")
     return numbered.select(
         conv,
@@ -135,7 +132,6 @@ def chart_specs(
     turn: str = "turn",
     name: str = "name",
     content: str = "content",
-    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Every parsable chart spec with its id, or ``chart_<n>`` counted over the conversation."""
     found = (
@@ -144,7 +140,7 @@ def chart_specs(
         .where(F.col("spec").isNotNull())
     )
     given = F.get_json_object("spec", "$.id")
-    return running_number(found, [conv], turn, ["pos"], "n", width).select(
+    return running_number(found, [conv], turn, ["pos"], "n").select(
         conv,
         "n",
         F.coalesce(given, F.concat(F.lit("chart_"), F.col("n").cast("string"))).alias("chart_id"),
@@ -227,11 +223,10 @@ def pair_calls(
     is_call: Column,
     is_response: Column,
     payload: Sequence[str],
-    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Each call with the first later response of its group (e.g. conversation and call id)."""
-    paired = first_following(messages, group, turn, is_response, payload, "response", width)
-    return paired.where(is_call & F.col("response").isNotNull())
+    paired = first_following(messages, group, turn, is_response, payload, "response", is_call)
+    return paired.where(F.col("response").isNotNull())
 
 
 def sql_traces(
@@ -241,7 +236,6 @@ def sql_traces(
     call_id: str = "call_id",
     args: str = "args",
     content: str = "content",
-    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """One row per SQL call whose first later response with its call id was a success.
 
@@ -250,7 +244,7 @@ def sql_traces(
     an unreadable response gives no row. At most ten rows are kept, as objects by column name.
     """
     is_call = F.col(args).isNotNull()
-    paired = pair_calls(messages, [conv, call_id], turn, is_call, ~is_call, [content], width)
+    paired = pair_calls(messages, [conv, call_id], turn, is_call, ~is_call, [content])
     reply, asked = F.try_parse_json(F.col("response")[content]), F.try_parse_json(F.col(args))
     read = paired.select(conv, turn, reply.alias("reply"), asked.alias("asked")).where(
         F.try_variant_get("reply", "$.success", "boolean"))

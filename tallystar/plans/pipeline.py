@@ -60,18 +60,19 @@ def analyze(spark: SparkSession, root: str, output: str, sample_rows: int = corp
     return variants
 
 
-def standardize(spark: SparkSession, root: str, output: str, multi_line: bool = True) -> StandardizeOutcome:
+def standardize(spark: SparkSession, root: str, output: str, multi_line: bool = True,
+                split_bytes: int | None = corpus.SPLIT_BYTES) -> StandardizeOutcome:
     """Standardize a corpus; a file with a bad number is left out and reported.
 
     The CSV files are parsed once, into a staged table. Results per file and the rows of the
     clean files are then read from that table.
     """
     heads = corpus.read_heads(corpus.scan_corpus(spark, root), sample_rows=0)
-    plan = corpus.layouts(heads)
-    if not plan:
+    plan = corpus.plan_corpus(heads, split_bytes, multi_line)
+    if plan.manifest.ranges.isEmpty():
         raise FileNotFoundError(f"no data files under {root}")
     staged_path = f"{output}/staged"
-    corpus.standardize(spark, plan, "quarantine", multi_line).write.mode("overwrite").parquet(staged_path)
+    corpus.standardize(plan, "quarantine").write.mode("overwrite").parquet(staged_path)
     clean, results = corpus.split_failed(spark.read.parquet(staged_path))
     rows_path, report_path = f"{output}/rows", f"{output}/standardization_report"
     warehouse.write_standardized(clean, rows_path)

@@ -31,8 +31,8 @@ def header_sample(spark, sf_dir):
 
 
 def hetero_csv_read(spark, sf_dir):
-    plan = inputs.corpus_layouts(spark, sf_dir)
-    rows = corpus.read_corpus(spark, plan)
+    plan = inputs.corpus_plan(spark, sf_dir)
+    rows = corpus.read_corpus(plan)
     return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _TEXT_KEYS])
 
 
@@ -51,17 +51,17 @@ def file_inventory(spark, sf_dir):
 
 
 def lineage(spark, sf_dir):
-    rows = corpus.with_lineage(corpus.read_corpus(spark, inputs.corpus_layouts(spark, sf_dir)))
+    rows = corpus.with_lineage(corpus.read_corpus(inputs.corpus_plan(spark, sf_dir)))
     return rows.groupBy("_source_file", "_source_folder", "_data_year").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def standardize(spark, sf_dir):
-    return corpus.standardize(spark, inputs.corpus_layouts(spark, sf_dir))
+    return corpus.standardize(inputs.corpus_plan(spark, sf_dir))
 
 
 def standardize_report(spark, sf_dir):
-    heads, plan = inputs.corpus_heads(spark, sf_dir, 0), inputs.corpus_layouts(spark, sf_dir)
-    _, results = corpus.split_failed(corpus.standardize(spark, plan, mode="quarantine"))
+    heads, plan = inputs.corpus_heads(spark, sf_dir, 0), inputs.corpus_plan(spark, sf_dir)
+    _, results = corpus.split_failed(corpus.standardize(plan, mode="quarantine"))
     report = corpus.standardize_report(spark, heads, results)
     return report.select(
         path_name(F.col("file_path")).alias("file_name"),

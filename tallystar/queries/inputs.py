@@ -173,8 +173,8 @@ def corpus_heads(spark: SparkSession, sf_dir: str, sample_rows: int = corpus.DEF
     return corpus.read_heads(corpus.scan_corpus(spark, corpus_root(spark, sf_dir)), sample_rows)
 
 
-def corpus_layouts(spark: SparkSession, sf_dir: str) -> list[corpus.Layout]:
-    return corpus.layouts(corpus_heads(spark, sf_dir, sample_rows=0))
+def corpus_plan(spark: SparkSession, sf_dir: str) -> corpus.CorpusPlan:
+    return corpus.plan_corpus(corpus_heads(spark, sf_dir, sample_rows=0))
 
 
 def standardized_root(spark: SparkSession, sf_dir: str) -> str:
@@ -182,7 +182,7 @@ def standardized_root(spark: SparkSession, sf_dir: str) -> str:
     from tallystar.operators.warehouse import write_standardized
 
     def write(path: str) -> None:
-        rows = corpus.standardize(spark, corpus_layouts(spark, sf_dir))
+        rows = corpus.standardize(corpus_plan(spark, sf_dir))
         # The folder is also kept as a column, for readers that ignore directory names.
         write_standardized(rows.withColumn("folder", F.col("_source_folder")), path, "folder")
 

@@ -1,7 +1,7 @@
 """CSV corpora whose files disagree about their headers.
 
-Only the head of each file is read to learn its layout. Files are then read per distinct
-layout with a positional schema, so plan size follows the number of layouts, not of files.
+Only the head of each file is read to learn its layout. Files are then read by byte ranges, each row of the manifest
+carrying the layout of its file, so neither the plan nor the driver grows with the number of files or layouts.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ import io
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallystar.functions.numeric import is_bad_number, sanitize_numeric
 from tallystar.functions.text import detect_year, normalize_header, path_name, path_parent, suppress_text
@@ -30,7 +28,8 @@ from tallystar.schema import (
     SKIPPED_NAME_PARTS,
     SUPPRESSION_TOKENS,
 )
-from tallystar.sources.paths import arrow_location
+from tallystar.sources.paths import open_bytes
+from tallystar.sources.ranges import SPLIT_BYTES, Manifest, plan_ranges, read_ranges
 from tallystar.tasks import ship_by_value
 
 DEFAULT_SAMPLE_ROWS = 200
@@ -64,17 +63,13 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _open_head(path: str) -> io.TextIOBase:
-    system, inner = arrow_location(path)
-    return io.TextIOWrapper(system.open_input_stream(inner), encoding="utf-8", errors="ignore", newline="")
-
-
-def _head_reader(sample_rows: int):
+def _head_reader(sample_rows: int, open_file):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record in batch.itertuples(index=False):
-                with _open_head(record.file_path) as handle:
+                with open_file(record.file_path) as stream:
+                    handle = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore", newline="")
                     lines = list(itertools.islice(csv.reader(handle), sample_rows + 1))
                 header, samples = (lines[0], lines[1:]) if lines and lines[0] else ([], [])
                 rows.append((*record, header, samples))
@@ -83,16 +78,17 @@ def _head_reader(sample_rows: int):
     return read
 
 
-def read_heads(files: DataFrame, sample_rows: int = DEFAULT_SAMPLE_ROWS) -> DataFrame:
+def read_heads(files: DataFrame, sample_rows: int = DEFAULT_SAMPLE_ROWS, open_file=open_bytes) -> DataFrame:
     """Header and first records of each file; both empty where the first line is.
 
     Each task opens its share of the files and stops after the sample, so the cost does not
-    depend on file sizes. Pass ``sample_rows=0`` where only headers are wanted.
+    depend on file sizes. Pass ``sample_rows=0`` where only headers are wanted, and as ``open_file`` a function from
+    path to binary stream for a store that Arrow does not know.
     """
     # A fixed count: adaptive execution would merge these few bytes of paths into one task.
     tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
     spread = files.select("file_path", "folder", "file_name", "size_bytes").repartition(tasks, "file_path")
-    return spread.mapInPandas(_head_reader(sample_rows), _HEADS)
+    return spread.mapInPandas(_head_reader(sample_rows, open_file), _HEADS)
 
 
 def file_inventory(heads: DataFrame) -> DataFrame:
@@ -123,69 +119,37 @@ def file_inventory(heads: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Layout:
-    """Files that share one header, and how that header maps onto canonical names."""
-
-    header: tuple[str, ...]
-    entries: tuple[tuple[int, str, str, bool], ...]
-    files: tuple[str, ...]
-
-    @property
-    def kept(self) -> dict[str, int]:
-        return {canonical: pos for pos, _, canonical, kept in self.entries if kept}
-
-    @property
-    def extras(self) -> list[str]:
-        return [c for c in self.kept if c not in CANONICAL_COLUMNS and c not in METADATA_COLUMNS]
-
-    @property
-    def added(self) -> list[str]:
-        return [c for c in CANONICAL_COLUMNS if c not in self.kept]
+class CorpusPlan:
+    """How to read a corpus: byte ranges of all files with their layouts, and the extra columns of all layouts."""
 
-    @property
-    def dropped(self) -> list[tuple[str, str]]:
-        return [(canonical, raw) for _, raw, canonical, kept in self.entries if not kept]
+    manifest: Manifest
+    extras: list[str]
 
 
-def layouts(heads: DataFrame) -> list[Layout]:
-    """The distinct layouts of a corpus with their file paths.
+def plan_corpus(heads: DataFrame, split_bytes: int | None = SPLIT_BYTES, multi_line: bool = True,
+                open_file=open_bytes) -> CorpusPlan:
+    """Plan the reading of all files with a header.
 
-    This is file listing: one path per file reaches the driver, as in any scan. Heads are
-    read once; the rename plans are then made from the distinct headers alone.
+    Paths and layouts stay a table. Only the distinct names of extra columns reach the driver, as they make the schema.
     """
-    files: dict[tuple[str, ...], list[str]] = {}
-    for row in heads.where(F.size("header") > 0).select("header", "file_path").collect():
-        files.setdefault(tuple(row.header), []).append(row.file_path)
-    if not files:
-        return []
-    distinct = heads.sparkSession.createDataFrame([(list(h),) for h in sorted(files)], "header array<string>")
-    return [
-        Layout(
-            tuple(row.header),
-            tuple((e.pos, e.raw, e.canonical, e.kept) for e in row.entries),
-            tuple(sorted(files[tuple(row.header)])),
-        )
-        for row in distinct.select("header", rename_entries(F.col("header")).alias("entries")).collect()
-    ]
-
-
-def read_layout(spark: SparkSession, layout: Layout, multi_line: bool = True) -> DataFrame:
-    """Raw text of all files of one layout as ``c0..cN``, with file metadata.
+    kept = F.filter(rename_entries(F.col("header")), lambda e: e["kept"])
+    places = F.map_from_entries(F.transform(kept, lambda e: F.struct(e["canonical"], e["pos"])))
+    files = heads.where(F.size("header") > 0).select(
+        "file_path", "size_bytes", F.size("header").alias("width"), places.alias("places"))
+    manifest = plan_ranges(files, split_bytes, multi_line, open_file)
+    names = manifest.ranges.where("start = 0").select(F.explode(F.map_keys("places")).alias("name")).distinct()
+    known = [*CANONICAL_COLUMNS, *METADATA_COLUMNS]
+    extras = names.where(~F.col("name").isin(known)).orderBy("name").collect()
+    return CorpusPlan(manifest, [row["name"] for row in extras])
+
+
+def read_corpus(plan: CorpusPlan) -> DataFrame:
+    """All files as text under canonical names, with defaults, extras and the file path.
 
-    The explicit schema is applied by position, so the header line is only skipped. Quotes
-    are escaped by doubling. ``multi_line=False`` lets big files be split where no field
-    holds a line break. A row with more cells than the header has a value in ``overflow``.
+    A record with more cells than its header has ``_too_long``. Quotes are escaped by doubling.
     """
-    names = [*[f"c{i}" for i in range(len(layout.header))], "overflow"]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(list(layout.files))
-    )
+    defaults = {name: default for name in CANONICAL_COLUMNS if (default := default_for(name)) is not None}
+    return read_ranges(plan.manifest, [*CANONICAL_COLUMNS, *plan.extras], defaults)
 
 
 def lineage_columns(path: Column) -> list[Column]:
@@ -197,50 +161,20 @@ def lineage_columns(path: Column) -> list[Column]:
     ]
 
 
-def read_corpus(spark: SparkSession, plan: list[Layout], multi_line: bool = True) -> DataFrame:
-    """All files as text under canonical names, with defaults, extras and the file path.
-
-    A layout only picks and names columns; whatever is computed comes after the union, so the
-    expressions of a column are built once, however many layouts there are.
-    """
-    extras = list(dict.fromkeys(name for layout in plan for name in layout.extras))
-
-    def quoted(name: str) -> str:
-        return "`" + name.replace("`", "``") + "`"
-
-    def pick(layout: Layout, name: str) -> str:
-        if name in layout.kept:
-            return f"c{layout.kept[name]} AS {quoted(name)}"
-        default = default_for(name) if name in CANONICAL_COLUMNS else None
-        return f"CAST({'NULL' if default is None else repr(default)} AS STRING) AS {quoted(name)}"
-
-    parts = [
-        read_layout(spark, layout, multi_line).selectExpr(
-            *[pick(layout, name) for name in (*CANONICAL_COLUMNS, *extras)],
-            "_metadata.file_path AS _source_path",
-            "overflow IS NOT NULL AS _too_long",
-        )
-        for layout in plan
-    ]
-    return reduce(DataFrame.unionAll, parts)
-
-
 def with_lineage(rows: DataFrame) -> DataFrame:
     """Replace the file path by file name, folder name and detected year."""
     names = [c for c in rows.columns if c not in ("_source_path", "_too_long")]
     return rows.select(*names, *lineage_columns(F.col("_source_path")))
 
 
-def standardize(
-    spark: SparkSession, plan: list[Layout], mode: str = "strict", multi_line: bool = True
-) -> DataFrame:
+def standardize(plan: CorpusPlan, mode: str = "strict") -> DataFrame:
     """The corpus in the canonical schema: canonical columns, extras, lineage.
 
     ``strict`` fails on a numeric column with other text and on a row with more cells than its header.
     ``quarantine`` nulls such a value and names its column, or ``RAGGED``, in ``_bad_columns``; see
     :func:`split_failed` for whole-file rejection.
     """
-    raw = read_corpus(spark, plan, multi_line)
+    raw = read_corpus(plan)
     if mode == "strict":
         long_row = F.raise_error(F.concat(F.lit("row longer than its header in "), F.col("_source_path")))
         raw = raw.withColumn("_source_path", F.when(F.col("_too_long"), long_row).otherwise(F.col("_source_path")))

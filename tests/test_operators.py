@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import random
 import statistics
@@ -46,23 +47,61 @@ def test_summary_equals_join_first(spark):
 # --- ordered ---
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_running_number_and_first_following(spark, width):
-    r = random.Random(width)
-    data = [(("hot" if r.random() < 0.5 else str(i % 5)), i, r.random() < 0.3, f"t{i}") for i in range(200)]
-    df = spark.createDataFrame(data, "g string, turn long, target boolean, text string")
-    got = ordered.running_number(df, ["g"], "turn", width=width)
-    seen = {}
-    want = {}
-    for g, turn, *_ in data:
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables too are dealt into several ranges."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
+def null_first(value):
+    return (value is not None, value)
+
+
+ORDERS = {"long": lambda i: i, "string": lambda i: f"é{i:03}" if i % 2 else f"{i:03}", "timestamp": lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+def test_running_number_and_first_following(spark, many_ranges, kind):
+    r = random.Random(len(kind))
+    data = []
+    for i in range(300):
+        turn = None if i % 11 == 0 else ORDERS[kind](150 if r.random() < 0.4 else i)
+        data.append((r.choice(["hot", "hot", str(i % 4), None]), turn, i, r.choice([True, False, False, None]), f"t{i}"))
+    df = spark.createDataFrame(data, f"g string, turn {kind}, pos long, target boolean, text string").repartition(3)
+    got = ordered.running_number(df, ["g"], "turn", ["pos"])
+    seen, want = {}, {}
+    for g, turn, pos, *_ in sorted(data, key=lambda d: (null_first(d[1]), d[2])):
         seen[g] = seen.get(g, 0) + 1
-        want[turn] = seen[g]
-    assert {x.turn: x.step for x in got.collect()} == want
+        want[pos] = seen[g]
+    assert {x.pos: x.step for x in got.collect()} == want and got.columns == [*df.columns, "step"]
+
+    follow = ordered.first_following(df, ["g"], "turn", F.col("target"), ["text"]).collect()
+    assert sorted(x.pos for x in follow) == list(range(300))
+    for x in follow:
+        later = [d for d in data if d[0] == x.g and null_first(d[1]) > null_first(x.turn) and d[3]]
+        nearest = min((d[1] for d in later), default=None)
+        assert (x.following and x.following.turn) == nearest
+        assert x.following is None or x.following.text in {d[4] for d in later if d[1] == nearest}
+    asked = ordered.first_following(df, ["g"], "turn", F.col("target"), ["text"], is_asking=~F.col("target"))
+    assert asked.count() == sum(d[3] is False for d in data)
 
-    follow = ordered.first_following(df, ["g"], "turn", F.col("target"), ["text"], width=width)
-    for x in follow.collect():
-        later = [(d[1], d[3]) for d in data if d[0] == x.g and d[1] > x.turn and d[2]]
-        assert (tuple(x.following) if x.following else None) == (min(later) if later else None)
+
+def test_equal_rows_are_numbered_each_and_cut_into_ranges(spark, many_ranges):
+    df = spark.createDataFrame([(None, "same")] * 400 + [("g", f"v{i}") for i in range(400)], "g string, turn string").repartition(4)
+    placed = ordered._placed(df, "g", "turn")
+    per_range = [r["count"] for r in placed.where("g IS NULL").groupBy("__range").count().collect()]
+    assert len(per_range) > 1 and max(per_range) < 400
+    got = ordered.running_number(df, ["g"], "turn").where("g IS NULL")
+    assert sorted(r.step for r in got.collect()) == list(range(1, 401))
+
+
+def test_no_rows_no_numbers(spark):
+    df = spark.createDataFrame([], "g string, turn long, target boolean")
+    assert ordered.running_number(df, ["g"], "turn").collect() == []
+    assert ordered.first_following(df, ["g"], "turn", F.col("target"), []).collect() == []
 
 
 # --- headers ---
@@ -231,10 +270,20 @@ def test_pair_calls_by_id(spark):
         [(1, "x", "call", "s1"), (2, "y", "call", "s2"), (3, "y", "tool", "r2"), (4, "x", "tool", "r1"), (5, "x", "tool", "late"), (6, "z", "call", "s3")],
         "turn long, call string, kind string, text string",
     )
-    got = traces.pair_calls(df, ["call"], "turn", F.col("kind") == "call", F.col("kind") == "tool", ["text"], width=2)
+    got = traces.pair_calls(df, ["call"], "turn", F.col("kind") == "call", F.col("kind") == "tool", ["text"])
     assert rows(got.select("text", "response.text"), "turn") == [("s1", "r1"), ("s2", "r2")]
 
 
+def test_entries_without_conversation_or_turn_stay(spark):
+    mark = traces.TRACE_MARKER
+    rows_in = [(None, 1, "planner"), ("c", None, "second"), ("c", 3, "third"), (None, None, "x")]
+    df = spark.createDataFrame(
+        [(c, t, traces.SQL_AUTHOR, f'{mark} [{{"sql": "{s}", "row_count": 1}}]') for c, t, s in rows_in],
+        "conv_id string, turn long, name string, content string")
+    got = {(r.conv_id, r.step, r.sql) for r in traces.trace_flatten(df).collect()}
+    assert got == {(None, 1, "x"), (None, 2, "planner"), ("c", 1, "second"), ("c", 2, "third")}
+
+
 def test_sql_trace():
     data = [{"id": i} for i in range(20)]
     trace = traces.sql_trace("S", None, data, 5000, {"id": {"min": 0}}, True)

@@ -39,7 +39,7 @@ def root(tmp_path):
 
 def layout_plan(spark, root):
     heads = corpus.read_heads(corpus.scan_corpus(spark, str(root)))
-    return heads, corpus.layouts(heads)
+    return heads, corpus.plan_corpus(heads)
 
 
 def test_scan_and_heads(spark, root):
@@ -49,22 +49,22 @@ def test_scan_and_heads(spark, root):
     got = {r.file_name: r for r in heads.collect()}
     assert got["part_2022.csv"].header[1] == "Area Title*" and len(got["part_2022.csv"].samples) == 3
     assert corpus.read_heads(corpus.scan_corpus(spark, str(root)), 1).where("size(samples) = 1").count() == 2
-    assert len(plan) == 2
-    by_header = {p.header[0]: p for p in plan}
-    assert by_header["Area"].dropped == [("AREA", "area")] and by_header["Area"].extras == ["EXTRA"]
-    assert len(by_header["AREA"].added) == 27
+    assert plan.extras == ["EXTRA"]
+    ranges = {r.file_path.rsplit("/", 1)[1]: r for r in plan.manifest.ranges.collect()}
+    assert ranges["part_2022.csv"].places == {"AREA": 0, "AREA_TITLE": 1, "TOT_EMP": 3, "A_MEAN": 4, "EXTRA": 5}
+    assert (ranges["sample.csv"].start, ranges["sample.csv"].stop, ranges["sample.csv"].width) == (0, ranges["sample.csv"].size_bytes, 5)
 
 
 def test_rows_longer_than_their_header_fail_the_file(spark, root):
     write(root, "2021/long.csv", "AREA,OCC_CODE\n1,a\n2,b,beyond\n3\n")
     _, plan = layout_plan(spark, root)
-    clean, results = corpus.split_failed(corpus.standardize(spark, plan, "quarantine"))
+    clean, results = corpus.split_failed(corpus.standardize(plan, "quarantine"))
     failed = {r["_source_path"].rsplit("/", 1)[1]: r for r in results.collect()}
     assert failed["long.csv"].rows == 3 and failed["long.csv"].bad_columns == [corpus.RAGGED]
     assert failed["sample.csv"].bad_rows == 0
     assert {r["_source_file"] for r in clean.select("_source_file").collect()} == {"sample.csv", "part_2022.csv"}
     with pytest.raises(PySparkException, match="longer than its header"):
-        corpus.standardize(spark, plan).collect()
+        corpus.standardize(plan).collect()
 
 
 def test_inventory(spark, root):
@@ -77,7 +77,7 @@ def test_inventory(spark, root):
 
 def test_standardize(spark, root):
     _, plan = layout_plan(spark, root)
-    out = corpus.standardize(spark, plan)
+    out = corpus.standardize(plan)
     got = {r.AREA: r for r in out.collect()}
     assert got["1"].AREA_TITLE == 'Say "hi", you\nthere' and got["1"].TOT_EMP is None and got["1"].EXTRA == "e1"
     assert got["2"].A_MEAN == 10.5 and got["2"].AREA_TITLE is None
@@ -91,8 +91,8 @@ def test_bad_number_fails_its_file_only(spark, root):
     write(root, "2021/bad.csv", "AREA,TOT_EMP,A_MEAN\n5,12.0,1\n6,1,x\n7,2,2\n")
     _, plan = layout_plan(spark, root)
     with pytest.raises(PySparkException, match="not a number"):
-        corpus.standardize(spark, plan).collect()
-    clean, results = corpus.split_failed(corpus.standardize(spark, plan, "quarantine"))
+        corpus.standardize(plan).collect()
+    clean, results = corpus.split_failed(corpus.standardize(plan, "quarantine"))
     assert clean.count() == 4 and "_bad_columns" not in clean.columns
     failed = results.where("bad_rows > 0").first()
     assert (failed.rows, failed.bad_rows, failed.bad_columns) == (3, 2, ["TOT_EMP", "A_MEAN"])
@@ -100,7 +100,70 @@ def test_bad_number_fails_its_file_only(spark, root):
 
 def test_empty_corpus(spark, tmp_path):
     write(tmp_path, "c/x/field_notes.csv", "a\n1\n")
-    assert layout_plan(spark, tmp_path / "c")[1] == []
+    _, plan = layout_plan(spark, tmp_path / "c")
+    assert plan.manifest.ranges.isEmpty() and plan.extras == [] and corpus.standardize(plan).count() == 0
+
+
+AWKWARD = (
+    'AREA,"OCC\ncode",Extra\r\n1,a,x\r\n"2","he said ""no"",\nand\r\nleft",""\n\n3,,"é\n\n"\n4\n5,b,"last, no end"'
+)
+
+
+@pytest.mark.parametrize("split", [1, 2, 3, 5, 7, 16, 40, 1000, None])
+def test_ranges_of_any_size_give_the_same_records(spark, tmp_path, split):
+    write(tmp_path, "c/2020/long.csv", AWKWARD)
+    write(tmp_path, "c/2020/other.csv", "OCC_CODE,AREA\nz,9\n")
+    heads = corpus.read_heads(corpus.scan_corpus(spark, str(tmp_path / "c")), 0)
+    plan = corpus.plan_corpus(heads, split)
+    rows = corpus.read_corpus(plan)
+    got = sorted((r.AREA, r.OCC_CODE, r.EXTRA) for r in rows.select("AREA", "OCC_CODE", "EXTRA").collect())
+    assert got == [("1", "a", "x"), ("2", 'he said "no",\nand\r\nleft', ""), ("3", None, "é\n\n"), ("4", None, None),
+                   ("5", "b", "last, no end"), ("9", "z", None)]
+
+
+@pytest.mark.parametrize("split", [3, 11, 64])
+def test_single_line_ranges_take_stray_quotes(spark, tmp_path, split):
+    write(tmp_path, "c/2020/a.csv", 'AREA,OCC_CODE\n1,5" pipe\n2,"x"\n3,6" pipe\n')
+    heads = corpus.read_heads(corpus.scan_corpus(spark, str(tmp_path / "c")), 0)
+    rows = corpus.read_corpus(corpus.plan_corpus(heads, split, multi_line=False))
+    assert sorted((r.AREA, r.OCC_CODE) for r in rows.select("AREA", "OCC_CODE").collect()) == [
+        ("1", '5" pipe'), ("2", "x"), ("3", '6" pipe')]
+
+
+def test_many_small_files_and_one_large_one(spark, tmp_path):
+    for i in range(10_000):
+        write(tmp_path, f"c/f{i % 7}/s{i}.csv", f"AREA,X{i % 3}\n{i},v\n")
+    write(tmp_path, "c/f0/large.csv", "X0,AREA\n" + "".join(f'"line\n{i}",{i}\n' for i in range(10_000, 60_000)))
+    heads = corpus.read_heads(corpus.scan_corpus(spark, str(tmp_path / "c")), 0)
+    plan = corpus.plan_corpus(heads, split_bytes=100_000)
+    rows = corpus.read_corpus(plan).select("AREA", "X0", "X1", "X2", "_source_path", F.spark_partition_id().alias("task"))
+    large = F.col("_source_path").endswith("large.csv")
+    got = rows.agg(
+        F.count("*"), F.sum(F.col("AREA").cast("long")), F.count("X0"), F.count("X1"),
+        F.count_distinct(F.when(large, F.col("task"))), F.count_distinct("task"), F.count_if(F.col("X0").startswith("line\n"))).first()
+    assert got[:4] == (60_000, sum(range(60_000)), 3334 + 50_000, 3333) and got[6] == 50_000
+    assert plan.extras == ["X0", "X1", "X2"] and got[4] > 5 and got[5] > 10
+
+
+def test_files_are_opened_by_the_given_function(spark, root):
+    def elsewhere(path):
+        import io
+
+        return io.BytesIO(b"AREA,NEW\n1,shipped\n2,shipped\n")
+
+    heads = corpus.read_heads(corpus.scan_corpus(spark, str(root)), 5, open_file=elsewhere)
+    plan = corpus.plan_corpus(heads, open_file=elsewhere)
+    assert [r.NEW for r in corpus.read_corpus(plan).select("NEW").collect()] == ["shipped"] * 4
+
+
+def test_places_of_files():
+    from pyarrow import fs
+
+    from tallystar.sources.paths import arrow_location
+
+    for path in ("/tmp/a b%20/é.csv", "file:/tmp/a b%20/é.csv", "file:///tmp/a b%20/é.csv"):
+        system, inner = arrow_location(path)
+        assert isinstance(system, fs.LocalFileSystem) and inner == "/tmp/a b%20/é.csv"
 
 
 def test_pipeline_end_to_end(spark, root, tmp_path):
@@ -127,7 +190,7 @@ def test_pipeline_end_to_end(spark, root, tmp_path):
 def test_equal_names_in_two_folders_do_not_cancel(spark, root, tmp_path):
     write(root, "2025/sample.csv", "AREA,OCC_CODE\n1,a\n2,b\n")
     _, plan = layout_plan(spark, root)
-    rows = warehouse.load_projection(corpus.standardize(spark, plan))
+    rows = warehouse.load_projection(corpus.standardize(plan))
     swapped = spark.createDataFrame([("2024/sample.csv", 2), ("2025/sample.csv", 1), ("y2023/part_2022.csv", 3)], "path string, rows long")
     with pytest.raises(RuntimeError, match="2 source files do not reconcile"):
         warehouse.load_table(rows, str(tmp_path / "wh"), "fact", swapped)
@@ -136,7 +199,7 @@ def test_equal_names_in_two_folders_do_not_cancel(spark, root, tmp_path):
 
 def test_load_is_all_or_nothing(spark, root, tmp_path):
     _, plan = layout_plan(spark, root)
-    rows = warehouse.load_projection(corpus.standardize(spark, plan))
+    rows = warehouse.load_projection(corpus.standardize(plan))
     base = str(tmp_path / "wh")
     warehouse.load_table(rows, base, "fact")
     first = warehouse.current_version(spark, base, "fact")
@@ -224,7 +287,7 @@ def test_convert_skips_what_is_done(spark, tmp_path):
 def test_stream_load_equals_batch_and_adds_nothing_twice(spark, root, tmp_path):
     _, plan = layout_plan(spark, root)
     source = tmp_path / "std"
-    rows = corpus.standardize(spark, plan)
+    rows = corpus.standardize(plan)
     rows.where("_source_folder = '2024'").write.parquet(str(source / "a"))
     paths = [str(tmp_path / n) for n in ("rows", "audit", "cp")]
     renamed = {"_data_year": "SURVEY_YEAR", "_source_file": "SOURCE_FILE", "_source_folder": "SOURCE_FOLDER"}
