@@ -30,8 +30,9 @@ _LITERAL_OR_COMMENT = re.compile(
     r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/""", re.DOTALL
 )
 _REFLECTION = re.compile(r"\b(?:try_reflect|reflect|java_method)\b", re.IGNORECASE)
-# A registered view is named by one part; a table of any catalog, or a global view, by several.
-_OUTSIDE_RELATION = re.compile(r"SubqueryAlias [^\s,]+\.|\bRelationV2\b|\bHiveTableRelation\b")
+# Leaves of a plan that hold nothing but what the text itself says.
+_OWN_LEAVES = ("OneRowRelation", "LocalRelation", "CTERelationRef", "UnionLoopRef")
+_AT = "__at"
 _KEPT_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
 
 TableLoader = Callable[[SparkSession], DataFrame]
@@ -62,12 +63,47 @@ def _without_last_semicolon(sql: str) -> str:
     return sql if at < 0 else sql[:at] + " " + sql[at + 1 :]
 
 
-def sets_own_limit(sql: str) -> bool:
-    """Whether the outermost statement has a LIMIT; one inside parentheses does not bound the result."""
-    bare = _LITERAL_OR_COMMENT.sub(" ", sql)
-    while (inner := re.sub(r"\([^()]*\)", " ", bare)) != bare:
-        bare = inner
-    return bool(re.search(r"\bLIMIT\b", bare, re.IGNORECASE))
+def _below(node) -> list:
+    """The plans right below a plan node, those inside its expressions too."""
+    found = []
+    for plans in (node.children(), node.subqueries()):
+        at = plans.iterator()
+        while at.hasNext():
+            found.append(at.next())
+    return found
+
+
+def outermost_limit(parsed) -> bool:
+    """Whether the statement inside ``SELECT * FROM (…)`` is bounded by a limit of its own, by its parsed plan.
+
+    A limit in a subquery, in a common table expression or in one branch of a set operation bounds something else.
+    """
+    node = parsed
+    for kind in ("Project", "SubqueryAlias", "UnresolvedWith"):
+        if node.nodeName() == kind:
+            node = node.children().head()
+    return node.nodeName() == "GlobalLimit"
+
+
+def outside_relation(analyzed, views: set[str]) -> str | None:
+    """A leaf of the analysed plan that is none of the registered views, or null.
+
+    A view is named by one part; a global or permanent view, or a table of any catalog, is something else, and so is a
+    function in FROM that brings rows of its own.
+    """
+    waiting = [analyzed]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "View":
+            named = node.desc().identifier()
+            if not node.isTempView() or named.database().isDefined() or named.table() not in views:
+                return named.unquotedString()
+            continue
+        further = _below(node)
+        if not further and node.nodeName() not in _OWN_LEAVES:
+            return node.nodeName()
+        waiting += further
+    return None
 
 
 def audit_sql(sql: Column, word_match: bool = False) -> Column:
@@ -105,6 +141,7 @@ class SqlResult:
     whole: DataFrame | None = None
     summary_above: int = PROFILE_ABOVE_ROWS
     _out: dict | None = None
+    _kept: tuple | None = None
 
     @property
     def success(self) -> bool:
@@ -113,8 +150,8 @@ class SqlResult:
     def envelope(self) -> dict:
         """All rows up to ``summary_above``, else ten rows and statistics; errors are returned.
 
-        The statement runs once for a small result. A larger one is written once, and its count and
-        statistics are taken from what was written. ``capped`` says whether the cap cut rows.
+        The statement runs once: its result is written, and rows, count and statistics are all taken from what was
+        written. ``capped`` says whether the cap cut rows.
         """
         if self._out is None:
             self._out = self._enveloped()
@@ -125,41 +162,52 @@ class SqlResult:
         if not self.success:
             return base | {"error": self.error}
         try:
-            rows = self.frame.limit(self.summary_above + 1).collect()
+            kept, total, capped = self._stored()
             columns = self.frame.columns
-            if len(rows) <= self.summary_above:
+            ordered = kept.orderBy(_AT).drop(_AT)
+            if total <= self.summary_above:
                 return base | {
-                    "truncated": False, "capped": self._capped(len(rows)), "columns": columns,
-                    "data": [list(r) for r in rows], "row_count": len(rows),
+                    "truncated": False, "capped": capped, "columns": columns,
+                    "data": [list(r) for r in ordered.collect()], "row_count": total,
                 }
-            kept = self._stored()
-            total = kept.count()
             stats = {
                 r["column"]: {k: r[k] for k in ("min", "max", "mean", "median")}
-                for r in result_profile(kept).collect()
+                for r in result_profile(kept.drop(_AT)).collect()
             }
             return base | {
                 "truncated": True,
-                "capped": self._capped(total),
+                "capped": capped,
                 "summary": f"Query returned {total:,} rows (showing first {PREVIEW_ROWS}).",
                 "columns": columns,
-                "sample_data": [list(r) for r in rows[:PREVIEW_ROWS]],
+                "sample_data": [list(r) for r in ordered.limit(PREVIEW_ROWS).collect()],
                 "row_count": total,
                 "stats": stats,
             }
         except PySparkException as error:
             return base | {"success": False, "error": str(error)}
 
-    def _capped(self, rows: int) -> bool:
-        return self.cap is not None and rows == self.cap and bool(self.whole.offset(self.cap).take(1))
+    def _stored(self) -> tuple[DataFrame, int, bool]:
+        """The result as written, with the place of each row, its count, and whether the cap cut rows.
 
-    def _stored(self) -> DataFrame:
-        """The result as written; positional names, because a result may repeat a column name."""
-        path = scratch_path(self.frame.sparkSession, "sql-result")
-        placed = self.frame.toDF(*[f"c{i}" for i in range(len(self.frame.columns))])
-        placed.write.parquet(path)
-        names = [n if self.frame.columns.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(self.frame.columns)]
-        return placed.sparkSession.read.schema(placed.schema).parquet(path).toDF(*names)
+        One row beyond the cap is written to tell, and then left out. Names are positional in the file, because a result
+        may repeat a column name; types that files do not hold are text.
+        """
+        if self._kept is None:
+            path = scratch_path(self.frame.sparkSession, "sql-result")
+            names = self.frame.columns
+            whole = self.frame if self.cap is None else self.whole.limit(self.cap + 1)
+            placed = whole.toDF(*[f"c{i}" for i in range(len(names))])
+            as_text = {c: F.col(c).cast("string") for c, kind in placed.dtypes if kind in ("void", "interval")}
+            placed = placed.withColumns(as_text).withColumn(_AT, F.monotonically_increasing_id())
+            placed.write.parquet(path)
+            kept = placed.sparkSession.read.schema(placed.schema).parquet(path)
+            total = kept.count()
+            capped = self.cap is not None and total > self.cap
+            if capped:
+                kept, total = kept.where(F.col(_AT) != kept.agg(F.max(_AT)).first()[0]), self.cap
+            shown = [n if names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
+            self._kept = kept.toDF(*shown, _AT), total, capped
+        return self._kept
 
     def to_json(self) -> str:
         return json.dumps(self.envelope(), indent=2, default=str)
@@ -176,7 +224,7 @@ class SqlResult:
 
             stats = {
                 r["column"]: {k: r[k] for k in ("min", "max", "mean", "count")}
-                for r in column_stats(self.frame).collect()
+                for r in column_stats(self._stored()[0].drop(_AT)).collect()
             }
         rows = [dict(zip(out["columns"], row)) for row in preview[:PREVIEW_ROWS]]
         return sql_trace(self.sql, self.params, rows, out["row_count"], stats, out["truncated"])
@@ -200,6 +248,7 @@ class GuardedSql:
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         for name, load in tables.items():
             load(self.session).createOrReplaceTempView(name)
+        self.views = set(tables)
 
     def run(self, sql: str, params: str | Sequence | None = None) -> SqlResult:
         try:
@@ -210,12 +259,13 @@ class GuardedSql:
         if reason:
             return SqlResult(sql, values, error=reason)
         wrapped = f"SELECT * FROM (\n{_without_last_semicolon(sql)}\n)"
-        cap = None if sets_own_limit(sql) else self.row_cap
         try:
+            parsed = self.session._jsparkSession.sessionState().sqlParser().parsePlan(wrapped)
             whole = self.session.sql(wrapped, args=values or None)
         except PySparkException as error:
             return SqlResult(sql, values, error=str(error))
-        if _OUTSIDE_RELATION.search(whole._jdf.queryExecution().analyzed().toString()):
+        cap = None if outermost_limit(parsed) else self.row_cap
+        if outside_relation(whole._jdf.queryExecution().analyzed(), self.views):
             return SqlResult(sql, values, error="Query reads a table outside the allowed set")
         frame = whole if cap is None else whole.limit(cap)
         return SqlResult(sql, values, frame=frame, cap=cap, whole=whole, summary_above=self.summary_above)

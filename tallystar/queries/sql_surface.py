@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystar.operators import catalog
-from tallystar.plans.guarded_sql import GuardedSql, audit_sql
+from tallystar.plans.guarded_sql import ROW_CAP, GuardedSql, audit_sql
 from tallystar.queries.tables import TABLES, Query, table, tables
 from tallystar.schema import FACT_SCHEMA, VINTAGE_SCHEMA
 
 
-def guard(spark, sf_dir) -> GuardedSql:
-    """Whole results, as the registered queries must return them."""
-    return GuardedSql(spark, {n: (lambda s, n=n: table(s, sf_dir, n)) for n in TABLES}, row_cap=None)
+def guard(spark, sf_dir, row_cap: int | None = None) -> GuardedSql:
+    """Whole results by default, as the registered queries must return them."""
+    return GuardedSql(spark, {n: (lambda s, n=n: table(s, sf_dir, n)) for n in TABLES}, row_cap)
 
 
 def _run(sql: str, params=None):
@@ -66,6 +66,17 @@ def result_envelope_large(spark, sf_dir):
     return stats.withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 4))
 
 
+# A column called limit is no limit.
+_CAPPED_SQL = "SELECT l_orderkey, l_linenumber, l_quantity AS limit FROM lineitem ORDER BY l_orderkey, l_linenumber"
+
+
+def capped_sql(spark, sf_dir):
+    """A text without a limit under the default cap: the rows that are left, and what the envelope says of them."""
+    result = guard(spark, sf_dir, ROW_CAP).run(_CAPPED_SQL)
+    out = result.envelope()
+    return result.frame.withColumns({"capped": F.lit(out["capped"]), "row_count": F.lit(out["row_count"]).cast("long")})
+
+
 _TEXT = """CASE p_partkey % 7 WHEN 0 THEN 'SELECT * FROM t WHERE name = ''' || p_name || '''' WHEN 1 THEN 'drop table ' || p_type
   WHEN 2 THEN 'SELECT created_at FROM t' WHEN 3 THEN '   ' WHEN 4 THEN 'SELECT ' || CAST(p_size AS STRING)
   WHEN 5 THEN 'UPDATE t SET a = 1; DELETE FROM t' ELSE 'SELECT "' || p_brand || '"' END"""
@@ -119,6 +130,12 @@ QUERIES = {
             for c in ("l_orderkey", "l_quantity", "l_extendedprice")
         ),
     ),
+    "capped_sql": Query(
+        capped_sql,
+        f"""WITH size AS (SELECT count(*) AS n FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_quantity AS "limit", n > {ROW_CAP} AS capped, least(n, {ROW_CAP})::BIGINT AS row_count
+        FROM lineitem, size ORDER BY l_orderkey, l_linenumber LIMIT {ROW_CAP}""",
+    ),
     "sql_audit": Query(
         sql_audit,
         f"""WITH texts AS (SELECT p_partkey, {_TEXT} AS sql FROM part),

@@ -77,6 +77,77 @@ def test_cannot_leave_the_cap(sql):
     assert sql.run("SELECT id FROM numbers) UNION ALL (SELECT id FROM numbers").frame.count() == 10_000
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT `limit` FROM (SELECT id AS `limit` FROM numbers)", "SELECT id AS limit FROM numbers", "SELECT * FROM numbers AS limit",
+        "WITH limit AS (SELECT * FROM numbers) SELECT * FROM limit", "SELECT id FROM numbers LIMIT ALL",
+        "WITH a AS (SELECT * FROM numbers LIMIT 24000) SELECT * FROM a", "SELECT * FROM (SELECT * FROM numbers LIMIT 24000) b",
+        "SELECT id FROM numbers UNION ALL (SELECT id FROM numbers LIMIT 3)", "SELECT id FROM numbers WHERE id <> (SELECT max(id) FROM numbers LIMIT 1)",
+        "SELECT id FROM numbers -- LIMIT 3", "SELECT id, 'LIMIT 3' AS t FROM numbers",
+    ],
+)
+def test_only_the_outermost_limit_lifts_the_cap(sql, text):
+    assert sql.run(text).frame.count() == 10_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["SELECT * FROM numbers LIMIT 15000", "SELECT * FROM numbers ORDER BY id LIMIT 15000 OFFSET 2",
+     "WITH a AS (SELECT * FROM numbers) SELECT * FROM a LIMIT 15000", "SELECT id FROM numbers UNION SELECT -1 LIMIT 15000"],
+)
+def test_an_own_limit_of_any_form_holds(sql, text):
+    assert sql.run(text).frame.count() == 15_000
+    assert sql.run("SELECT * FROM numbers LIMIT ?", "[15000]").frame.count() == 15_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM range(5)", "SELECT id FROM jobs WHERE id IN (SELECT id FROM range(3))", "SELECT (SELECT max(id) FROM range(3)) FROM jobs",
+        "WITH a AS (SELECT * FROM range(3)) SELECT * FROM a", "SELECT * FROM elsewhere.main.t", "SELECT * FROM kept_table", "SELECT * FROM default.kept_table",
+        "SELECT * FROM jobs JOIN global_temp.shared_view", "SELECT * FROM jobs WHERE EXISTS (SELECT 1 FROM global_temp.shared_view)",
+    ],
+)
+def test_rows_come_from_registered_views_only(sql, spark, text):
+    if not spark.catalog.tableExists("kept_table"):
+        spark.range(3).write.mode("overwrite").saveAsTable("kept_table")
+    try:
+        assert sql.run(text).error
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_table")
+
+
+def test_rows_of_the_text_itself_are_allowed(sql):
+    for text in ("SELECT 1", "SELECT * FROM VALUES (1), (2)", "SELECT explode(array(1, 2))", "SELECT * FROM explode(array(1, 2))",
+                 "SELECT j.id FROM jobs j, LATERAL (SELECT j.id + 1 AS x)"):
+        assert sql.run(text).envelope()["success"] is True, text
+
+
+def test_a_statement_runs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    guard = GuardedSql(spark, {"numbers": lambda s: s.range(4000).mapInArrow(counted, "id long")}, row_cap=3000)
+    for text, rows, capped in (("SELECT id FROM numbers ORDER BY id DESC", 3000, True), ("SELECT id FROM numbers WHERE id < 5 ORDER BY id DESC", 5, False)):
+        read.value = 0
+        result = guard.run(text)
+        out = result.envelope()
+        result.trace()
+        assert read.value == 4000 and (out["row_count"], out["capped"]) == (rows, capped)
+        assert (out.get("data") or out["sample_data"])[0] == [3999 if capped else 4]
+        assert "stats" not in out or out["stats"]["id"] == {"min": 1000.0, "max": 3999.0, "mean": 2499.5, "median": 2499.5}
+
+
+def test_results_of_types_that_files_do_not_hold(sql):
+    out = sql.run("SELECT NULL AS nothing, id, id FROM jobs ORDER BY id").envelope()
+    assert out["columns"] == ["nothing", "id", "id"] and out["data"][0] == [None, 1, 1]
+
+
 def test_parameters_and_small_envelope(sql):
     out = sql.run("SELECT occupation FROM jobs WHERE salary > ? AND occupation LIKE ? ORDER BY id LIMIT ?", '[90000, "%i%", 5]').envelope()
     assert out["data"] == [["Data Scientist"], ["Statistician"], ["Economist"]]
