@@ -13,7 +13,7 @@ from tallystar.session import scratch_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4, words=1)
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -15,18 +15,6 @@ Long posting lists do not produce all their pairs. Fingerprints are made distinc
 
 A link between two fingerprints is thus either found or within a component that is already joined; none is lost.
 
-``words`` fingerprints can be taken from differently mixed hashes. Then a pair is a candidate if in one of them it shares at
-least 8 − d positional bytes, all of which the index finds, and it is verified on the bits of all of them together: at most a
-share of ``SIMILAR`` may differ. This finds pairs of lower similarity; measured on word edits in 200 documents, with the
-defaults it links all pairs with a Jaccard similarity of 0.9 or more over five-word shingles, 92 % between 0.85 and 0.9, 68 %
-between 0.8 and 0.85, and 5 % between 0.6 and 0.7. Documents of equal first fingerprint are one node.
-
-``deduplicate`` decides by the exact Jaccard similarity of the shingle sets, at least ``JACCARD``. Equal sets are one node.
-Pairs are only proposed by an index: ``BANDS`` keys per set, each of the least values of ``ROWS`` mixed hashes, so that a
-pair of similarity s shares a key with probability 1 − (1 − s^5)^32: at 0.8 all but 3 in a million are proposed, and fewer are
-missed above. A proposed pair is joined to both shingle sets, and is a link only if the sets are similar enough. Long posting
-lists are shortened as above: by a pivot first, then only pairs between components.
-
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle give
 one shingle, the whole sequence; rows that repeat a text or an id are all reported; a null doc_id is never the smallest, and
 a component of null ids alone has a null id. Very long texts are counted in blocks. An empty table gives an empty result.
@@ -47,13 +35,8 @@ from tallystar.tasks import ship_by_value
 
 ship_by_value(__name__)
 
-SHINGLE = 5
-DISTANCE = 5
-WORDS = 3
-SIMILAR = 0.16
-JACCARD = 0.8
-BANDS = 32
-ROWS = 5
+SHINGLE = 4
+DISTANCE = 4
 WIDE = 1 << 26
 SEED = 42
 _BLOCK = 1 << 16
@@ -75,230 +58,108 @@ def shingle_hashes(data: bytes, shingle: int):
         yield np.array([digest(joined[a:b - 1], SEED) for a, b in zip(starts[span], ends[span])], np.uint64)
 
 
-def fingerprints(data: bytes, shingle: int, words: int = 1) -> list[int]:
-    """Fingerprints of a text in UTF-8, as unsigned 64-bit numbers."""
-    totals, count = np.zeros((words, 64), np.int64), 0
+def fingerprint(data: bytes, shingle: int) -> int:
+    """The fingerprint of a text in UTF-8, as an unsigned 64-bit number."""
+    totals, count = np.zeros(64, np.int64), 0
     for hashes in shingle_hashes(data, shingle):
         count += len(hashes)
-        for k in range(words):
-            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            totals[k] += bits.sum(axis=0, dtype=np.int64)
-            hashes = _remixed(hashes) if k + 1 < words else hashes
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        totals += bits.sum(axis=0, dtype=np.int64)
     if not count:
-        return [0] * words
-    packed = np.packbits(2 * totals > count, axis=1, bitorder="little")
-    return [int(v) for v in np.ascontiguousarray(packed).view("<u8").ravel()]
-
-
-def _remixed(hashes: np.ndarray) -> np.ndarray:
-    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return hashes ^ (hashes >> np.uint64(31))
+        return 0
+    return int(np.packbits(2 * totals > count, bitorder="little").view("<u8")[0])
 
 
-def _read(shingle: int, words: int):
+def _read(shingle: int):
     def run(batches):
         for batch in slices(batches):
-            prints = [fingerprints((t or "").encode(), shingle, words) for t in batch.column(0).to_pylist()]
-            columns = np.array(prints, np.uint64).reshape(-1, words).astype("<u8").view("<i8")
-            arrays = [pa.array(np.ascontiguousarray(columns[:, k])) for k in range(words)]
-            yield pa.RecordBatch.from_arrays(batch.columns[1:] + arrays,
-                                             batch.schema.names[1:] + [f"f{k}" for k in range(words)])
+            prints = [fingerprint((t or "").encode(), shingle) for t in batch.column(0).to_pylist()]
+            signed = pa.array(np.array(prints, np.uint64).astype("<u8").view("<i8"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], signed], [*batch.schema.names[1:], "f0"])
     return run
 
 
-def fingerprint_table(docs: DataFrame, text: str, doc_id: str, shingle: int, words: int) -> DataFrame:
-    """Rows (doc_id, text_hash, f0, f1, …) of all documents; fingerprints as signed longs."""
+def fingerprint_table(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+    """Rows (doc_id, text_hash, f0) of all documents; fingerprints as signed longs."""
     frame, names = positional(docs, text, doc_id)
     pair = frame.select(F.col(names[text]).alias("text"), F.col(names[doc_id]).alias("doc_id"),
                         F.xxhash64(names[text]).alias("text_hash"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, " + ", ".join(f"f{k} long" for k in range(words))
-    return pair.mapInArrow(_read(shingle, words), schema)
+    return pair.mapInArrow(_read(shingle), f"doc_id {kind}, text_hash long, f0 long")
 
 
 def _byte(print_: Column, position: int) -> Column:
     return F.shiftright(print_, 8 * position).bitwiseAND(F.lit(255))
 
 
-def _posted(rows: DataFrame, words: int, distance: int, width: int) -> DataFrame:
+def _posted(rows: DataFrame, distance: int, width: int) -> DataFrame:
     """The index: each row once per set of positions, with ``place`` (which set) and ``bytes`` (the fingerprint there)."""
-    sets = [(k, sum(255 << 8 * p for p in positions)) for k in range(words)
-            for positions in combinations(range(min(8, distance + width)), width)]
-    marks = F.array(*[F.struct(F.lit(n).alias("place"), F.lit(k).alias("word"), F.lit(_signed(mask)).alias("mask"))
-                      for n, (k, mask) in enumerate(sets)])
-    prints = F.array(*[F.col(f"f{k}") for k in range(words)])
+    sets = [sum(255 << 8 * p for p in positions) for positions in combinations(range(min(8, distance + width)), width)]
+    marks = F.array(*[F.struct(F.lit(n).alias("place"), F.lit(_signed(mask)).alias("mask")) for n, mask in enumerate(sets)])
     spread = rows.withColumn("_mark", F.explode(marks))
     return spread.withColumn("place", F.col("_mark.place")).withColumn(
-        "bytes", F.get(prints, F.col("_mark.word")).bitwiseAND(F.col("_mark.mask"))).drop("_mark")
+        "bytes", F.col("f0").bitwiseAND(F.col("_mark.mask"))).drop("_mark")
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _close(a: str, b: str, words: int, distance: int, similar: float) -> Column:
+def _close(a: str, b: str, distance: int) -> Column:
     """Count filter and verification of a pair of rows."""
-    linked, total = F.lit(False), F.lit(0)
-    for k in range(words):
-        other = F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}"))
-        bits = F.bit_count(other)
-        shared = sum(((_byte(other, p) == 0).cast("int") for p in range(8)), F.lit(0))
-        linked |= (shared >= 8 - distance) if words > 1 else (shared >= 8 - distance) & (bits <= distance)
-        total = total + bits
-    return linked if words == 1 else linked & (total <= int(similar * 64 * words))
-
-
-def links(nodes: DataFrame, words: int, distance: int, similar: float) -> DataFrame:
-    """Labels (f0, component) of all different fingerprints in rows (f0, f1, …)."""
-    prints, key = [f"f{k}" for k in range(words)], ["place", "bytes"]
+    other = F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))
+    shared = sum(((_byte(other, p) == 0).cast("int") for p in range(8)), F.lit(0))
+    return (shared >= 8 - distance) & (F.bit_count(other) <= distance)
+
+
+def links(nodes: DataFrame, distance: int) -> DataFrame:
+    """Labels (f0, component) of all different fingerprints in rows (f0)."""
+    key = ["place", "bytes"]
     same = (F.col("a.place") == F.col("b.place")) & (F.col("a.bytes") == F.col("b.bytes"))
     width = min(3 if nodes.count() < WIDE else 4, 8 - distance)
-    posted = _posted(nodes.select(*prints), words, distance, width)
+    posted = _posted(nodes.select("f0"), distance, width)
     pivots = posted.groupBy(*key).agg(F.min("f0").alias("f0"), F.count("*").alias("members")).where("members > 1")
-    pivots = pivots.join(nodes.select(*prints), "f0")
     starred = posted.alias("a").join(pivots.alias("b"), same & (F.col("a.f0") != F.col("b.f0"))
-                                     & _close("a", "b", words, distance, similar))
+                                     & _close("a", "b", distance))
     first = components(starred.select(F.col("a.f0").alias("a"), F.col("b.f0").alias("b")))
     labelled = written(nodes.join(first, F.col("f0") == F.col("node"), "left").select(
-        *prints, F.coalesce("component", "f0").alias("label")), "simhash-labels")
+        "f0", F.coalesce("component", "f0").alias("label")), "simhash-labels")
 
-    posted = _posted(labelled, words, distance, width)
+    posted = _posted(labelled, distance, width)
     several = posted.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     mixed = written(posted.join(several.select(*key), key), "simhash-lists")
     largest = mixed.groupBy(*key, "label").agg(F.count("*").alias("n")).groupBy(*key).agg(
         F.max(F.struct("n", "label")).alias("top")).select(*key, F.col("top.label").alias("main"))
     few, every = mixed.join(largest, key).where("label != main").alias("a"), mixed.alias("b")
     across = few.join(every, same & (F.col("a.label") != F.col("b.label"))
-                      & _close("a", "b", words, distance, similar))
+                      & _close("a", "b", distance))
     second = components(across.select(F.col("a.label").alias("a"), F.col("b.label").alias("b")))
     return labelled.join(second, F.col("label") == F.col("node"), "left").select(
         "f0", F.coalesce("component", "label").alias("label"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
-                distance: int = DISTANCE, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, text_hash, f0 (the first fingerprint), label and component_id of its group.
+                distance: int = DISTANCE) -> DataFrame:
+    """One row per document: doc_id, text_hash, f0 (the fingerprint), label and component_id of its group.
 
     The label is the group's least fingerprint, component_id its smallest doc_id.
     """
-    found = written(fingerprint_table(docs, text, doc_id, shingle, words), "simhash-prints")
-    nodes = written(found.groupBy("f0").agg(F.min("doc_id").alias("least"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(1, words)]),
-                    "simhash-nodes")
-    labels = written(links(nodes.drop("least"), words, distance, similar), "simhash-groups")
-    named = nodes.select("f0", "least").join(labels, "f0")
+    found = written(fingerprint_table(docs, text, doc_id, shingle), "simhash-prints")
+    nodes = written(found.groupBy("f0").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    labels = written(links(nodes.drop("least"), distance), "simhash-groups")
+    named = nodes.join(labels, "f0")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     groups = named.join(ids, "label").select(F.col("f0").alias("g0"), "label", "component_id")
     return found.join(groups, F.col("f0") == F.col("g0")).select("doc_id", "text_hash", "f0", "label", "component_id")
 
 
-def _shingle_set(data: bytes, shingle: int) -> np.ndarray:
-    parts = [np.unique(h) for h in shingle_hashes(data, shingle)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def _band_keys(found: np.ndarray) -> np.ndarray:
-    """The keys of a set: per band a hash of the least values that its mixed hashes take."""
-    mixers = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 2), np.uint64) | np.uint64(1)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1 << 12):
-        block = found[at:at + (1 << 12)]
-        for k, (add, times) in enumerate(mixers):
-            mixed = (block ^ add) * times
-            least[k] = min(least[k], ((mixed ^ (mixed >> np.uint64(32))) * times).min())
-    keys = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = _remixed(keys + column)
-    return keys
-
-
-def _read_sets(shingle: int, give_sets: bool):
-    """Each text's node (a hash of its shingle set), and the set itself or its size and band keys."""
-    def run(batches):
-        import xxhash
-
-        for batch in slices(batches, 100):
-            sets = [_shingle_set((t or "").encode(), shingle) for t in batch.column(0).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            lists = sets if give_sets else [_band_keys(s) for s in sets]
-            offsets = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-            values = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), values],
-                                             [*batch.schema.names[1:], "node", "size", "listed"])
-    return run
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar enough."""
-    first = sets.select(F.col("node").alias("a"), F.col("listed").alias("a_set"))
-    second = sets.select(F.col("node").alias("b"), F.col("listed").alias("b_set"))
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    union = F.size("a_set") + F.size("b_set") - shared
-    return pairs.join(first, "a").join(second, "b").where(shared >= F.lit(jaccard) * union - 1e-9).select("a", "b")
-
-
-def _proposed(a: DataFrame, b: DataFrame, jaccard: float, same: Column) -> DataFrame:
-    """Pairs of one posting list whose sizes allow the similarity, each once."""
-    low, high = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    pairs = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & same
-                              & (low >= F.lit(jaccard) * high - 1e-9))
-    return pairs.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
-                   jaccard: float = JACCARD) -> DataFrame:
-    """One row per document: doc_id, text_hash, label and component_id of its group by exact similarity of shingle sets."""
-    frame, names = positional(docs, text, doc_id)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    texts = frame.select(F.col(names[text]).alias("text"), F.col(names[doc_id]).alias("doc_id"), F.xxhash64(names[text]).alias("text_hash"))
-    found = written(texts.mapInArrow(_read_sets(shingle, False), (
-        f"doc_id {kind}, text_hash long, node long, size long, listed array<long>")), "similar-prints")
-    # One text stands for all of equal shingle sets.
-    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"),
-                                              F.max("size").alias("size")), "similar-nodes")
-    listed = found.join(nodes.select(F.col("node").alias("n"), F.col("text_hash").alias("h")), (F.col("node") == F.col("n")) & (
-        F.col("text_hash") == F.col("h"))).where("size > 0").select("node", "size", F.posexplode("listed").alias("place", "key")).distinct()
-    posted = written(listed, "similar-keys")
-    several = posted.groupBy("place", "key").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    posted = written(posted.join(several, ["place", "key"]).select("place", "key", "node", "size", "pivot"), "similar-lists")
-    pairs = written(posted.where("node != pivot.node").where(
-        F.least("size", "pivot.size") >= F.lit(jaccard) * F.greatest("size", "pivot.size") - 1e-9).select(
-        F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "similar-pairs")
-    # Shingle sets are made again, only of nodes that share a list.
-    asked = posted.select("node").distinct().join(nodes.select("node", "text_hash"), "node").select(F.col("text_hash").alias("h")).distinct()
-    chosen = texts.join(asked, F.col("text_hash") == F.col("h"), "left_semi").select("text", "text_hash")
-    sets = written(chosen.dropDuplicates(["text_hash"]).mapInArrow(
-        _read_sets(shingle, True), "text_hash long, node long, size long, listed array<long>").select("node", "listed"), "similar-sets")
-    first = components(_similar(pairs, sets, jaccard))
-    labelled = written(nodes.select("node", "least", "size").join(first.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").select(
-        "node", "least", F.coalesce("component", "node").alias("label")), "similar-labels")
-
-    # What the pivots left open lies between components.
-    marked = posted.drop("pivot").join(labelled.select("node", "label"), "node")
-    open_ = marked.groupBy("place", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    mixed = written(marked.join(open_.select("place", "key"), ["place", "key"]), "similar-mixed")
-    largest = mixed.groupBy("place", "key", "label").agg(F.count("*").alias("n")).groupBy("place", "key").agg(
-        F.max(F.struct("n", "label")).alias("top")).select("place", "key", F.col("top.label").alias("main"))
-    few = mixed.join(largest, ["place", "key"]).where("label != main")
-    across = written(_proposed(few, mixed, jaccard, F.col("a.label") != F.col("b.label")), "similar-pairs")
-    linked = _similar(across, sets, jaccard)
-    for side in ("a", "b"):
-        linked = linked.join(labelled.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
-    second = components(linked.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
-    named = written(labelled.join(second.select(F.col("node").alias("n"), "component"), F.col("label") == F.col("n"), "left").select(
-        "node", "least", F.coalesce("component", "label").alias("label")), "similar-groups")
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = named.join(ids, "label").select("node", "label", "component_id")
-    return found.select("doc_id", "text_hash", "node").join(groups, "node").select("doc_id", "text_hash", "label", "component_id")
-
-
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with the columns of the input.
 
     Rows that repeat the id and text of the one that stays are dropped too; of a group of null ids, one row stays.
     """
     frame, names = positional(docs, text, doc_id)
-    groups = written(similar_groups(docs, text, doc_id, **options), "near-groups")
+    groups = written(near_groups(docs, text, doc_id, **options), "near-groups")
     # Of rows with the group's smallest id (repeated ids), the least text hash decides.
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label", "component_id").agg(
         F.min("text_hash").alias("text_hash"), F.count("*").alias("rows"))

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallystar.llm import mixing, packing, simhash
+from tests.llm.test_near_and_repeats import fingerprint, groups_of
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,8 +34,15 @@ def corpus(spark, tmp_path_factory):
                 words = text.split()
                 words[rng.randrange(len(words))] = f"changed{k}"
                 rows.append((10 * i + k, " ".join(words), source))
+                kept.add(10 * i + k)
     rows += [(1000 + i, " ".join(f"{w}{rng.randrange(9)}###" for w in ("win", "now", "free", "cash") * 40), "b") for i in range(20)]
     rows += [(2000, None, "a"), (2001, "", "b"), (2002, "too short", "c"), (2003, "again and again " * 60, "a")]
+    ids = sorted(kept)
+    by_id = {r[0]: r[1] for r in rows}
+    group = groups_of([fingerprint(by_id[i], 4) for i in ids], lambda a, b: (a ^ b).bit_count() <= 4)
+    near = len(kept)
+    kept = {min(i for i, g in zip(ids, group) if g == own) for own in group}
+    assert near - len(kept) >= 15
     labels = [(r[0], 1, 0) for r in rows if r[0] < 1000] + [(1000, 0, 0)]
     root = tmp_path_factory.mktemp("sf")
     spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCUMENTS).write.parquet(f"{root}/documents.parquet")
@@ -45,7 +53,7 @@ def corpus(spark, tmp_path_factory):
 def test_stages_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "exact_duplicates", "near_duplicates", "source_mix", "sequence_packing"]
-    assert simhash.SHINGLE == 5
+    assert (simhash.SHINGLE, simhash.DISTANCE) == (4, 4)
 
 
 def test_run_matches_the_stages_by_hand(spark, corpus):
