@@ -12,7 +12,7 @@ A group of copies of any size therefore never meets in one task.
 
 Defined cases: a null text counts as empty, so all empty and blank texts form one group. Of equal texts the row with
 the most code points stays, then the smallest doc_id, a null doc_id last; rows that repeat text and doc_id count as
-copies and one of them stays. An empty table gives an empty result. Further columns pass through, also when they are
+copies and one of them stays. Ids can have any ordered type. An empty table gives an empty result. Further columns pass through, also when they are
 called ``digest`` or ``group_size``.
 """
 
@@ -48,7 +48,9 @@ def _content(text: str | None) -> bytes:
 
 def _better(a: tuple, b: tuple) -> bool:
     """Whether row a = (length, doc_id) stays rather than b."""
-    return (-a[0], a[1] is None, a[1] or 0) < (-b[0], b[1] is None, b[1] or 0)
+    if a[0] != b[0]:
+        return a[0] > b[0]
+    return a[1] is not None and (b[1] is None or a[1] < b[1])
 
 
 def _local(text_at: int, id_at: int, digest):

@@ -37,7 +37,7 @@ ship_by_value(__name__)
 
 CAPACITY = 2048
 END_ID = 1
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
 LONG_WORD = 200
 TOKENIZER = "word_bpe_49k.json"
 # Splitting and normalising agree with these: a full stop or comma behind a letter is a token start of its own, and
@@ -103,18 +103,21 @@ def encoder(tokenizer_path: str, known_words: int = KNOWN_WORDS):
     def encode(texts: list[str | None]) -> list[bytes]:
         parted = [split(t) for t in texts]
         words = keep.words
-        new = set().union(*[set(parts).difference(words) for parts in parted])
+        found = [list(map(words.get, parts)) for parts in parted]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        new = {p for k in lacking for p, ids in zip(parted[k], found[k]) if ids is None}
         if len(words) + len(new) > known_words:
             keep.older, keep.words = words, {}
-            words, new = keep.words, set().union(*parted)
+        words = keep.words
         words.update({p: keep.older[p] for p in new & keep.older.keys()})
         new.difference_update(words)
         long_ = {p for p in new if len(p) > LONG_WORD}
         learn(list(new - long_), words)
         alone = {p: np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in long_}
-        if alone:
-            return [b"".join([words[p] if p in words else alone[p] for p in parts]) for parts in parted]
-        return [b"".join([words[p] for p in parts]) for parts in parted]
+        for k in lacking:
+            found[k] = [words[p] if ids is None and p in words else alone[p] if ids is None else ids
+                        for p, ids in zip(parted[k], found[k])]
+        return [b"".join(ids) for ids in found]
     return encode
 
 

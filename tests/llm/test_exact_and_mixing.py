@@ -103,3 +103,11 @@ def test_mix_emits_what_is_planned(docs, clashing):
         assert taken[source] == pytest.approx(target[source], rel=0.25)
     assert target["only blanks"] == 0
     assert {r.c0: r.copies for r in mixing.plan(frame.repartition(7)).collect()} == {i: r.copies for i, r in planned.items()}
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "same text"), ("", "sametext"), (None, "same\ttext"), ("a", "same text"), ("z", "other"), (None, "other")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(frame).collect()) == ["a", "z"]
+    got = {(r.doc_id, r.keep_id) for r in exact_dedup.assign(frame).collect()}
+    assert got == {("b", "a"), ("", "a"), (None, "a"), ("a", "a"), ("z", "z"), (None, "z")}
