@@ -37,6 +37,7 @@ _INLINE_CHARS = 1_000_000
 _TASKS_PER_CORE = 4
 _BAG_BITS = 60
 _SALTS = 16
+GRAM = 3
 
 
 def _distinct_strings(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -224,7 +225,7 @@ def search_titles(
     hits = queries.sparkSession.read.schema(found.schema).parquet(path)
     unmatched = _distinct_strings(queries, query, "query").join(hits.select("query").distinct(), "query", "left_anti")
     named = _distinct_strings(titles, title, "name").where("name != ''")
-    contained = contains_match(unmatched, named, limit, inline_titles)
+    contained = contains_match(unmatched, named, limit)
     return hits.select("query", "name", "rank", F.lit("fuzzy").alias("method")).unionByName(
         contained.withColumn("method", F.lit("contains"))
     )
@@ -245,35 +246,57 @@ def _containing(query: str) -> Column:
     return like_pattern(F.col(query))
 
 
-def contains_match(queries: DataFrame, titles: DataFrame, limit: int, inline_titles: int) -> DataFrame:
-    """``query, name, rank`` of titles that contain the query, ignoring case."""
-    if _fits_inline(titles, inline_titles):
-        everything = titles.agg(F.collect_list("name").alias("titles")).scalar()
-        found = F.filter(F.col("titles"), lambda n: F.ilike(n, _containing("query")))
-        best = F.slice(F.array_sort(found), 1, limit)
-        return (
-            queries.withColumn("titles", everything)
-            .select("query", F.posexplode(best).alias("pos", "name"))
-            .select("query", "name", (F.col("pos") + 1).alias("rank"))
-        )
-    # A contained query starts at some position of the title, so strings meet only on equal
-    # pieces of the length of the query's longest literal part; wildcards are then tested in full.
-    parts = F.split(F.lower("query"), "[%_]")
-    literal = F.element_at(F.array_sort(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))), -1)
-    keyed = queries.withColumn("key", literal["p"]).withColumn("n", literal["n"])
-    lengths = keyed.agg(F.collect_set("n").alias("lengths")).scalar()
-    text = F.lower("name")
+def _grams(text: Column, n: Column) -> Column:
+    """The different runs of ``n`` characters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+    return F.when(F.length(text) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _first_names(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """``key, name, rank`` of the first names of each key."""
+    by_name = Window.partitionBy(key).orderBy("name")
+    return rows.select(key, "name", F.row_number().over(by_name).alias("rank")).where(F.col("rank") <= limit)
+
 
-    def pieces_of(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+def contains_match(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
+    """``query, name, rank`` of the first titles by name that contain the query, ignoring case.
 
-    usable = F.filter(F.col("lengths"), lambda n: n <= F.length(text))
-    pieces = titles.withColumn("lengths", lengths).select(
-        "name", F.explode(F.flatten(F.transform(usable, pieces_of))).alias("key")
+    Titles are indexed by their runs of three characters, or fewer where all literal parts of a query are shorter. A
+    query meets only the posting list of its rarest run; wildcards are then tested in full. A query of one literal as
+    long as a run is answered by the first names of its posting list, and one of wildcards alone by the first names of
+    sufficient length, so that neither meets all titles.
+    """
+    parts = F.filter(F.split(F.lower("query"), "[%_]"), lambda p: p != "")
+    n = F.least(F.lit(GRAM), F.coalesce(F.array_max(F.transform(parts, lambda p: F.length(p))), F.lit(0)))
+    asked = queries.select("query", parts.alias("parts"), n.alias("n"))
+    lengths = asked.where("n > 0").agg(F.collect_set("n").alias("n")).scalar()
+    text = F.lower("name")
+    postings = titles.withColumn("n", lengths).select(
+        "name", F.explode(F.flatten(F.transform("n", lambda k: _grams(text, k)))).alias("gram"))
+
+    whole = (F.col("n") > 0) & (F.lower("query") == F.get("parts", F.lit(0))) & (F.length(F.lower("query")) == F.col("n"))
+    listed = asked.where(whole).select("query", F.lower("query").alias("gram"))
+    first = _first_names(postings.join(listed.select("gram").distinct(), "gram", "left_semi"), "gram", limit)
+
+    runs = F.array_distinct(F.flatten(F.transform("parts", lambda p: _grams(p, F.col("n")))))
+    wanted = asked.where((F.col("n") > 0) & ~whole).select("query", F.explode(runs).alias("gram"))
+    sizes = postings.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("titles"))
+    # A run in no title has no size and is the rarest of all: its query finds nothing.
+    rarest = wanted.join(sizes, "gram", "left").groupBy("query").agg(
+        F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("least"))
+    met = rarest.select("query", F.col("least.gram").alias("gram")).join(postings, "gram").where(
+        F.ilike("name", _containing("query")))
+
+    # Only wildcards: each underscore stands for a character, so a title must have as many.
+    least = (F.length("query") - F.length(F.replace(F.col("query"), F.lit("_"), F.lit("")))).alias("least")
+    loose = asked.where("n = 0").select("query", least)
+    by_length = _first_names(titles.withColumn("length", F.length("name")), "length", limit).drop("rank")
+    longest = by_length.agg(F.max("length").alias("most")).scalar()
+    reach = loose.select("least").distinct().withColumn("most", F.greatest(F.coalesce(longest, F.lit(0)), F.col("least")))
+    enough = reach.select("least", F.explode(F.sequence("least", "most")).alias("length")).join(by_length, "length")
+    return (
+        listed.join(first, "gram").select("query", "name", "rank")
+        .unionByName(_first_names(met, "query", limit))
+        .unionByName(loose.join(_first_names(enough, "least", limit), "least").select("query", "name", "rank"))
     )
-    met = keyed.join(pieces, "key").where(
-        F.ilike("name", _containing("query"))
-    ).select("query", "name")
-    by_name = Window.partitionBy("query").orderBy("name")
-    return met.withColumn("rank", F.row_number().over(by_name)).where(F.col("rank") <= limit)

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 import statistics
 
 import pytest
@@ -390,6 +391,42 @@ def test_fuzzy_match_against_brute_force(spark, inline, threshold):
     assert found(got) == brute([a for a in asked if a.strip()], [n for n in titles if n.strip()], threshold, 3)
 
 
+def contained(query, titles, limit):
+    pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in query.lower())
+    return [t for t in sorted(titles) if re.search(pattern, t.lower(), re.DOTALL)][:limit]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 50])
+def test_contains_match_equals_testing_every_title(spark, limit):
+    r = random.Random(limit)
+    titles = sorted({"".join(r.choice("abAé _%\\") for _ in range(r.randrange(1, 12))) for _ in range(300)} | {"x", "çedilla ab", "a\nb"})
+    queries = {"".join(r.choice("abé_%\\") for _ in range(r.randrange(1, 7))) for _ in range(150)}
+    queries |= {"%", "_", "__%_", "_" * 12, "_" * 30, "a", "AB", "abé", "zzz", "ab%zz", "%%ab%%", "a_b", "_a", "É"}
+    q = spark.createDataFrame([(x,) for x in queries], "query string").repartition(3)
+    t = spark.createDataFrame([(x,) for x in titles], "name string").repartition(3)
+    got = {}
+    for row in search.contains_match(q, t, limit).orderBy("query", "rank").collect():
+        got.setdefault(row["query"], []).append((row["rank"], row["name"]))
+    assert got == {x: list(enumerate(found, 1)) for x in queries if (found := contained(x, titles, limit))}
+
+
+def test_contains_match_does_not_meet_all_titles(spark):
+    """A query in a long list meets the posting list of its rarest run, and the most common ones only first names."""
+    t = spark.range(20_000).selectExpr("concat('worker ', lpad(cast(id AS string), 6, '0')) AS name")
+    q = spark.createDataFrame([("%",), ("wor",), ("er 01%99",), ("019_34",)], "query string")
+    found = search.contains_match(q, t, 20)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    rows = {(x["query"], x["name"]) for x in found.collect()}
+    assert {n for a, n in rows if a == "%"} == {n for a, n in rows if a == "wor"} == {f"worker {i:06}" for i in range(20)}
+    assert ("019_34", "worker 019034") in rows and len([1 for a, _ in rows if a == "019_34"]) == 10
+
+
+def test_contains_match_of_empty_tables(spark):
+    q, t = spark.createDataFrame([("a",), ("%",)], "query string"), spark.createDataFrame([("abc",)], "name string")
+    assert search.contains_match(q, t.where("false"), 5).count() == 0 and search.contains_match(q.where("false"), t, 5).count() == 0
+
+
 @pytest.mark.parametrize("inline", [1000, 0])
 def test_search_falls_back_to_contains(spark, inline):
     q = spark.createDataFrame([("Seattle",), ("S_attle",), ("%",), ("qq",), ("registered nurse",)], "query string")
