@@ -71,8 +71,27 @@ def standardize(spark: SparkSession, root: str, output: str, multi_line: bool =
     plan = corpus.plan_corpus(heads, split_bytes, multi_line)
     if plan.manifest.ranges.isEmpty():
         raise FileNotFoundError(f"no data files under {root}")
+    return _publish(spark, corpus.standardize(plan, "quarantine"), heads, output)
+
+
+def standardize_workbooks(spark: SparkSession, source: str, output: str, pattern: str = "*.xlsx") -> StandardizeOutcome:
+    """Standardize the sheets of workbooks, each as a file of its own, without writing such files.
+
+    The workbooks are decoded once, into a table; their own failures are in ``conversion_report``.
+    """
+    decoded = workbooks.convert_workbooks(spark, source, f"{output}/decoded", pattern)
+    corpus.write_report(workbooks.conversion_report(decoded), f"{output}/conversion_report")
+    rows = workbooks.workbook_rows(decoded)
+    heads_path = f"{output}/heads"
+    workbooks.sheet_heads(rows).write.parquet(heads_path)
+    heads = spark.read.parquet(heads_path)
+    return _publish(spark, corpus.standardize_rows(workbooks.sheet_records(rows, heads), "quarantine"), heads, output)
+
+
+def _publish(spark: SparkSession, quarantined: DataFrame, heads: DataFrame, output: str) -> StandardizeOutcome:
+    """Stage the rows, then write those of clean files, the report of all files and its totals."""
     staged_path = f"{output}/staged"
-    corpus.standardize(plan, "quarantine").write.mode("overwrite").parquet(staged_path)
+    quarantined.write.mode("overwrite").parquet(staged_path)
     clean, results = corpus.split_failed(spark.read.parquet(staged_path))
     rows_path, report_path = f"{output}/rows", f"{output}/standardization_report"
     warehouse.write_standardized(clean, rows_path)

@@ -89,6 +89,29 @@ def quota_windows(spark, sf_dir):
     return over.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def quota_stream(spark, sf_dir):
+    """The windows of ``quota_windows`` from a stream that stops and goes on from its checkpoint.
+
+    The first half of the hits, the second half delivered twice, one hit far ahead that closes all windows, and the
+    first half again under other ids, which is too late to count.
+    """
+    hits = table(spark, sf_dir, "events").select(F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    base = scratch_path(spark, "quota-stream")
+    first, last = hits.agg(F.min("ts"), F.max("ts")).first()
+    early = hits.where(F.col("ts") < F.lit(first + (last - first) / 2))
+    rest = hits.where(F.col("ts") >= F.lit(first + (last - first) / 2))
+    ahead = hits.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "ts": F.lit(last) + F.expr("INTERVAL 30 DAYS")})
+    late = early.withColumn("event_id", -F.col("event_id") - 2)
+    for step, parts in enumerate([[early], [rest, rest], [ahead], [late]]):
+        for copy, part in enumerate(parts):
+            part.write.parquet(f"{base}/in/{step}-{copy}")
+        stream = spark.readStream.schema(hits.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        jobs.stream_quota(stream, f"{base}/out", f"{base}/checkpoint", time="ts", key="event_type", limit=6,
+                          lateness="10 minutes", unique="event_id")
+    over = spark.read.parquet(f"{base}/out")
+    return over.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 def stream_load(spark, sf_dir):
     source = inputs.standardized_root(spark, sf_dir)
     base = scratch_path(spark, "stream-load")
@@ -117,6 +140,9 @@ _ROWS = f"""WITH rows AS (
 )"""
 _JSON_SQL = """'{"sql":"' || sql || '"}'"""
 
+_QUOTA_SQL = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS hits
+  FROM events GROUP BY ALL HAVING count(*) > 6"""
+
 QUERIES = {
     "log_lines": Query(
         log_lines,
@@ -164,11 +190,8 @@ QUERIES = {
           actual_sql = 'SELECT value FROM events WHERE user_id = ' || user_id || ' AND event_id > ' || first_id AS matches
         FROM first JOIN ids USING (user_id)""",
     ),
-    "quota_windows": Query(
-        quota_windows,
-        """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS hits
-        FROM events GROUP BY ALL HAVING count(*) > 6""",
-    ),
+    "quota_windows": Query(quota_windows, _QUOTA_SQL),
+    "quota_stream": Query(quota_stream, _QUOTA_SQL),
     "stream_load": Query(
         stream_load,
         f"""SELECT _source_file AS SOURCE_FILE, _source_folder AS SOURCE_FOLDER, _data_year AS SURVEY_YEAR,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallystar.functions.text import path_name
 from tallystar.operators import warehouse
+from tallystar.plans import pipeline
 from tallystar.queries import inputs
 from tallystar.queries.inputs import FILE_SQL, LAYOUTS, SURVEY_SQL
 from tallystar.queries.tables import Query, table
@@ -193,6 +194,37 @@ SELECT {_STANDARD}, {_by_year(_source("NOTES"))} AS NOTES,
 FROM ({SURVEY_SQL})
 """
 
+def _sheets(spark, sf_dir):
+    path = scratch_path(spark, "sheets")
+    return path, pipeline.standardize_workbooks(spark, inputs.titled_workbook_root(spark, sf_dir), path)
+
+
+def sheets_standardize(spark, sf_dir):
+    """Rows of workbook sheets of several layouts in the canonical schema, without the sheet that has a bad figure."""
+    _, outcome = _sheets(spark, sf_dir)
+    rows = spark.read.parquet(outcome.rows_path)
+    return rows.select("AREA", "OCC_CODE", "TOT_EMP", "A_MEAN", "NOTE", "I_GROUP", "_source_file", "_source_folder", "_data_year")
+
+
+def sheets_report(spark, sf_dir):
+    """The JSON report of the same sheets, as it was written."""
+    _, outcome = _sheets(spark, sf_dir)
+    return spark.read.json(outcome.report_path).select(
+        F.substring_index("file_path", "/", -2).alias("sheet"), "status", "rows", "columns",
+        F.array_join("extra_columns", ",").alias("extra"), F.array_join("dropped_columns", ",").alias("dropped"),
+        F.size("added_columns").cast("long").alias("added"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def inventory_report(spark, sf_dir):
+    """The JSON inventory and header variants of the corpus, as they were written: columns of files, files of variants."""
+    path = scratch_path(spark, "analysis")
+    pipeline.analyze(spark, inputs.corpus_root(spark, sf_dir), path)
+    found = spark.read.json(f"{path}/column_inventory").select(
+        path_name(F.col("file_path")).alias("file_name"), "year", "row_samples", F.posexplode("columns").alias("pos", "c"))
+    return found.select("file_name", F.col("year").cast("int"), F.col("row_samples").cast("int"), "pos",
+                        F.col("c.raw_name").alias("raw_name"), F.col("c.normalized_name").alias("normalized_name"))
+
+
 _BOOKS = f"""
 SELECT {inputs.BOOK_SQL} AS book, o_orderstatus, o_orderkey, o_orderpriority, o_totalprice FROM orders
 """
@@ -276,4 +308,33 @@ QUERIES = {
         FROM ({_BOOKS}) GROUP BY book
         UNION ALL SELECT 'broken.xlsx', false, 0, 0""",
     ),
+    "sheets_standardize": Query(
+        sheets_standardize,
+        f"""SELECT CAST(o_orderkey AS VARCHAR) AS AREA, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS OCC_CODE,
+        CASE WHEN o_orderkey % 7 <> 0 AND o_orderstatus <> 'O' THEN o_orderkey % 1000 END AS TOT_EMP,
+        CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS A_MEAN,
+        CASE WHEN o_orderstatus = 'F' THEN 'n' || CAST(o_orderkey % 1000 AS VARCHAR) END AS NOTE, 'cross-industry' AS I_GROUP,
+        'May_2019_' || o_orderstatus || '.csv' AS _source_file, 'titled_' || lpad(CAST(book AS VARCHAR), 5, '0') AS _source_folder,
+        2019 AS _data_year FROM ({_BOOKS}) WHERE NOT (book = 0 AND o_orderstatus = 'P')""",
+    ),
+    "sheets_report": Query(
+        sheets_report,
+        f"""SELECT 'titled_' || lpad(CAST(book AS VARCHAR), 5, '0') || '/May_2019_' || o_orderstatus || '.csv' AS sheet,
+        CASE WHEN book = 0 AND o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status,
+        count(*) + CAST(book = 0 AND o_orderstatus = 'P' AS BIGINT) AS rows,
+        CAST({len(CANONICAL_COLUMNS) + 3} + CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 1 ELSE 0 END AS BIGINT) AS columns,
+        CASE o_orderstatus WHEN 'F' THEN 'NOTE' ELSE '' END AS extra, CASE o_orderstatus WHEN 'P' THEN 'Area' ELSE '' END AS dropped,
+        CAST({len(CANONICAL_COLUMNS)} - CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 3 ELSE 2 END AS BIGINT) AS added,
+        CASE WHEN book = 0 AND o_orderstatus = 'P' THEN 'bad values in TOT_EMP' ELSE '' END AS error
+        FROM ({_BOOKS}) GROUP BY book, o_orderstatus""",
+    ),
+    "inventory_report": Query(
+        inventory_report,
+        " UNION ALL ".join(
+            f"""SELECT {_FILE} AS file_name, data_year AS year, CAST(least(count(*), 200) AS INTEGER) AS row_samples,
+            CAST({pos} AS INTEGER) AS pos, '{h.replace("'", "''")}' AS raw_name, '{_normal(h)}' AS normalized_name
+            FROM ({SURVEY_SQL}) WHERE data_year = {year} GROUP BY data_year, block"""
+            for year, layout in inputs.LAYOUTS.items() for pos, (h, _, _) in enumerate(layout)
+        ),
+    ),
 }

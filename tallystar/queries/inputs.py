@@ -278,6 +278,38 @@ def workbook_root(spark: SparkSession, sf_dir: str) -> str:
     return _once("workbooks", spark, sf_dir, write)
 
 
+# Headers of the sheets of an order status, and the cells below: key, priority, price, key modulo 1000.
+SHEETS = {
+    "F": (["AREA", "OCC Code", "TOT_EMP", "A_MEAN", "Note"], ["key", "priority", "rest", "price", "note"]),
+    "O": (["occ_code", "area*", "", "a_mean"], ["priority", "key", "rest", "price"]),
+    "P": (["Area", "Area", "Total Emp"], ["key", "rest", "rest"]),
+}
+
+
+def titled_workbook_root(spark: SparkSession, sf_dir: str) -> str:
+    """One workbook per ten thousand orders with a sheet per order status: empty rows, a header, then the orders.
+
+    Headers differ between sheets; every seventh employment figure is suppressed. Sheets of one book have a bad figure.
+    """
+    def rows(pdf: pd.DataFrame, cells: list[str]):
+        for r in pdf.itertuples():
+            rest = r.o_orderkey % 1000
+            value = {"key": str(r.o_orderkey), "priority": r.o_orderpriority, "price": float(r.o_totalprice), "note": f"n{rest}",
+                     "rest": "**" if r.o_orderkey % 7 == 0 else str(rest)}
+            yield [value[c] for c in cells]
+
+    def make(book: int, pdf: pd.DataFrame):
+        sheets = {}
+        for status, part in pdf.groupby("o_orderstatus"):
+            header, cells = SHEETS[status]
+            # Sheet P of the first book holds a text where a number should be.
+            bad = [["1", "x", "unknown"]] if book == 0 and status == "P" else []
+            sheets[f"May 2019 {status}"] = [[None, None], header, [], *rows(part, cells), *bad]
+        return f"titled_{book:05d}.xlsx", workbook_bytes(sheets)
+
+    return _once("titled-workbooks", spark, sf_dir, lambda path: _each_book(spark, sf_dir, path, make))
+
+
 def archive_root(spark: SparkSession, sf_dir: str) -> str:
     """One ZIP per ten thousand orders with nested CSV members per order status, and one broken file."""
 

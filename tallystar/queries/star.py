@@ -137,6 +137,21 @@ def chart_series(spark, sf_dir):
     )
 
 
+def chart_document(spark, sf_dir):
+    """The points of a chart, read back from its JSON."""
+    chart = charts.chart_document(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", F.count("*"), "bar",
+                                  "Orders by priority", x_title="Priority", y_title="Orders")
+    shape = ("struct<type: string, title: string, data: struct<labels: array<string>, datasets: array<struct<name: string, values: array<bigint>>>>,"
+             " options: struct<x_title: string, y_title: string>>")
+    read = chart.select(F.from_json("chart", shape).alias("c"))
+    lines = read.select("c", F.posexplode("c.data.datasets").alias("series_no", "d"))
+    points = lines.select("c", "series_no", F.col("d.name").alias("series"), F.posexplode(F.arrays_zip(
+        F.col("c.data.labels").alias("label"), F.col("d.values").alias("value"))).alias("label_no", "p"))
+    return points.select("series_no", "series", "label_no", F.col("p.label").alias("label"), F.col("p.value").alias("value"),
+                         F.col("c.type").alias("type"), F.col("c.title").alias("title"), F.col("c.options.x_title").alias("x_title"),
+                         F.col("c.options.y_title").alias("y_title"))
+
+
 _OWN = ", ".join(f"({code}, '{text}')" for code, text in OWNERSHIP_TYPES)
 
 _STAR = f"""
@@ -204,4 +219,13 @@ QUERIES = {
         LEFT JOIN picked ON occ_title = label AND own_description = series
         GROUP BY label, series""",
     ),
+    "chart_document": Query(
+        chart_document,
+        """WITH labels AS (SELECT DISTINCT o_orderpriority AS label FROM orders), series AS (SELECT DISTINCT o_orderstatus AS series FROM orders),
+        points AS (SELECT o_orderpriority AS label, o_orderstatus AS series, count(*) AS value FROM orders GROUP BY ALL)
+        SELECT CAST(dense_rank() OVER (ORDER BY series) - 1 AS INTEGER) AS series_no, series,
+          CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_no, label, CAST(value AS BIGINT) AS value,
+          'bar' AS type, 'Orders by priority' AS title, 'Priority' AS x_title, 'Orders' AS y_title
+        FROM labels CROSS JOIN series LEFT JOIN points USING (label, series)""",
+    ),
 }

@@ -138,7 +138,8 @@ def plan_corpus(heads: DataFrame, split_bytes: int | None = SPLIT_BYTES, multi_l
         "file_path", "size_bytes", F.size("header").alias("width"), places.alias("places"))
     manifest = plan_ranges(files, split_bytes, multi_line, open_file)
     names = manifest.ranges.where("start = 0").select(F.explode(F.map_keys("places")).alias("name")).distinct()
-    known = [*CANONICAL_COLUMNS, *METADATA_COLUMNS]
+    # A column without a name cannot be told from another.
+    known = ["", *CANONICAL_COLUMNS, *METADATA_COLUMNS]
     extras = names.where(~F.col("name").isin(known)).orderBy("name").collect()
     return CorpusPlan(manifest, [row["name"] for row in extras])
 
@@ -168,13 +169,17 @@ def with_lineage(rows: DataFrame) -> DataFrame:
 
 
 def standardize(plan: CorpusPlan, mode: str = "strict") -> DataFrame:
-    """The corpus in the canonical schema: canonical columns, extras, lineage.
+    """The corpus in the canonical schema, see :func:`standardize_rows`."""
+    return standardize_rows(read_corpus(plan), mode)
+
+
+def standardize_rows(raw: DataFrame, mode: str = "strict") -> DataFrame:
+    """Text rows of :func:`read_corpus` or of sheets in the canonical schema: canonical columns, extras, lineage.
 
     ``strict`` fails on a numeric column with other text and on a row with more cells than its header.
     ``quarantine`` nulls such a value and names its column, or ``RAGGED``, in ``_bad_columns``; see
     :func:`split_failed` for whole-file rejection.
     """
-    raw = read_corpus(plan)
     if mode == "strict":
         long_row = F.raise_error(F.concat(F.lit("row longer than its header in "), F.col("_source_path")))
         raw = raw.withColumn("_source_path", F.when(F.col("_too_long"), long_row).otherwise(F.col("_source_path")))

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystar.functions.text import path_name, safe_name
+from tallystar.operators.headers import default_for, rename_entries
+from tallystar.schema import CANONICAL_COLUMNS, METADATA_COLUMNS
 from tallystar.tasks import ship_by_value
 
 # --- fixed values: names and codes of the OOXML format ---
@@ -203,6 +205,44 @@ def conversion_report(decoded: DataFrame, with_path: bool = False) -> DataFrame:
     )
 
 
+def sheet_heads(rows: DataFrame) -> DataFrame:
+    """``file_path, header, header_row`` of each sheet: its first row that holds a cell.
+
+    The path is what a file of the sheet would have: a folder named as the workbook, and the sheet's name.
+    """
+    filled = rows.where(F.exists("cells", lambda c: c.isNotNull() & (c != "")))
+    firsts = filled.groupBy("path", "sheet").agg(F.min("row_no").alias("header_row"))
+    heads = filled.join(firsts, ["path", "sheet"]).where(F.col("row_no") == F.col("header_row"))
+    file_path = F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("/"), F.col("sheet"), F.lit(".csv"))
+    header = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
+    return heads.select("path", "sheet", "header_row", file_path.alias("file_path"), header.alias("header"))
+
+
+def sheet_records(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of sheets as text under canonical names, as ``corpus.read_corpus`` gives the rows of files.
+
+    Each row meets the layout of its sheet in a join; the layout says at which cell each column is. Rows without any
+    cell, and those above the header, are left out.
+    """
+    kept = F.filter(rename_entries(F.col("header")), lambda e: e["kept"])
+    planned = heads.withColumn("places", F.map_from_entries(F.transform(kept, lambda e: F.struct(e["canonical"], e["pos"]))))
+    found = planned.select(F.explode(F.map_keys("places")).alias("name")).distinct()
+    extras = found.where(~F.col("name").isin(["", *CANONICAL_COLUMNS, *METADATA_COLUMNS])).orderBy("name").collect()
+    names = [*CANONICAL_COLUMNS, *[row["name"] for row in extras]]
+    at = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("places", n), F.lit(-1)))
+    layouts = planned.select("path", "sheet", "header_row", "file_path", F.size("header").alias("width"), at.alias("at"))
+    filled = lambda c: c.isNotNull() & (c != "")
+    met = rows.join(layouts, ["path", "sheet"]).where((F.col("row_no") > F.col("header_row")) & F.exists("cells", filled))
+
+    def cell(i: int, name: str) -> Column:
+        place, default = F.get("at", F.lit(i)), default_for(name) if name in CANONICAL_COLUMNS else None
+        value = F.nullif(F.get("cells", place), F.lit(""))
+        return (value if default is None else F.when(place < 0, F.lit(default)).otherwise(value)).alias(name)
+
+    beyond = F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells"), F.lit(1))), filled)
+    return met.select(*[cell(i, n) for i, n in enumerate(names)], F.col("file_path").alias("_source_path"), beyond.alias("_too_long"))
+
+
 def write_sheet_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One CSV directory per workbook and sheet; cells become positional columns."""
     width = rows.agg(F.max(F.size("cells"))).first()[0] or 0

@@ -47,16 +47,20 @@ def stream_load(
 
 
 def quota_windows(
-    hits: DataFrame, time: str, key: str, limit: int = QUERY_QUOTA, window: str = "1 hour", lateness: str | None = None
+    hits: DataFrame, time: str, key: str, limit: int = QUERY_QUOTA, window: str = "1 hour", lateness: str | None = None,
+    unique: str | None = None,
 ) -> DataFrame:
     """Keys whose hits in an epoch-aligned window exceed the limit; batch or stream.
 
     In a stream ``lateness`` sets the watermark: later rows are dropped and closed windows
-    leave the state.
+    leave the state. ``unique`` names the id of a hit: one that is delivered again counts once.
+    A copy either finds its id in the state or is later than the watermark.
     """
     rows = hits.withColumn(time, F.col(time).cast("timestamp"))
     if lateness:
         rows = rows.withWatermark(time, lateness)
+    if unique:
+        rows = rows.dropDuplicatesWithinWatermark([unique]) if lateness else rows.dropDuplicates([unique])
     return (
         rows.groupBy(F.window(time, window), key)
         .agg(F.count(F.lit(1)).alias("hits"))

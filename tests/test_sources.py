@@ -269,6 +269,32 @@ def test_workbooks(spark, tmp_path):
     assert {(r.sheet, r._c0, r._c2) for r in back.collect()} == {("One", "a", None), ("One", "b", None), ("Two", "c", "1.5")}
 
 
+def test_sheets_of_any_layout_are_standardized_without_files(spark, tmp_path):
+    write(tmp_path, "b/survey_2021.xlsx", workbook_bytes({
+        "Main": [[None], ["Area", "OCC Code", None, "Total Emp", "Note"], ["1", "a", "unnamed", "12", ""], [], [None, None, None, None],
+                 [None, "b", None, "**"], ["3"]],
+        "No rows": [["Area", "tot_emp"]], "Nothing": [], "Long row": [["area"], ["7", None, None, "beyond"]],
+        "Bad 2018": [["tot_emp", "area", "Area"], ["many", "8", "9"]],
+    }))
+    write(tmp_path, "b/other.xlsx", workbook_bytes({"Main": [["tot_emp", "Extra"], [5, "x"]]}))
+    write(tmp_path, "b/broken.xlsx", b"x")
+    outcome = pipeline.standardize_workbooks(spark, str(tmp_path / "b"), str(tmp_path / "out"))
+    rows = spark.read.parquet(outcome.rows_path)
+    got = {(r._source_folder, r._source_file, r.AREA, r.OCC_CODE, r.TOT_EMP, r.NOTE, r.EXTRA, r._data_year) for r in rows.collect()}
+    assert got == {
+        ("survey_2021", "Main.csv", "1", "a", 12, None, None, 2021), ("survey_2021", "Main.csv", None, "b", None, None, None, 2021),
+        ("survey_2021", "Main.csv", "3", None, None, None, None, 2021), ("other", "Main.csv", None, None, 5, None, "x", None)}
+    assert rows.where("I_GROUP = 'cross-industry'").count() == 4
+    report = {r.file_path.split("/b/")[1]: r for r in spark.read.json(outcome.report_path).collect()}
+    assert {p: (r.status, r.rows) for p, r in report.items()} == {
+        "survey_2021/Main.csv": ("ok", 3), "survey_2021/No_rows.csv": ("ok", 0), "survey_2021/Long_row.csv": ("failed", 1),
+        "survey_2021/Bad_2018.csv": ("failed", 1), "other/Main.csv": ("ok", 1)}
+    assert report["survey_2021/Bad_2018.csv"].dropped_columns == ["Area"] and "TOT_EMP" in report["survey_2021/Bad_2018.csv"].error
+    assert (outcome.files_processed, outcome.files_failed, outcome.total_rows) == (3, 2, 4)
+    converted = {r.file: r.success for r in spark.read.json(str(tmp_path / "out" / "conversion_report")).collect()}
+    assert converted == {"survey_2021.xlsx": True, "other.xlsx": True, "broken.xlsx": False}
+
+
 def test_convert_skips_what_is_done(spark, tmp_path):
     source, output = str(tmp_path / "in"), str(tmp_path / "out")
     write(tmp_path, "in/a.xlsx", workbook_bytes({"One": [["a"]]}))
@@ -325,6 +351,20 @@ def test_stream_quota_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == batch
 
 
+def test_hits_delivered_again_count_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, start + dt.timedelta(minutes=7 * i), "k") for i in range(40)]
+    hits = spark.createDataFrame(data, "id long, ts timestamp, key string")
+    out, cp, options = str(tmp_path / "out"), str(tmp_path / "cp"), dict(time="ts", key="key", limit=4, lateness="1 hour", unique="id")
+    batch = {tuple(r) for r in jobs.quota_windows(hits.unionAll(hits), "ts", "key", limit=4, unique="id").collect()}
+    closing = spark.createDataFrame([(99, start + dt.timedelta(days=3), "end")], hits.schema)
+    for n, part in enumerate([hits.where("id < 25"), hits.where("id >= 15"), hits, closing, hits]):
+        part.write.parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema(hits.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        jobs.stream_quota(stream, out, cp, **options)
+    assert batch and {tuple(r) for r in spark.read.parquet(out).collect()} == batch
+
+
 def test_stream_logs(spark, tmp_path):
     write(tmp_path, "logs/a.log", '{"event": "x", "data": {"k": 1}}\n\nbroken\n')
     paths = [str(tmp_path / n) for n in ("logs", "rows", "bad", "cp")]
