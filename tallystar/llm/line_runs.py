@@ -2,15 +2,17 @@
 
 A document is the sequence of its lines that hold a word. Lines get 64-bit ids, and only lines that occur at least twice
 take part: any other line ends every repeated run. The suffixes that start at such lines are ranked by prefix doubling.
-A round joins each suffix with the rank of the one ``step`` lines further on, counts the pairs of ranks and numbers them
-in order by running totals; the rank of a pair is its place in the suffix array. The last step overlaps, so that the
-order reaches ``least_lines`` exactly. Suffixes whose prefix is unique leave after each round, as no repeated run of
-that length starts there.
-
-Suffixes of equal rank then form the intervals whose longest common prefix is ``least_lines`` or more. In each interval the
-suffix with the smallest (doc_id, text hash, line number) is the first copy. The lines under the others are marked, and
-marks that touch join to maximal runs, which are deleted with the blank lines inside them. So a line is deleted exactly if it
-lies in ``least_lines`` consecutive lines that also start at an earlier place, in another document or the same one.
+A round joins each suffix, ranked by its first lines, with the rank of what follows them, counts the pairs of ranks and
+numbers them in order by running totals; the rank of a pair is its place in the suffix array. Ranks by 1, 2, 4, … lines
+come from pairs of equal length, those by other numbers of lines from the largest power of two and a rest, up to
+``least_lines``. Suffixes whose prefix is unique leave after each round, as no repeated run of that length starts there.
+
+Suffixes of equal rank by d lines form the intervals whose longest common prefix is d or more. In each interval the suffix
+with the smallest (doc_id, text hash, line number) is the first copy. Under the others, d lines are marked if d is
+``least_lines``, or if they hold more than ``least_words`` words. Marks that touch join to maximal runs, which are deleted
+with the blank lines inside them. So a line is deleted exactly if it lies in a run that also starts at an earlier place, in
+another document or the same one, and that has ``least_lines`` lines or more than ``least_words`` words. A longer run
+is the union of its windows of ``least_lines`` lines, all of them later copies too, so no rank by more lines could add to it.
 
 Running totals are taken over ranges of the ordered pairs, never in one task, and a frequent line is counted before it is
 joined; adaptive execution splits what remains of it.
@@ -22,20 +24,25 @@ Further columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystar.llm.shared import positional, restored, written
+from tallystar.llm.shared import WORD, positional, restored, written
 
 LEAST_LINES = 3
+LEAST_WORDS = 50
 _PLACE = ["doc", "text_hash", "seq"]
 
 
 def _lines(frame: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Rows (doc, text_hash, seq, id) of all lines that hold a word."""
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
-    ids = F.transform(lines, lambda line: F.xxhash64(line))
-    return frame.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(ids).alias("seq", "id"))
+    """Rows (doc, text_hash, seq, id, words) of all lines that hold a word."""
+    counted = F.transform(F.split(text, "\n", -1), lambda line: F.struct(
+        F.xxhash64(line).alias("id"), F.regexp_count(line, F.lit(WORD)).alias("words")))
+    spoken = F.filter(counted, lambda line: line["words"] > 0)
+    return frame.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(spoken).alias(
+        "seq", "line")).select("doc", "text_hash", "seq", "line.*")
 
 
 def _numbered(counted: DataFrame, *order: str) -> DataFrame:
@@ -49,44 +56,51 @@ def _numbered(counted: DataFrame, *order: str) -> DataFrame:
         "rank", F.col("start") + F.col("inside")).drop("range", "inside", "start")
 
 
-def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
-    """Rows (doc, text_hash, seq, rank) of all suffixes whose first ``depth`` lines occur more than once."""
+def suffix_ranks(lines: DataFrame, depth: int) -> dict[int, DataFrame]:
+    """Per number of lines up to ``depth``, rows (doc, text_hash, seq, rank, words) of all suffixes that share so many."""
     lines = written(lines, "lines")
     repeated = _numbered(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "id").select("id", "rank")
-    active = written(lines.join(repeated, "id").groupBy(*_PLACE).agg(F.min("rank").alias("rank")), "line-ranks")
-    reached = 1
-    while reached < depth:
-        step = min(reached, depth - reached)
-        further = active.select(F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash"),
-                                (F.col("seq") - step).alias("f_seq"), F.col("rank").alias("next"))
+    levels = {1: written(lines.join(repeated, "id").groupBy(*_PLACE).agg(
+        F.min("rank").alias("rank"), F.min("words").cast("long").alias("words")), "line-ranks")}
+    for reached in range(2, depth + 1):
+        step = 1 << ((reached - 1).bit_length() - 1)
+        further = levels[reached - step].select(
+            F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash"), (F.col("seq") - step).alias("f_seq"),
+            F.col("rank").alias("next"), F.col("words").alias("more"))
         same = [F.col(c).eqNullSafe(F.col(f)) for c, f in zip(_PLACE, ("f_doc", "f_hash", "f_seq"))]
-        pairs = written(active.join(further, same).select(*_PLACE, "rank", "next"), "line-pairs")
+        pairs = written(levels[step].join(further, same).select(
+            *_PLACE, "rank", "next", (F.col("words") + F.col("more")).alias("words")), "line-pairs")
         counted = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
         numbers = _numbered(counted.withColumnsRenamed({"rank": "old"}), "old", "next").select("old", F.col("next").alias("old_next"), "rank")
-        active = written(pairs.withColumnRenamed("rank", "was").join(
-            numbers, (F.col("was") == F.col("old")) & (F.col("next") == F.col("old_next"))).select(*_PLACE, "rank"), "line-ranks")
-        reached += step
-    return active
+        levels[reached] = written(pairs.withColumnRenamed("rank", "was").join(
+            numbers, (F.col("was") == F.col("old")) & (F.col("next") == F.col("old_next"))).select(*_PLACE, "rank", "words"), "line-ranks")
+    return levels
 
 
-def later_runs(lines: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
+def later_runs(lines: DataFrame, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """Rows (doc, text_hash, runs): the maximal runs of later copies, as an array of (first, last) line numbers."""
-    ranks = suffix_ranks(lines, least_lines)
     place = F.struct(F.col("doc").isNull(), *_PLACE)
-    firsts = ranks.groupBy("rank").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = ranks.join(firsts, "rank").where(place != F.col("first"))
-    starts = later.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list("seq")).alias("starts"))
-    opens = F.filter("starts", lambda s, i: (i == 0) | (s > F.get("starts", i - 1) + least_lines))
-    ends = F.filter("starts", lambda s, i: (i == F.size("starts") - 1) | (F.get("starts", i + 1) > s + least_lines))
-    return starts.select("doc", "text_hash", F.zip_with(opens, ends, lambda a, b: F.struct(
-        a.alias("first"), (b + least_lines - 1).alias("last"))).alias("runs"))
-
-
-def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_lines: int = LEAST_LINES) -> DataFrame:
+    marks = []
+    for depth, ranks in suffix_ranks(lines, least_lines).items():
+        enough = ranks if depth == least_lines else ranks.where(F.col("words") > least_words)
+        firsts = enough.groupBy("rank").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        marks.append(enough.join(firsts, "rank").where(place != F.col("first")).select(
+            "doc", "text_hash", "seq", (F.col("seq") + depth - 1).alias("last")))
+    # A window holds the marks of one document.
+    own = Window.partitionBy("doc", "text_hash").orderBy("seq", "last")
+    reached = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    opened = reduce(DataFrame.unionAll, marks).withColumn("opens", F.coalesce(F.col("seq") > reached + 1, F.lit(True)).cast("int"))
+    runs = opened.withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy(
+        "doc", "text_hash", "run").agg(F.min("seq").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_lines: int = LEAST_LINES,
+         least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents as c0, c1, … with n_lines, runs (array of first and last line, from 0) and kept_text."""
     frame, names = positional(docs, text, doc_id)
     t, d = names[text], names[doc_id]
-    runs = written(later_runs(_lines(frame, t, d), least_lines), "line-runs")
+    runs = written(later_runs(_lines(frame, t, d), least_lines, least_words), "line-runs")
     own = F.col(d).eqNullSafe(F.col("doc")) & (F.xxhash64(t) == F.col("text_hash"))
     # The same join at every size: a small table of runs would be broadcast, and the shuffle of the texts would set in later.
     joined = frame.join(runs.hint("merge"), own, "left").drop("doc", "text_hash")
@@ -104,7 +118,8 @@ def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_line
         "n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).drop("_lines", "_at")
 
 
-def delete_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_lines: int = LEAST_LINES) -> DataFrame:
+def delete_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_lines: int = LEAST_LINES,
+                least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with later copies of repeated runs deleted from their texts, with the columns of the input."""
     at = f"c{docs.columns.index(text)}"
-    return restored(mark(docs, text, doc_id, least_lines).withColumn(at, F.col("kept_text")), docs)
+    return restored(mark(docs, text, doc_id, least_lines, least_words).withColumn(at, F.col("kept_text")), docs)

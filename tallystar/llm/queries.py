@@ -132,7 +132,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,15 +148,22 @@ _OP9 = r"""
 WITH every AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 spoken AS (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+    FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 windows AS (
-    SELECT doc_id, seq, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third
+    SELECT doc_id, seq, line, n, lead(line, 1) OVER w AS second, n + lead(n, 1) OVER w AS n_two, lead(line, 2) OVER w AS third
     FROM spoken WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
 later AS (
-    SELECT doc_id, seq FROM windows WHERE third IS NOT NULL
+    SELECT doc_id, seq, 1 AS lines FROM windows WHERE n > 50
+    QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) > 1
+    UNION ALL
+    SELECT doc_id, seq, 2 FROM windows WHERE second IS NOT NULL AND n_two > 50
+    QUALIFY row_number() OVER (PARTITION BY line, second ORDER BY doc_id, seq) > 1
+    UNION ALL
+    SELECT doc_id, seq, 3 FROM windows WHERE third IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, seq) > 1),
 covered AS (
-    SELECT DISTINCT doc_id, seq + k AS seq FROM later, (VALUES (0), (1), (2)) v(k)),
+    SELECT DISTINCT doc_id, seq + unnest(range(lines)) AS seq FROM later),
 placed AS (
     SELECT e.doc_id, e.pos, e.line,
            last_value(s.seq IGNORE NULLS) OVER (PARTITION BY e.doc_id ORDER BY e.pos) AS before,

@@ -65,8 +65,8 @@ def test_learned_verdicts_on_unseen_hosts(spark):
     assert urls.judge(pages.where("false"), urls.labelled_urls(spark), []).count() == 0
 
 
-def cut_runs(rows, least):
-    """Brute force over all windows, first copy by (id, hash of the text, line)."""
+def cut_runs(rows, least, words):
+    """Brute force over all runs of up to nine lines, first copy by (id, hash of the text, line)."""
     documents = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     seen, out = set(), {}
     for doc_id, text, order in documents:
@@ -76,11 +76,12 @@ def cut_runs(rows, least):
         lines = text.split("\n")
         spoken = [i for i, line in enumerate(lines) if line.strip(" \t\x0b\x0c\r")]
         gone = set()
-        for s in range(len(spoken) - least + 1):
-            window = tuple(lines[i] for i in spoken[s:s + least])
-            if window in seen:
-                gone |= set(range(s, s + least))
-            seen.add(window)
+        for length in range(1, 10):
+            for s in range(len(spoken) - length + 1):
+                run = tuple(lines[i] for i in spoken[s:s + length])
+                if run in seen and (length >= least or sum(len(line.split()) for line in run) > words):
+                    gone |= set(range(s, s + length))
+                seen.add(run)
         dropped = {i for i in range(len(lines)) if any(
             a in gone and b in gone and spoken[a] <= i <= spoken[b] for a, b in [_around(spoken, i)])}
         out[(doc_id, text)] = "\n".join(line for i, line in enumerate(lines) if i not in dropped)
@@ -93,16 +94,25 @@ def _around(spoken, i):
     return before, after
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_line_runs_match_brute_force(docs, clashing, spark, least):
-    rng = random.Random(least)
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d", "", f"own {i}"]) for _ in range(rng.randrange(14)))) for i in range(40)]
+@pytest.mark.parametrize("least, words", [(1, 50), (2, 3), (3, 2), (3, 50), (5, 6), (6, 0)])
+def test_line_runs_match_brute_force(docs, clashing, spark, least, words):
+    rng = random.Random(least + words)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", "", f"own {i}"]) for _ in range(rng.randrange(14)))) for i in range(40)]
     rows += [(50, None), (51, ""), (52, " \n\t\n"), (53, "a\n" * 3000), (54, rows[3][1]), (54, rows[4][1]), (3, rows[3][1]), (None, rows[5][1])]
     frame = clashing(docs(*rows).repartition(3), "seq", "rank", "runs", "doc", "n")
     hashed = {r[0]: r[1] for r in frame.select("text", F.xxhash64("text")).collect()}
-    want = cut_runs([(d, t, hashed[t]) for d, t in rows], least)
-    got = line_runs.delete_runs(frame, least_lines=least)
+    want = cut_runs([(d, t, hashed[t]) for d, t in rows], least, words)
+    got = line_runs.delete_runs(frame, least_lines=least, least_words=words)
     assert got.columns == frame.columns
     digest = lambda pairs: sorted(hashlib.sha256(repr(p).encode()).hexdigest() for p in pairs)
     assert digest((r.doc_id, r.text) for r in got.collect()) == digest((d, want[(d, t)]) for d, t in rows)
     assert line_runs.delete_runs(frame.where("false")).count() == 0
+
+
+def test_long_passages_of_one_or_two_lines_go(docs):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    one, first, second, short = sentence(51), sentence(30), sentence(21), sentence(50)
+    rows = [(1, one), (2, f"own 2\n{one}"), (3, f"{first}\n\n{second}"), (4, f"own 4\n{first}\n{second}\nend"), (5, short), (6, short), (7, f"{second}\n{first}")]
+    got = {r.doc_id: r.text for r in line_runs.delete_runs(docs(*rows)).collect()}
+    assert got == {1: one, 2: "own 2", 3: rows[2][1], 4: "own 4\nend", 5: short, 6: short, 7: rows[6][1]}
