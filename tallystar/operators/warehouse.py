@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystar.schema import CANONICAL_COLUMNS, FACT_SCHEMA, SURVEY_MONTH
+from tallystar.session import scratch_path
 
 _SALTS = 1024
+VINTAGE_BUCKETS = 16
 
 
 def load_projection(standardized: DataFrame) -> DataFrame:
@@ -58,20 +63,53 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*[f.name for f in FACT_SCHEMA.fields])
 
 
-def publish(spark: SparkSession, base: str, table: str, path: str, rows: int) -> None:
-    """Make a finished version the current one by appending one row to the publication log."""
-    log = spark.createDataFrame([(table, path, rows)], "table string, path string, rows long")
-    log = log.withColumn("published_at", F.current_timestamp())
-    log.coalesce(1).write.mode("append").parquet(f"{base}/_publications")
+def _versions(spark: SparkSession, base: str, table: str):
+    """The folder of a table's publications, and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_versions/{table}")
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(folder, system) -> list[int]:
+    if not system.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit())
+
+
+def publish(spark: SparkSession, base: str, table: str, path: str, rows: int) -> int:
+    """Make a finished version the current one; returns its sequence number.
+
+    A publication is a file named by the next free number, created only if it is absent, so of two publishers at the same
+    moment one is first and the other second, whatever their clocks say.
+    """
+    folder, system = _versions(spark, base, table)
+    number = 1 + max(_numbers(folder, system), default=0)
+    while True:
+        try:
+            out = system.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}"), False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            number += 1
+            continue
+        out.write(json.dumps({"path": path, "rows": rows}).encode())
+        out.close()
+        return number
 
 
 def current_version(spark: SparkSession, base: str, table: str) -> str:
-    """Path of the most recently published version."""
-    log = spark.read.parquet(f"{base}/_publications").where(F.col("table") == table)
-    found = log.agg(F.max_by("path", "published_at").alias("path")).first()["path"]
-    if found is None:
-        raise LookupError(f"table was never published: {table}")
-    return found
+    """Path of the publication with the highest number; one that was interrupted before its content does not count."""
+    folder, system = _versions(spark, base, table)
+    for number in reversed(_numbers(folder, system)):
+        stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}"))
+        try:
+            content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        try:
+            return json.loads(content)["path"]
+        except ValueError:
+            continue
+    raise LookupError(f"table was never published: {table}")
 
 
 def load_table(df: DataFrame, base: str, table: str, expected: DataFrame | None = None) -> DataFrame:
@@ -129,6 +167,33 @@ def vintage_upsert(audits: DataFrame, key: Sequence[str] = ("SOURCE_FILE",)) ->
     return picked.select(*key, *[F.col(f"__latest.{v}").alias(v) for v in values])
 
 
+def upsert_vintages(spark: SparkSession, path: str, audits: DataFrame, key: Sequence[str] = ("SOURCE_FILE",)) -> None:
+    """Add audits to the vintages at ``path``: those of equal key are replaced, all others stay.
+
+    The table is partitioned by a hash of the key. Only partitions that a new key falls into are merged, first beside the
+    table and then put in place by dynamic partition overwrite. An attempt that was interrupted is repeated as it was.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(VINTAGE_BUCKETS)).cast("int").alias("bucket")
+    new = vintage_upsert(audits, key).select("*", F.current_timestamp().alias("IMPORTED_AT"), bucket)
+    staged = scratch_path(spark, "vintages")
+    new.write.parquet(f"{staged}/new")
+    new = spark.read.parquet(f"{staged}/new")
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException:
+        known = spark.createDataFrame([], new.schema)
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key]
+    touched = known.join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
+    kept = touched.join(new, same(touched, new), "left_anti")
+    kept.unionByName(new).write.parquet(f"{staged}/merged")
+    merged = spark.read.parquet(f"{staged}/merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_vintages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def load_summary(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),

@@ -120,9 +120,7 @@ def migrate(spark: SparkSession, outcome: StandardizeOutcome, base: str) -> Data
     audit = warehouse.vintage_audit(
         fact.withColumn("path", F.concat_ws("/", "SOURCE_FOLDER", "SOURCE_FILE")), "path"
     )
-    warehouse.vintage_upsert(audit).withColumn("IMPORTED_AT", F.current_timestamp()).write.mode("overwrite").parquet(
-        f"{base}/data_vintages"
-    )
+    warehouse.upsert_vintages(spark, f"{base}/data_vintages", audit)
     return fact
 
 
@@ -140,6 +138,6 @@ def guarded_warehouse(spark: SparkSession, base: str) -> GuardedSql:
         spark,
         {
             FACT_TABLE: lambda session: warehouse.read_fact(session, path),
-            "data_vintages": lambda session: session.read.parquet(f"{base}/data_vintages"),
+            "data_vintages": lambda session: warehouse.read_vintages(session, f"{base}/data_vintages"),
         },
     )

@@ -205,7 +205,7 @@ def test_load_is_all_or_nothing(spark, root, tmp_path):
     first = warehouse.current_version(spark, base, "fact")
     wrong = spark.createDataFrame([("2024/sample.csv", 1), ("y2023/part_2022.csv", 99)], "path string, rows long")
     with pytest.raises(RuntimeError, match="1 source files do not reconcile"):
-        warehouse.load_table(rows.limit(2), base, "fact", wrong.limit(0).union(wrong.where("path = 'y2023/part_2022.csv'")).union(
+        warehouse.load_table(rows.where("SOURCE_FILE = 'sample.csv' OR AREA = '1'"), base, "fact", wrong.limit(0).union(wrong.where("path = 'y2023/part_2022.csv'")).union(
             spark.createDataFrame([("2024/sample.csv", 1)], "path string, rows long")))
     assert warehouse.current_version(spark, base, "fact") == first
     warehouse.load_table(rows, base, "fact")
@@ -214,6 +214,36 @@ def test_load_is_all_or_nothing(spark, root, tmp_path):
         warehouse.current_version(spark, base, "other")
 
 
+def test_publishers_of_the_same_moment_are_ordered(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = str(tmp_path / "wh")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: (warehouse.publish(spark, base, "t", f"v{i}", i), i), range(24)))
+    assert sorted(n for n, _ in numbers) == list(range(1, 25))
+    assert warehouse.current_version(spark, base, "t") == f"v{max(numbers)[1]}"
+    # A publisher that died before it wrote the content is not the current one, and its number is not used again.
+    write(tmp_path, "wh/_versions/t/000000000025", "")
+    assert warehouse.current_version(spark, base, "t") == f"v{max(numbers)[1]}"
+    assert warehouse.publish(spark, base, "t", "after", 1) == 26 and warehouse.current_version(spark, base, "t") == "after"
+
+
+def test_vintages_are_replaced_by_key_and_survive_an_interrupted_upsert(spark, tmp_path):
+    path, schema = str(tmp_path / "vintages"), "SOURCE_FILE string, SOURCE_FOLDER string, SURVEY_YEAR int, ROW_COUNT long"
+    audits = lambda *rows: spark.createDataFrame(list(rows), schema)
+    state = lambda: sorted(((r.SOURCE_FILE or "", r.SOURCE_FOLDER, r.SURVEY_YEAR, r.ROW_COUNT) for r in warehouse.read_vintages(spark, path).collect()))
+    warehouse.upsert_vintages(spark, path, audits(*[(f"f{i}.csv", "a", 2000 + i, i) for i in range(40)], (None, "a", None, 1)))
+    before = state()
+    assert len(before) == 41
+    failing = audits(("f3.csv", "b", 2050, 7), ("new.csv", "b", 2050, 8)).withColumn("ROW_COUNT", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(PySparkException, match="lost"):
+        warehouse.upsert_vintages(spark, path, failing)
+    assert state() == before
+    for _ in range(2):
+        warehouse.upsert_vintages(spark, path, audits(("f3.csv", "b", 2050, 7), ("new.csv", "b", 2050, 8), (None, "b", None, 2)))
+        assert state() == sorted([r for r in before if r[0] not in ("f3.csv", "")] + [("f3.csv", "b", 2050, 7), ("new.csv", "b", 2050, 8), ("", "b", None, 2)])
+
+
 def test_archives(spark, tmp_path):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
