@@ -12,10 +12,16 @@ A match with score >= t and lengths a and b has a common subsequence of n charac
 200*n >= t*(a + b). As n <= b, also n >= t*a/(200 - t): every match of a string shares that many
 of its tokens. Of the shared tokens the rarest one then stands among the first
 a - ceil(t*a/(200 - t)) + 1 of each string in order of rarity, so no match is lost.
+
+Tokens can also be pairs of adjacent characters. Each character without a partner parts at most one pair, so a match shares at
+least 3*n - a - b - 1 pairs, which is at least a*(3*t - 200)/(200 - t) - 1. Above two thirds of 100 this is a strong
+filter, and the best matches are looked for by pairs first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +44,8 @@ _TASKS_PER_CORE = 4
 _BAG_BITS = 60
 _SALTS = 16
 GRAM = 3
+# Scores at which pairs of characters still have to be shared: above two thirds of 100.
+LEVELS = (90, 80, 70)
 
 
 def _distinct_strings(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -144,21 +152,43 @@ def _numbered(items: Column) -> Column:
     )
 
 
-def _rare_prefix(df: DataFrame, column: str, p: str, frequency: DataFrame, threshold: int) -> DataFrame:
+def _pairs_of(chars: Column) -> Column:
+    """Adjacent characters, two by two."""
+    ends = F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0)))
+    return F.zip_with(F.slice(chars, F.lit(1), F.size(ends)), ends, lambda a, b: F.concat(a, b))
+
+
+def _tokens(chars: Column, pairs: bool) -> Column:
+    return _numbered(_pairs_of(chars) if pairs else chars)
+
+
+def _shared(length: Column, threshold: int, pairs: bool) -> Column:
+    """How many tokens a string of this length shares with every match, whatever the length of the match."""
+    if pairs:
+        return F.ceil(F.lit(3 * threshold - 200) * length / F.lit(200 - threshold) - 1 - 1e-9)
+    return F.ceil(F.lit(threshold) * length / F.lit(200 - threshold))
+
+
+def _rare_prefix(df: DataFrame, column: str, p: str, frequency: DataFrame, threshold: int, pairs: bool) -> DataFrame:
     """Each string once per token of its prefix: its rarest tokens, enough for every match."""
     kept = [column, *[f"{p}_{f}" for f in ("key", "len", "bag0", "bag1")]]
-    tokens = _with_features(df, column, p).select(*kept, F.explode(_numbered(F.col(f"{p}_chars"))).alias("token"))
+    numbered = _with_features(df, column, p).select(*kept, _tokens(F.col(f"{p}_chars"), pairs).alias("tokens"))
+    tokens = numbered.select(*kept, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     rarest_first = Window.partitionBy(column).orderBy(F.coalesce("strings", F.lit(0)), "token")
-    shared = F.ceil(F.lit(threshold) * F.col(f"{p}_len") / F.lit(200 - threshold))
     ranked = tokens.join(frequency, "token", "left").withColumn("place", F.row_number().over(rarest_first))
-    return ranked.where(F.col("place") <= F.col(f"{p}_len") - shared + 1).select(*kept, "token")
-
-
-def _token_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit: int) -> DataFrame:
-    characters_of = _with_features(titles, "name", "t").select(F.explode(_numbered(F.col("t_chars"))).alias("token"))
-    frequency = characters_of.groupBy("token").agg(F.count(F.lit(1)).alias("strings"))
-    q = _rare_prefix(queries, "query", "q", frequency, threshold)
-    t = _rare_prefix(titles, "name", "t", frequency, threshold)
+    shared = F.greatest(_shared(F.col(f"{p}_len"), threshold, pairs), F.lit(1))
+    return ranked.where(F.col("place") <= F.col("size") - shared + 1).select(*kept, "token")
+
+
+def _candidates(queries: DataFrame, titles: DataFrame, threshold: int, pairs: bool) -> DataFrame:
+    """The pairs of strings that share a token of their prefixes and are within reach: query, name, q_key, t_key."""
+    tokens_of = _with_features(titles, "name", "t").select(F.explode(_tokens(F.col("t_chars"), pairs)).alias("token"))
+    frequency = tokens_of.groupBy("token").agg(F.count(F.lit(1)).alias("strings"))
+    q = _rare_prefix(queries, "query", "q", frequency, threshold, pairs)
+    if pairs:
+        # A shorter query can have a match without a common pair.
+        q = q.where(_shared(F.col("q_len"), threshold, pairs) >= 1)
+    t = _rare_prefix(titles, "name", "t", frequency, threshold, pairs)
     # There are few distinct tokens and some are frequent, so each is split over several salts;
     # the fixed task count keeps adaptive execution from merging this small but heavy input.
     tasks = _TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
@@ -167,7 +197,11 @@ def _token_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit:
     # A pair meets once per token its prefixes share. The cheap tests run inside the join, so
     # only pairs that pass them leave it, and those are made distinct before scoring.
     near = _within_reach(lambda f: F.col(f"q_{f}"), lambda f: F.col(f"t_{f}"), threshold)
-    met = q.join(t, (q["token"] == t["token"]) & (q["salt"] == t["salt"]) & near).select("query", "name", "q_key", "t_key").distinct()
+    return q.join(t, (q["token"] == t["token"]) & (q["salt"] == t["salt"]) & near).select("query", "name", "q_key", "t_key").distinct()
+
+
+def _token_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit: int, pairs: bool = False) -> DataFrame:
+    met = _candidates(queries, titles, threshold, pairs)
     both = F.struct(characters(F.col("q_key")).alias("q"), characters(F.col("t_key")).alias("t"))
 
     def measure(p: Column) -> Column:
@@ -187,6 +221,28 @@ def _token_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit:
     return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= limit)
 
 
+def _level_matches(queries: DataFrame, titles: DataFrame, threshold: int, limit: int) -> DataFrame:
+    """Matches in a long list of titles, level by level of the score.
+
+    At a high score a match shares most of its pairs of adjacent characters, and few strings do. A query with enough
+    matches at a level is done: nothing below can rank before them. Only the others are asked at the next level, and only
+    those that no level satisfies meet the titles by single characters.
+    """
+    def stored(frame: DataFrame) -> DataFrame:
+        path = scratch_path(queries.sparkSession, "search-level")
+        frame.write.parquet(path)
+        return queries.sparkSession.read.schema(frame.schema).parquet(path)
+
+    found, open_ = [], queries
+    for level in LEVELS:
+        if level > threshold:
+            hits = stored(_token_matches(open_, titles, level, limit, pairs=True))
+            done = hits.where(F.col("rank") == limit).select("query")
+            found.append(hits.join(done, "query", "left_semi"))
+            open_ = stored(open_.join(done, "query", "left_anti"))
+    return reduce(DataFrame.unionByName, [*found, _token_matches(open_, titles, threshold, limit)])
+
+
 def fuzzy_match(
     queries: DataFrame,
     titles: DataFrame,
@@ -199,7 +255,7 @@ def fuzzy_match(
     """``query, name, score, rank`` of the best titles per distinct query string."""
     wanted = _distinct_strings(queries, query, "query").where("query != ''")
     known = _distinct_strings(titles, title, "name").where("name != ''")
-    find = _inline_matches if _fits_inline(known, inline_titles) else _token_matches
+    find = _inline_matches if _fits_inline(known, inline_titles) else _level_matches
     return find(wanted, known, threshold, limit)
 
 

@@ -391,6 +391,40 @@ def test_fuzzy_match_against_brute_force(spark, inline, threshold):
     assert found(got) == brute([a for a in asked if a.strip()], [n for n in titles if n.strip()], threshold, 3)
 
 
+def typed(r, words, n):
+    text = " ".join(r.sample(words, n))
+    at = r.randrange(len(text))
+    return r.choice([text, text[:at] + text[at + 1:], text[:at] + r.choice("aeo") + text[at:], text.upper()])
+
+
+@pytest.mark.parametrize("threshold, limit", [(60, 3), (75, 2), (85, 1), (95, 4)])
+def test_levels_find_the_same_matches(spark, threshold, limit):
+    r = random.Random(threshold)
+    words = ["".join(r.choice("abcdeinorst") for _ in range(r.randrange(2, 8))) for _ in range(40)]
+    titles = {typed(r, words, r.randrange(1, 5)) for _ in range(250)} | {"a", "ab", "é", "abc abc"}
+    queries = {typed(r, words, r.randrange(1, 5)) for _ in range(60)} | {"a", "ba", "é e", "zz", "abc", "abc abc abd"}
+    q = spark.createDataFrame([(x,) for x in queries], "query string")
+    t = spark.createDataFrame([(x,) for x in titles], "name string")
+    inline = rows(search.fuzzy_match(q, t, limit=limit, threshold=threshold), "query", "rank")
+    assert rows(search.fuzzy_match(q, t, limit=limit, threshold=threshold, inline_titles=0), "query", "rank") == inline and inline
+
+
+def test_levels_meet_few_titles(spark):
+    """Queries with enough close titles in a long list meet less than one in a hundred of all pairs."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 10))) for _ in range(2_000)]
+    bases = [" ".join(r.sample(words, 3)) for _ in range(2_000)]
+    titles = sorted({f"{b}{end}" for b in bases for end in ("", "s", "er", "ing", "ist", "al")})
+    q = spark.createDataFrame([(b[:5] + b[6:],) for b in bases[:100]], "query string")
+    t = spark.createDataFrame([(x,) for x in titles], "name string")
+    met = search._candidates(q, t, 90, pairs=True).count()
+    assert 100 * 3 <= met < 100 * len(titles) // 100
+    found = search._token_matches(q, t, 90, 3, pairs=True)
+    assert found.where("rank = 3").count() == 100
+    expected = {x for b in bases[:100] for x in (b, f"{b}s")}
+    assert {x["name"] for x in found.collect()} & expected
+
+
 def contained(query, titles, limit):
     pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in query.lower())
     return [t for t in sorted(titles) if re.search(pattern, t.lower(), re.DOTALL)][:limit]
