@@ -2,7 +2,8 @@
 
 Rules name a host and a path prefix; a rule fits its host and all its subdomains, and the longest fitting rule decides.
 Other URLs are judged by a logistic regression over hashed character n-grams of host and path. It is fitted on a small
-labelled table, by default ``LABELLED``, with Spark's own estimator; features are built by SQL functions.
+labelled table, by default ``LABELLED``, with Spark's own estimator; features are built by SQL functions. Both verdicts are
+about equally frequent in that table but not among pages, so a URL is blocked only at a probability above ``BLOCK_ABOVE``.
 
 Defined cases: a null URL and one without ``://`` have an empty host and path and no n-gram, so the intercept decides, by default
 allow; a labelled table without both verdicts gives allow for all that no rule fits. URLs of any length are read whole.
@@ -23,23 +24,40 @@ from tallystar.llm.shared import positional
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 14
-REGULARIZATION = 0.0001
-
-# The labelled URLs: hosts made up for this table, each with every path. 1 blocks, 0 allows.
-_BLOCKED_HOSTS = [
-    "casino-royal.test", "best-casino-win.test", "poker-bets.test", "free-bets-now.test", "free-spins.test",
-    "cheap-pills-shop.test", "cheap-meds.test", "buy-pills-online.test", "adult-videos.test", "adult-x-cams.test",
-    "xxx-adult-chat.test", "ads-tracker.test", "track-ads-serve.test", "click-ads-track.test", "spam-links.test",
-    "link-farm.test", "spam-farm-seo.test", "win-free-prize.test", "fast-cash-loan.test",
-]
-_ALLOWED_HOSTS = [
-    "news.test", "www.library.test", "blog.garden.test", "m.weather.test", "university.test", "museum.test",
-    "www.cooking.test", "history.test", "mathematics.test", "blog.travel.test", "m.science.test", "www.health.test",
-    "theatre.test", "www.railway.test", "software.test", "music.test", "town-hall.test", "book-club.test", "open-data.test",
-]
-_PATHS = ["/en/12", "/fr/345.html", "/de/67/", "/es/890"]
-LABELLED = [(f"https://{host}{path}", block) for hosts, block in ((_BLOCKED_HOSTS, 1), (_ALLOWED_HOSTS, 0))
-            for host in hosts for path in _PATHS]
+REGULARIZATION = 0.003
+BLOCK_ABOVE = 0.8
+
+# The labelled URLs are made by a rule from these words: hosts of one and two words under several top-level domains and
+# prefixes that both classes share, each with a path of its class and a path that says nothing. 1 blocks, 0 allows.
+_BLOCKED_WORDS = (
+    "casino poker bets jackpot slots roulette bingo gambling spins viagra pills meds pharma steroids adult xxx porn cams "
+    "escort hookup torrent warez crack keygen nulled loan payday cash prize lottery giveaway replica cheap discount free "
+    "spam farm seo links clicks tracker track ads banner popup phish malware hack"
+).split()
+_ALLOWED_WORDS = (
+    "news library garden weather university museum cooking history mathematics travel science health theatre railway "
+    "software music town council book data school research journal archive kitchen mountain river history language "
+    "painting theory engineering gardening planet reading writing teaching nation thinking shelter other station "
+    "letters northern weaver brother tradition attention anthem"
+).split()
+_BLOCKED_PATHS = ["/win/bonus", "/signup-now/offer.php", "/buy/cheap/", "/download/crack.zip", "/go/click", "/xxx/gallery"]
+_ALLOWED_PATHS = ["/articles/2021/05/", "/about/people", "/docs/index.html", "/wiki/Main_Page", "/blog/post-17", "/news/local/"]
+_PATHS = ["/en/12", "/fr/345.html", "/de/67/", "/es/890", "/", ""]
+_DOMAINS = ["com", "org", "net", "info", "biz", "to"]
+_PREFIXES = ["", "www.", "m.", "blog.", ""]
+
+
+def _labelled(words: list[str], paths: list[str], block: int) -> list[tuple[str, int]]:
+    rows = []
+    for i, word in enumerate(words):
+        for k, other in enumerate([None, words[(i + 1) % len(words)], words[(i + 7) % len(words)]]):
+            name = word if other is None else f"{word}{'-' if (i + k) % 2 else ''}{other}"
+            host = f"{_PREFIXES[(i + 2 * k) % len(_PREFIXES)]}{name}.{_DOMAINS[(i + k) % len(_DOMAINS)]}"
+            rows += [(f"https://{host}{paths[(i + k) % len(paths)]}", block), (f"http://{host}{_PATHS[(i + 3 * k) % len(_PATHS)]}", block)]
+    return rows
+
+
+LABELLED = _labelled(_BLOCKED_WORDS, _BLOCKED_PATHS, 1) + _labelled(_ALLOWED_WORDS, _ALLOWED_PATHS, 0)
 
 Rule = tuple[str, str, str]
 
@@ -103,5 +121,5 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[Rule], url: str = "
         model = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("chance")
         scored = model.transform(_tf().transform(rows.withColumn("grams", _grams(F.col("host"), F.col("path")))))
         scored = scored.withColumn("block_probability", vector_to_array("chance")[1]).drop("grams", "features", "chance")
-    learned = F.when(F.col("block_probability") > 0.5, "block").otherwise("allow")
+    learned = F.when(F.col("block_probability") > BLOCK_ABOVE, "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce("ruled", learned)).drop("ruled")

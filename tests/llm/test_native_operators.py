@@ -116,3 +116,15 @@ def test_long_passages_of_one_or_two_lines_go(docs):
     rows = [(1, one), (2, f"own 2\n{one}"), (3, f"{first}\n\n{second}"), (4, f"own 4\n{first}\n{second}\nend"), (5, short), (6, short), (7, f"{second}\n{first}")]
     got = {r.doc_id: r.text for r in line_runs.delete_runs(docs(*rows)).collect()}
     assert got == {1: one, 2: "own 2", 3: rows[2][1], 4: "own 4\nend", 5: short, 6: short, 7: rows[6][1]}
+
+
+def test_verdicts_on_held_out_hosts(spark):
+    """A sixth of the labelled hosts is left out of the fit; hosts of words that no label has are left alone."""
+    labelled = urls.labelled_urls(spark)
+    out = F.pmod(F.xxhash64(F.regexp_extract("url", "://([^/]*)", 1)), F.lit(6)) == 0
+    judged = urls.judge(labelled.where(out), labelled.where(~out), []).collect()
+    assert len(judged) > 60 and sum((r["verdict"] == "block") == bool(r.c1) for r in judged) >= 0.95 * len(judged)
+    unseen = ["http://viagra-discount.biz/x", "http://www.poker.org/", "http://torrent-crack.to/", "http://example.org/about",
+              "http://www.gazette.info/", "https://cs.stanford.edu/people/", "http://tionsh.example.net/de/1", "http://m.ththnt.example.com/es/2"]
+    got = {r[0]: r["verdict"] for r in urls.judge(spark.createDataFrame([(u,) for u in unseen], "url string"), labelled, []).collect()}
+    assert [got[u] for u in unseen] == ["block"] * 3 + ["allow"] * 5
