@@ -281,7 +281,8 @@ def search_titles(
     hits = queries.sparkSession.read.schema(found.schema).parquet(path)
     unmatched = _distinct_strings(queries, query, "query").join(hits.select("query").distinct(), "query", "left_anti")
     named = _distinct_strings(titles, title, "name").where("name != ''")
-    contained = contains_match(unmatched, named, limit)
+    contain = _inline_contains if _fits_inline(named, inline_titles) else contains_match
+    contained = contain(unmatched, named, limit)
     return hits.select("query", "name", "rank", F.lit("fuzzy").alias("method")).unionByName(
         contained.withColumn("method", F.lit("contains"))
     )
@@ -302,6 +303,15 @@ def _containing(query: str) -> Column:
     return like_pattern(F.col(query))
 
 
+def _inline_contains(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
+    """As :func:`contains_match`, for titles that fit inside one value."""
+    everything = titles.agg(F.collect_list("name").alias("titles")).scalar()
+    found = F.filter(F.col("titles"), lambda n: F.ilike(n, _containing("query")))
+    first = F.slice(F.array_sort(found), 1, limit)
+    exploded = queries.withColumn("titles", everything).select("query", F.posexplode(first).alias("pos", "name"))
+    return exploded.select("query", "name", (F.col("pos") + 1).alias("rank"))
+
+
 def _grams(text: Column, n: Column) -> Column:
     """The different runs of ``n`` characters; none of a shorter text."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
