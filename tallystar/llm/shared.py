@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystar.session import scratch_path
@@ -16,13 +17,33 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a frame into the shared folder and read it back, so that later steps do not recompute it."""
-    path = scratch_path(frame.sparkSession, name)
+    path = path or scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Jobs within delete their shuffle files when they end, since what later steps need of them is written."""
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a written table that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def positional(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
     """Columns renamed to c0, c1, … so that no added column can clash, and the new name of each needed one.
 

@@ -60,17 +60,64 @@ def test_scores_match_the_base_formula_and_gain(docs, clashing, spoken):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_every_state_is_a_distribution(docs, spoken):
-    model, _ = suffix_tree.train(docs(*spoken), divergence=2.0)
-    symbols = np.arange(len(model.words))
-    tail = 1 - np.exp(model.root).sum()
-    assert len(model.levels[0]["states"]) and len(model.levels[1]["states"])
-    for depth, level in enumerate(model.levels):
-        for state in level["states"][:20]:
-            one = np.full(len(symbols) + 1, state if depth == 0 else model.pairs[state] & ((1 << 21) - 1))
-            two = np.full(len(symbols) + 1, state if depth else -1)
-            logs = model.log_probability([one, two], np.append(symbols, -1))
-            assert np.exp(logs[:-1]).sum() + np.exp(logs[-1]) * tail == pytest.approx(1)
+class Tree:
+    """The suffix tree by brute force: counts of tuples of words, and every rule applied as it is stated."""
+
+    def __init__(self, rows, divergence, least=2):
+        texts = [(t or "").encode().lower().split() for i, t in rows if crc32(b"" if i is None else str(i).encode()) % 10]
+        self.words = Counter(w for t in texts for w in [*t, "end"])
+        self.mass = sum(self.words.values()) + 0.1 * (len(self.words) + 1)
+        self.states, depth = {}, 0
+        while depth == 0 or any(len(c) == depth for c in self.states):
+            depth += 1
+            follow = {}
+            for t in texts:
+                said = ["begin", *t, "end"]
+                for at in range(depth, len(said)):
+                    follow.setdefault(tuple(said[at - depth:at]), Counter())[said[at]] += 1
+            found = {}
+            for context, symbols in follow.items():
+                times, kept = sum(symbols.values()), {s: n - 0.5 for s, n in symbols.items() if n >= least}
+                if kept:
+                    logs = {s: self.log(context[1:], s) for s in kept}
+                    left = 1 - sum(kept.values()) / times
+                    back = math.log(left / (1 - sum(map(math.exp, logs.values()))))
+                    if sum(m * (math.log(m / times) - logs[s]) for s, m in kept.items()) + times * left * back >= divergence:
+                        found[context] = ({s: math.log(m / times) for s, m in kept.items()}, back)
+            self.states |= found
+
+    def log(self, context, symbol):
+        for at in range(len(context)):
+            if context[at:] in self.states:
+                own, back = self.states[context[at:]]
+                return own[symbol] if symbol in own else back + self.log(context[at + 1:], symbol)
+        return math.log((self.words[symbol] + 0.1) / self.mass)
+
+    def score(self, text):
+        said = ["begin", *(text or "").encode().lower().split(), "end"]
+        deep = max(map(len, self.states), default=0)
+        return sum(self.log(tuple(said[max(at - deep, 0):at]), said[at]) for at in range(1, len(said))) / math.log(10)
+
+
+@pytest.mark.parametrize("divergence", [2.0, 20.0])
+def test_scores_equal_brute_force(docs, spoken, divergence, monkeypatch):
+    rng = random.Random(3)
+    passage = text_of(rng, 40, "p q r s t u v w x y")
+    copies = [(1000 + i, f"{text_of(rng, 3)} {passage} {rng.choice('ab')} {text_of(rng, 3)}") for i in range(60)]
+    said, chained = ["a", "b", "a", "b"], []
+    for i in range(20):
+        for _ in range(400):
+            said.append("a" if rng.random() < (said[-4:].count("a") + 0.2) / 4.4 else "b")
+        chained.append((2000 + i, " ".join(said[-400:])))
+    rows = spoken + copies + chained
+    tree = Tree(rows, divergence)
+    assert max(map(len, tree.states)) >= 3
+    want = sorted((str(i), t or "", round(tree.score(t), 6)) for i, t in rows)
+    monkeypatch.setattr(suffix_tree, "BLOCK", 20_000)
+    got = suffix_tree.score(docs(*rows).repartition(5), divergence=divergence).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((i, s) for i, _, s in want)
+    for context in list(tree.states)[::7][:30]:
+        assert sum(math.exp(tree.log(context, s)) for s in [*tree.words, "never"]) == pytest.approx(1)
 
 
 def test_scores_without_training_text(docs):
