@@ -224,3 +224,23 @@ def test_tree_keeps_rare_contexts_of_any_depth(docs):
     assert 10 in times and suffix_tree.grow(docs(*rows), depths=1).levels[0][1].count() >= 40
     got = {r.doc_id: r for r in suffix_tree.score(docs(*rows)).collect()}
     assert got[train[10]].score > got[train[10]].base_score / 2
+
+
+def test_cut_pieces_and_released_bit_sets_change_no_score(spark, monkeypatch):
+    """Depths that read cut pieces find what the texts hold, and every bit set that is sent to the tasks is deleted again."""
+    from pyspark import Broadcast, SparkContext
+
+    rng = random.Random(5)
+    line = [rng.choice("abcd") for _ in range(20)]
+    rows = [(i, " ".join([*rng.choices("abcd", k=rng.randrange(9)), *line[rng.randrange(9):], rng.choice("xy")])) for i in range(150)]
+    frame = spark.createDataFrame([*rows, (300, None), (301, "")], "doc_id long, text string")
+    sent, deleted, found = [], [], {}
+    send, delete = SparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(0) or send(self, value))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: deleted.append(0) or delete(self, *a))
+    for fewer in (1 << 60, 0):
+        monkeypatch.setattr(suffix_tree, "_FEWER", fewer)
+        found[fewer] = {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9))
+                        for r in suffix_tree.score(frame, divergence=6.0).collect()}
+    assert found[0] == found[1 << 60] and len(found[0]) == 152
+    assert len(sent) > 4 and len(deleted) == len(sent)
