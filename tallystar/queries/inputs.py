@@ -11,6 +11,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,43 +129,30 @@ def survey_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _give_names(spark: SparkSession, staged: str, target: str, year: int) -> None:
-    """Move the single file of each written block to its corpus name."""
-    jvm = spark._jvm
-    staged_path = jvm.org.apache.hadoop.fs.Path(staged)
-    fs = staged_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    folder = f"{target}/vintage_{year}"
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-    for block in fs.listStatus(staged_path):
-        name = block.getPath().getName()
-        if not name.startswith("block="):
-            continue
-        for part in fs.listStatus(block.getPath()):
-            if part.getPath().getName().startswith("part-"):
-                file = f"rows_{year}_{int(name[6:]):05d}.csv"
-                fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}"))
-
-
 def corpus_root(spark: SparkSession, sf_dir: str) -> str:
-    """A CSV corpus, one folder per year with its own header spelling and column order."""
+    """A CSV corpus, one folder per year with its own header spelling and column order.
+
+    The survey rows are joined once and become lines of text; a task then writes the file of a year and block at a time.
+    """
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines = None
+    for year, layout in LAYOUTS.items():
+        cells = F.struct(*[F.col(source).alias(f"c{i}") for i, (_, source, _) in enumerate(layout)])
+        lines = (F if lines is None else lines).when(F.col("data_year") == year, F.to_csv(cells, options))
+    heads = {year: ",".join(header for header, _, _ in layout) for year, layout in LAYOUTS.items()}
 
     def write(path: str) -> None:
-        rows = survey_rows(spark, sf_dir)
-        for year, layout in LAYOUTS.items():
-            staged = f"{path}-staged/{year}"
-            (
-                rows.where(F.col("data_year") == year)
-                .repartition("block")
-                .sortWithinPartitions("block", "o_orderkey")
-                .select("block", *[F.col(source).alias(header) for header, source, _ in layout])
-                .write.option("header", True)
-                .option("escape", '"')
-                .option("ignoreLeadingWhiteSpace", False)
-                .option("ignoreTrailingWhiteSpace", False)
-                .partitionBy("block")
-                .csv(staged)
-            )
-            _give_names(spark, staged, path, year)
+        def build(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("o_orderkey", "ascending")])
+            year, block = table.column("data_year")[0].as_py(), int(table.column("block")[0].as_py())
+            name = f"rows_{year}_{block:05d}.csv"
+            content = "\n".join([heads[year], *table.column("line").to_pylist(), ""]).encode()
+            _write_binary(f"{path}/vintage_{year}", name, content)
+            return pa.table({"name": [name], "size": [len(content)]})
+
+        rows = survey_rows(spark, sf_dir).where(F.col("data_year").isin(list(LAYOUTS)))
+        rows.select("data_year", "block", "o_orderkey", lines.alias("line")).groupBy("data_year", "block").applyInArrow(
+            build, "name string, size long").count()
 
     return _once("corpus", spark, sf_dir, write)
 

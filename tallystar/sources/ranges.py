@@ -144,9 +144,10 @@ def _columns(rows: list[list], width: int, path: str, places: Mapping[str, int],
     """Cells of records as columns, then the path, and whether a cell lies beyond the header."""
     long = [len(r) > width and any(c is not None for c in r[width:]) for r in rows]
     cells = list(zip(*(r if len(r) == width else (r + [None] * width)[:width] for r in rows)))
-    none = (None,) * len(rows)
-    picked = [cells[places[n]] if n in places else (defaults[n],) * len(rows) if n in defaults else none for n in names]
-    return [pa.array(c, pa.string()) for c in (*picked, (path,) * len(rows))] + [pa.array(long, pa.bool_())]
+    none = pa.nulls(len(rows), pa.string())
+    picked = [pa.array(cells[places[n]], pa.string()) if n in places else pa.repeat(defaults[n], len(rows)) if n in defaults else none
+              for n in names]
+    return [*picked, pa.repeat(path, len(rows)), pa.array(long, pa.bool_())]
 
 
 def _reader(names: Sequence[str], defaults: Mapping[str, str], multi_line: bool, open_file):

@@ -431,3 +431,40 @@ def test_star_schema_views(spark):
     assert [(r.occ_code, r.occ_title, r.area_count, r.total_national_employment, r.avg_annual_wage) for r in summary] == [
         ("a", "job a", 2, 30, 60.0)
     ]
+
+
+def test_corpus_files_are_written_in_one_pass(spark, tmp_path):
+    """All years' files come from one join of the survey rows: the number of jobs does not grow with the layouts."""
+    from tallystar.queries import inputs
+
+    spark.sql("""SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, id + 0.5D AS o_totalprice,
+        make_date(CAST(1995 + id % 7 AS INT), 1, 1) AS o_orderdate FROM range(70)""").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS c_custkey, 0L AS c_nationkey, 'A, \"b\"' AS c_mktsegment FROM range(70)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 0L AS n_nationkey, 1L AS n_regionkey, 'N' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    sc = spark.sparkContext
+    sc.setJobGroup("corpus-files", "")
+    try:
+        root = inputs.corpus_root(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("corpus-files")) < 2 * len(inputs.LAYOUTS)
+    files = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select("path", "content").collect()
+    assert len(files) == 7
+    text = next(bytes(f.content).decode() for f in files if f.path.endswith("vintage_2015/rows_2015_00000.csv"))
+    lines = text.split("\n")
+    assert lines[0] == "area,area_title,area_type,occ code,occ title,group,tot_emp,a_mean,annual" and lines[-1] == ""
+    assert lines[1] == '0000000,N,2,11-0,"1-URGENT, ""F"" staff",detailed,**,*,TRUE' and len(lines) == 12
+
+
+def test_sheets_are_decoded_as_arrow_batches():
+    """Rows go from the decoder to Spark without a data frame between; gaps, empty rows and columns beyond Z keep their places."""
+    import pyarrow as pa
+
+    from tallystar.queries.inputs import workbook_bytes
+    from tallystar.sources import workbooks
+
+    content = workbook_bytes({"s": [["a", None, 2.5], [], [None, "<&>"]]})
+    batch = pa.RecordBatch.from_arrays([pa.array(["p"]), pa.array([content])], ["path", "content"])
+    rows = [r for b in workbooks._workbook_rows(iter([batch])) for r in b.to_pylist()]
+    assert [r["cells"] for r in rows] == [None, ["a", None, "2.5"], [], [None, "<&>"]]
+    assert [r["row_no"] for r in rows] == [None, 1, 2, 3] and workbooks._column_index("AB12") == 27
