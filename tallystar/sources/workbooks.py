@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +26,28 @@ _DATE_FORMATS = {14, 15, 16, 17, 22, 27, 30, 36, 50, 57}
 
 # --- end of fixed values ---
 
+_ROW, _CELL, _VALUE, _TEXT = (f"{_MAIN}{name}" for name in ("row", "c", "v", "t"))
+
 ship_by_value(__name__)
 
 _ROWS = "path string, sheet string, row_no int, cells array<string>, error string"
 _CHUNK = 2000
+_LETTERS = re.compile(r"[A-Z]+")
+_places: dict[str, int] = {}  # a sheet has at most 16,384 columns
 
 
 def _column_index(reference: str) -> int:
-    index = 0
-    for letter in re.match(r"[A-Z]+", reference).group(0):
-        index = index * 26 + ord(letter) - 64
-    return index - 1
+    letters = _LETTERS.match(reference).group(0)
+    if letters not in _places:
+        index = 0
+        for letter in letters:
+            index = index * 26 + ord(letter) - 64
+        _places[letters] = index - 1
+    return _places[letters]
 
 
 def _texts(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    return "".join([t.text or "" for t in node.iter(_TEXT)])
 
 
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
@@ -64,9 +71,10 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
 
 
 def _cell_text(cell, shared: list[str], dates: set[int]) -> str | None:
-    kind, value = cell.get("t", "n"), cell.find(f"{_MAIN}v")
+    kind = cell.get("t", "n")
     if kind == "inlineStr":
         return _texts(cell)
+    value = cell.find(_VALUE)
     if value is None or value.text is None:
         return None
     if kind == "s":
@@ -84,13 +92,14 @@ def _sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str], dates: set[
     with book.open(part) as stream:
         row_no = 0
         for _, node in ElementTree.iterparse(stream):
-            if node.tag != f"{_MAIN}row":
+            if node.tag != _ROW:
                 continue
             row_no = int(node.get("r", row_no + 1))
             cells: list[str | None] = []
-            for cell in node.iter(f"{_MAIN}c"):
-                at = _column_index(cell.get("r")) if cell.get("r") else len(cells)
-                cells.extend([None] * (at - len(cells)))
+            for cell in node.iter(_CELL):
+                at = _column_index(reference) if (reference := cell.get("r")) else len(cells)
+                if at > len(cells):
+                    cells.extend([None] * (at - len(cells)))
                 cells.append(_cell_text(cell, shared, dates))
             node.clear()
             yield row_no, cells
@@ -109,13 +118,16 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(s.get("name"), part(targets[s.get(f"{_REL}id")])) for s in sheets]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["path", "sheet", "row_no", "cells", "error"])
+_KINDS = {"path": pa.string(), "sheet": pa.string(), "row_no": pa.int32(), "cells": pa.list_(pa.string()), "error": pa.string()}
+
+
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS.values())], list(_KINDS))
 
 
-def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _workbook_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             try:
                 book = zipfile.ZipFile(io.BytesIO(content))
                 sheets, shared, dates = _sheets(book), _shared_strings(book), _date_styles(book)
@@ -134,7 +146,8 @@ def _workbook_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             rows = []
                 except Exception as error:
                     rows.append((path, sheet, None, None, str(error)))
-                yield _frame(rows)
+                if rows:
+                    yield _frame(rows)
 
 
 def list_workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
@@ -163,7 +176,7 @@ def convert_workbooks(spark: SparkSession, path: str | list[str], output: str, p
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
     """As :func:`read_workbooks` for ``path, content`` rows, such as archive members."""
-    return files.mapInPandas(_workbook_rows, _ROWS)
+    return files.select("path", "content").mapInArrow(_workbook_rows, _ROWS)
 
 
 def workbook_rows(decoded: DataFrame) -> DataFrame:
