@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from tallystar.llm.shared import positional, restored, written
+from tallystar.llm.shared import positional, restored, slices, trim, written
 from tallystar.tasks import ship_by_value
 
 ship_by_value(__name__)
@@ -59,9 +59,8 @@ def _local(text_at: int, id_at: int, digest):
 
         salt = TaskContext.get().partitionId() % SALTS
         for batch in batches:
-            texts, ids = batch.column(text_at).to_pylist(), batch.column(id_at).to_pylist()
             found: dict[str, list] = {}
-            for at, (text, doc_id) in enumerate(zip(texts, ids)):
+            for at, (text, doc_id) in enumerate(_pairs(batch, text_at, id_at)):
                 content = _content(text)
                 key = digest(content)
                 rank = (len(text or ""), doc_id)
@@ -74,11 +73,22 @@ def _local(text_at: int, id_at: int, digest):
                 else:
                     found[key].append([content, rank, at, 1])
             rows = [(key, e) for key, entries in found.items() for e in entries]
-            yield _noted(batch.take([e[2] for _, e in rows]),
-                         [(key, e[1][0], e[3], salt, False) for key, e in rows])
+            found.clear()
+            taken = batch.take([e[2] for _, e in rows])
+            notes = [(key, e[1][0], e[3], salt, False) for key, e in rows]
+            del batch, rows
+            yield _noted(taken, notes)
+            del taken
+            trim()
     return run
 
 
+def _pairs(batch, text_at: int, id_at: int):
+    """Text and id of each row, a few texts as Python objects at a time."""
+    for part in slices([batch]):
+        yield from zip(part.column(text_at).to_pylist(), part.column(id_at).to_pylist())
+
+
 def _noted(batch, notes):
     columns = [pa.array([n[i] for n in notes], t) for i, t in
                enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
@@ -96,14 +106,14 @@ def _merge(text_at: int, id_at: int, n_columns: int):
 
     def run(batches):
         key, entries, ready, held = None, [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = batch.column(text_at).to_pylist(), batch.column(id_at).to_pylist()
             digests, lengths, sizes, salts = (batch.column(n_columns + i).to_pylist() for i in range(4))
             for at, now in enumerate(digests):
                 if now != key:
                     ready += flush(key, entries)
                     held += sum(len(e[0]) for e in entries)
-                    if len(ready) >= 2000 or held > 8 << 20:
+                    if len(ready) >= 500 or held > 2 << 20:
                         yield pa.concat_batches(ready)
                         ready, held = [], 0
                     key, entries = now, []
@@ -143,7 +153,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dig
 
 def _own(text_at: int, id_at: int, digest, with_content: bool):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             contents = [_content(t) for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_at), pa.array([digest(c) for c in contents], pa.string()),

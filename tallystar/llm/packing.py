@@ -37,7 +37,8 @@ ship_by_value(__name__)
 
 CAPACITY = 2048
 END_ID = 1
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 250_000
+_BATCH_BYTES = 4 << 20
 LONG_WORD = 200
 TOKENIZER = "word_bpe_49k.json"
 # Splitting and normalising agree with these: a full stop or comma behind a letter is a token start of its own, and
@@ -169,7 +170,7 @@ def _pack(text_at, id_at, tokenizer_path, capacity, end_id):
         from pyspark import TaskContext
 
         encode, bins = encoder(tokenizer_path), _Bins(TaskContext.get().partitionId(), capacity)
-        end, rows = np.array([end_id], "<u4").tobytes(), []
+        end, rows, held = np.array([end_id], "<u4").tobytes(), [], 0
 
         def batch():
             data = b"".join(r[2] for r in rows)
@@ -187,8 +188,10 @@ def _pack(text_at, id_at, tokenizer_path, capacity, end_id):
             for ids, doc in zip(encode(part.column(text_at).to_pylist()), part.column(id_at).to_pylist()):
                 for piece in bins.add(doc, ids + end):
                     rows.append(piece)
-                    if len(rows) == 10_000:
+                    held += len(piece[2])
+                    if len(rows) == 10_000 or held >= _BATCH_BYTES:
                         yield batch()
+                        held = 0
         rows += bins.rest()
         if rows:
             yield batch()
