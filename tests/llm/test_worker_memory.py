@@ -37,7 +37,7 @@ print(held() - before)
 
 
 @pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="reads Linux' account of memory")
-@pytest.mark.parametrize("step", ["local", "count"])
+@pytest.mark.parametrize("step", ["local", "count", "words"])
 def test_tasks_give_their_memory_back(step):
     out = subprocess.run([sys.executable, "-c", PROGRAM, step], capture_output=True, text=True, timeout=120,
                          cwd=Path(__file__).parents[2])
