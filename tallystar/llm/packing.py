@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,10 @@ KNOWN_WORDS = 250_000
 _BATCH_BYTES = 4 << 20
 LONG_WORD = 200
 TOKENIZER = "word_bpe_49k.json"
-# Splitting and normalising agree with these: a full stop or comma behind a letter is a token start of its own, and
-# letters are made small anyway. It leaves fewer different words to keep.
-_CLOSED = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+# Splitting and normalising agree with these: signs behind a letter, up to the end of the word, are a token start of their own
+# (an apostrophe is not always), and letters are made small anyway. It leaves fewer different words to keep. The pattern begins
+# with the sign, so that the search skips to the next one.
+_CLOSED = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[\x20\x09-\x0D]|\Z)")
 SCHEMA = "doc_id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -78,16 +81,24 @@ def encoder(tokenizer_path: str, known_words: int = KNOWN_WORDS):
     def learn(new: list[bytes], words: dict) -> None:
         """Encode several words as one text and deal its ids out."""
         texts = [w.decode() for w in new]
+        # Nothing is to be split or normalised in small ASCII letters: the model alone gives their ids.
+        plain = [t.isascii() and t.isalpha() and t.islower() for t in texts]
+        model = tokenizer.model
+        for word, text in compress(zip(new, texts), plain):
+            words[word] = array("I", [token.id for token in model.tokenize(text)]).tobytes()
+        new, texts = ([w for w, done in zip(part, plain) if not done] for part in (new, texts))
         letters = [k for k, t in enumerate(texts) if t.isalpha()]
         others = [k for k, t in enumerate(texts) if not t.isalpha()]
         for chosen in (letters, others):
             for first in range(0, len(chosen), 256):
                 part = [texts[k] for k in chosen[first:first + 256]]
-                code = tokenizer.encode(" ".join(part), add_special_tokens=False)
-                ids = np.array(code.ids, "<u4")
                 # A word of letters ends with its only closing token; others are told by their places in the text.
-                ends = np.flatnonzero(keep.closing[ids]) + 1
+                if chosen is letters:
+                    ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                    ends = np.flatnonzero(keep.closing[ids]) + 1
                 if chosen is others or len(ends) != len(part):
+                    code = tokenizer.encode(" ".join(part), add_special_tokens=False)
+                    ids = np.array(code.ids, "<u4")
                     starts = np.cumsum([len(t) + 1 for t in part])
                     ends = np.searchsorted(np.array([o[0] for o in code.offsets], np.int64), starts)
                 data, at = ids.tobytes(), 0
@@ -98,30 +109,40 @@ def encoder(tokenizer_path: str, known_words: int = KNOWN_WORDS):
     def split(text: str | None) -> list[bytes]:
         data = (text or "").encode()
         if b"<|" not in data:  # special tokens are matched before letters are made small
-            data = _CLOSED.sub(rb" \1", data.lower())
+            data = _CLOSED.sub(rb" \g<0>", data.lower())
         return data.split()
 
     def encode(texts: list[str | None]) -> list[bytes]:
         parted = [split(t) for t in texts]
         words = keep.words
         found = [list(map(words.get, parts)) for parts in parted]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        new = {p for k in lacking for p, ids in zip(parted[k], found[k]) if ids is None}
+        lacking = [(ids, parts, at) for ids, parts in zip(found, parted) for at in _absent(ids)]
+        new = {parts[at] for _, parts, at in lacking}
         if len(words) + len(new) > known_words:
             keep.older, keep.words = words, {}
         words = keep.words
         words.update({p: keep.older[p] for p in new & keep.older.keys()})
-        new.difference_update(words)
+        new = {p for p in new if p not in words}
         long_ = {p for p in new if len(p) > LONG_WORD}
         learn(list(new - long_), words)
         alone = {p: np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes() for p in long_}
-        for k in lacking:
-            found[k] = [words[p] if ids is None and p in words else alone[p] if ids is None else ids
-                        for p, ids in zip(parted[k], found[k])]
+        for ids, parts, at in lacking:
+            ids[at] = words[parts[at]] if parts[at] in words else alone[parts[at]]
         return [b"".join(ids) for ids in found]
     return encode
 
 
+def _absent(values: list):
+    """The places of None."""
+    at = -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
+
+
 class _Bins:
     """The open bins of one task."""
 

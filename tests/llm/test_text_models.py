@@ -244,3 +244,19 @@ def test_cut_pieces_and_released_bit_sets_change_no_score(spark, monkeypatch):
                         for r in suffix_tree.score(frame, divergence=6.0).collect()}
     assert found[0] == found[1 << 60] and len(found[0]) == 152
     assert len(sent) > 4 and len(deleted) == len(sent)
+
+
+def test_signs_behind_a_word_make_no_word_of_their_own():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    from tallystar.llm.shared import WORKER_WORDS
+
+    sys.modules.pop(WORKER_WORDS, None)
+    texts = ["word### word%%% Word. (word) it's word's)  word'' it's...", "q<|> Q.", "é### naïve* ǅ word̸ don't; 'tis", None, "x<|endoftext|>."]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.encoder(packing.tokenizer_file())(texts)]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    kept = sys.modules.pop(WORKER_WORDS).words
+    assert b"word" in kept and not {b"word###", b"word%%%", b"(word)"} & kept.keys()
