@@ -246,6 +246,25 @@ def test_cut_pieces_and_released_bit_sets_change_no_score(spark, monkeypatch):
     assert len(sent) > 4 and len(deleted) == len(sent)
 
 
+def test_deep_depths_are_settled_in_few_passes(spark, monkeypatch):
+    """What is settled in one pass, context by context or at several chunks, is what counting depth by depth finds."""
+    rng = random.Random(7)
+    line = [rng.choice("abcd") for _ in range(30)]
+    rows = [(i, " ".join([*rng.choices("abcd", k=rng.randrange(9)), *line[rng.randrange(5):], rng.choice("xy")])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, found, write = {}, {}, suffix_tree.written
+    for fewer, chunk in ((1 << 60, 32 << 20), (0, 32 << 20), (0, 8 << 10)):
+        names = tables[fewer, chunk] = []
+        monkeypatch.setattr(suffix_tree, "written", lambda f, name, path=None: names.append(name) or write(f, name, path))
+        monkeypatch.setattr(suffix_tree, "_FEWER", fewer)
+        monkeypatch.setattr(suffix_tree, "_CHUNK", chunk)
+        tree = suffix_tree.grow(frame, divergence=6.0)
+        found[fewer, chunk] = [sorted((r.context, r.times, round(r.back, 9)) for r in states.collect()) for _, states in tree.levels]
+        assert len(tree.levels) == tree.depths >= 6
+    assert found[0, 32 << 20] == found[0, 8 << 10] == found[1 << 60, 32 << 20]
+    assert tables[0, 32 << 20].count("lm-grams") <= 5 < tables[1 << 60, 32 << 20].count("lm-grams")
+
+
 def test_signs_behind_a_word_make_no_word_of_their_own():
     import sys
 
