@@ -279,3 +279,53 @@ def test_signs_behind_a_word_make_no_word_of_their_own():
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     kept = sys.modules.pop(WORKER_WORDS).words
     assert b"word" in kept and not {b"word###", b"word%%%", b"(word)"} & kept.keys()
+
+
+def test_few_places_are_hashed_as_all_are():
+    """A walk that keeps only the places on the way finds the grams that hashing every place at every depth finds."""
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(1, 1 << 62, 50, np.uint64)[rng.integers(0, 50, 6000)]
+    tokens[2000:2300] = tokens[4000:4300]
+    symbols, number = suffix_tree._symbols(tokens, np.array([1500, 1500, 6000]))
+    hashes, every = symbols, []
+    for depth in range(1, 41):
+        at = np.flatnonzero(number >= depth)
+        longer = suffix_tree._longer(hashes)
+        every.append((at, hashes[at - 1], longer[at]))
+        hashes = longer
+    twice = np.concatenate([c for _, c, _ in every])
+    twice, n = np.unique(twice, return_counts=True)
+    twice = twice[n > 1]
+
+    def on_the_way(contexts):
+        chosen = np.isin(contexts, twice)
+        return chosen, contexts[chosen]
+
+    found = list(suffix_tree._walk(symbols, number, 40, on_the_way))
+    assert len(found) == 40
+    for (at, contexts, grams), (places, hashed, told) in zip(every, found):
+        chosen = np.isin(contexts, twice)
+        assert [places.tolist(), hashed.tolist(), told.tolist()] == [v[chosen].tolist() for v in (at, grams, contexts)]
+
+
+def test_scoring_asks_in_rounds(docs, monkeypatch):
+    """What the model answers is held for a part of the blocks at a time, in cells of many hashes."""
+    from pathlib import Path
+
+    paths, write = [], suffix_tree.written
+
+    def written(frame, name, path=None):
+        if name == "lm-found":
+            assert not any(Path(p.removeprefix("file:")).exists() for p in paths)
+            paths.append(path)
+        out = write(frame, name, path)
+        if name == "lm-found":
+            assert out.count() < 2000 and "key" in out.columns
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", written)
+    monkeypatch.setattr(suffix_tree, "BLOCK", 4_000)
+    rng = random.Random(3)
+    rows = [(i, text_of(rng, 60, " ".join(f"w{k}" for k in range(40)))) for i in range(200)]
+    got = suffix_tree.score(docs(*rows), depths=1).collect()
+    assert len(paths) > 1 and sorted(r.doc_id for r in got) == [i for i, _ in rows]
