@@ -329,3 +329,27 @@ def test_scoring_asks_in_rounds(docs, monkeypatch):
     rows = [(i, text_of(rng, 60, " ".join(f"w{k}" for k in range(40)))) for i in range(200)]
     got = suffix_tree.score(docs(*rows), depths=1).collect()
     assert len(paths) > 1 and sorted(r.doc_id for r in got) == [i for i, _ in rows]
+
+
+def test_runs_without_a_place_to_count_make_no_piece(spark, monkeypatch):
+    """Texts of words that no other text has may fill a whole run of a task that cuts pieces."""
+    rng = random.Random(5)
+    line = [rng.choice("abcd") for _ in range(20)]
+    rows = [(i, " ".join([*rng.choices("abcd", k=rng.randrange(9)), *line[rng.randrange(9):], rng.choice("xy")])) for i in range(150)]
+    alone = [(i, f"p{i} q{i} r{i} s{i}") for i in range(300, 320)]
+    pair = "doc_id long, text string"
+    frame = spark.createDataFrame(rows, pair).coalesce(1).union(spark.createDataFrame(alone, pair).coalesce(1))
+    found = {}
+    for fewer in (1 << 60, 0):
+        monkeypatch.setattr(suffix_tree, "_FEWER", fewer)
+        found[fewer] = {r.doc_id: (r.n_tokens, round(r.score, 9)) for r in suffix_tree.score(frame, divergence=6.0).collect()}
+    assert found[0] == found[1 << 60] and len(found[0]) == 170
+
+
+def test_tables_made_on_the_driver_stay_there():
+    """A job's functions are small, whatever words the driver has hashed itself."""
+    from pyspark import cloudpickle
+
+    words.text_keys(b"some words")
+    assert words._tables and len(cloudpickle.dumps(suffix_tree._dealt_words(4))) < 1 << 18
+    assert len(cloudpickle.loads(cloudpickle.dumps(words.text_keys))(b"some words")[0]) == 2
