@@ -15,6 +15,9 @@ Long posting lists do not produce all their pairs. Fingerprints are made distinc
 
 A link between two fingerprints is thus either found or within a component that is already joined; none is lost.
 
+Spark takes an exploded index for no larger than the table it comes from, so it would broadcast one of many times its threshold:
+the joins of the index are told to merge, and its rows stay in the tasks.
+
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle give
 one shingle, the whole sequence; rows that repeat a text or an id are all reported; a null doc_id is never the smallest, and
 a component of null ids alone has a null id. Very long texts are counted in blocks. An empty table gives an empty result.
@@ -119,7 +122,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     width = min(3 if nodes.count() < WIDE else 4, 8 - distance)
     posted = _posted(nodes.select("f0"), distance, width)
     pivots = posted.groupBy(*key).agg(F.min("f0").alias("f0"), F.count("*").alias("members")).where("members > 1")
-    starred = posted.alias("a").join(pivots.alias("b"), same & (F.col("a.f0") != F.col("b.f0"))
+    starred = posted.alias("a").join(pivots.alias("b").hint("merge"), same & (F.col("a.f0") != F.col("b.f0"))
                                      & _close("a", "b", distance))
     first = components(starred.select(F.col("a.f0").alias("a"), F.col("b.f0").alias("b")))
     labelled = written(nodes.join(first, F.col("f0") == F.col("node"), "left").select(
@@ -127,11 +130,11 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
 
     posted = _posted(labelled, distance, width)
     several = posted.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    mixed = written(posted.join(several.select(*key), key), "simhash-lists")
+    mixed = written(posted.join(several.select(*key).hint("merge"), key), "simhash-lists")
     largest = mixed.groupBy(*key, "label").agg(F.count("*").alias("n")).groupBy(*key).agg(
         F.max(F.struct("n", "label")).alias("top")).select(*key, F.col("top.label").alias("main"))
-    few, every = mixed.join(largest, key).where("label != main").alias("a"), mixed.alias("b")
-    across = few.join(every, same & (F.col("a.label") != F.col("b.label"))
+    few, every = mixed.join(largest.hint("merge"), key).where("label != main").alias("a"), mixed.alias("b")
+    across = few.join(every.hint("merge"), same & (F.col("a.label") != F.col("b.label"))
                       & _close("a", "b", distance))
     second = components(across.select(F.col("a.label").alias("a"), F.col("b.label").alias("b")))
     return labelled.join(second, F.col("label") == F.col("node"), "left").select(

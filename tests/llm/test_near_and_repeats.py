@@ -55,6 +55,23 @@ def test_components_match_all_pairs(docs, monkeypatch, wide):
         assert got[doc_id].component_id == min(d for (d, _), h in zip(rows, group) if h == g)
 
 
+def test_the_exploded_index_is_not_broadcast(docs, monkeypatch):
+    """Spark sizes an exploded table like the one it comes from, so a join that may broadcast it fills the driver."""
+    plans, write, join = [], simhash.written, simhash.components
+
+    def planned(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(simhash, "written", lambda frame, name: write(planned(frame), name))
+    monkeypatch.setattr(simhash, "components", lambda frame: join(planned(frame)))
+    simhash.near_groups(docs(*near_rows(random.Random(3)))).collect()
+    spread = [p for p in plans if "Generate explode" in p]
+    assert len(spread) == 2 and not any("Broadcast" in p for p in spread)
+    lists = [p for p in plans if p.count("place#") > 4 and p not in spread]
+    assert len(lists) == 1 and "Broadcast" not in lists[0]
+
+
 def test_dense_fingerprints_lose_no_link(spark):
     rng = random.Random(8)
     base = rng.getrandbits(64)
