@@ -353,3 +353,23 @@ def test_tables_made_on_the_driver_stay_there():
     words.text_keys(b"some words")
     assert words._tables and len(cloudpickle.dumps(suffix_tree._dealt_words(4))) < 1 << 18
     assert len(cloudpickle.loads(cloudpickle.dumps(words.text_keys))(b"some words")[0]) == 2
+
+
+def test_hashes_are_found_and_ordered_as_numpy_does():
+    """Also numbers that are not spread like hashes, hashes of one bucket, values beyond both ends of a table and empty arrays."""
+    from tallystar.llm import cells
+
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 1 << 64, 3000, np.uint64)
+    ends = np.array([0, 1, (1 << 64) - 1], np.uint64)
+    close = np.uint64(1 << 40) + rng.integers(0, 1 << 13, 3000, np.uint64) * np.uint64(3)
+    for keys in (wide, np.concatenate([wide, ends]), wide >> np.uint64(30), close, rng.choice(wide, 9000), np.arange(3000, dtype=np.uint64)[::-1].copy(),
+                 np.concatenate([ends, np.uint64(1 << 63) + np.arange(300, dtype=np.uint64)]), np.repeat(ends, 40), wide[:1], wide[:0]):
+        assert cells.ordered(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+        found = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        assert [v.tolist() for v in cells.grouped(keys)] == [v.tolist() for v in found]
+        table = found[0][::2]
+        where = {k: at for at, k in enumerate(table.tolist())}
+        wanted = np.concatenate([keys, ends, wide])
+        for some in (wanted, wanted[:3]):
+            assert cells.places(table, some).tolist() == cells.Places(table).of(some).tolist() == [where.get(k, -1) for k in some.tolist()]
