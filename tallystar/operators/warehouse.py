@@ -83,9 +83,16 @@ def publish(spark: SparkSession, base: str, table: str, path: str, rows: int) ->
     """
     folder, system = _versions(spark, base, table)
     number = 1 + max(_numbers(folder, system), default=0)
+    local = system.getUri().getScheme() == "file"
+    system.mkdirs(folder)
     while True:
+        file = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}")
+        # Hadoop's local file system looks for a file before it creates it, and another may do so in between.
+        if local and not spark._jvm.java.io.File(file.toUri().getPath()).createNewFile():
+            number += 1
+            continue
         try:
-            out = system.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}"), False)
+            out = system.create(file, local)
         except Py4JJavaError as error:
             if "FileAlreadyExists" not in error.java_exception.getClass().getName():
                 raise
